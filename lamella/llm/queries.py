@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lamella.llm import line_dedup, mixing
+from lamella.llm import decontaminate, line_dedup, mixing, sharding
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_sharding": sharding.op4_sharding,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE_SQL = {"op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op9_decontamination": decontaminate.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}

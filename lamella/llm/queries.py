@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lamella.llm import decontaminate, line_dedup, mixing, sharding
+from lamella.llm import decontaminate, line_dedup, mixing, near_dedup, sharding
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_sharding": sharding.op4_sharding,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE_SQL = {"op9_decontamination": decontaminate.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op6_near_dedup": near_dedup.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}

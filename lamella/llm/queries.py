@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lamella.llm import decontaminate, line_dedup, mixing, near_dedup, sharding
+from lamella.llm import decontaminate, line_dedup, mixing, near_dedup, quality, sharding
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,

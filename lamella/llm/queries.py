@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lamella.llm import decontaminate, line_dedup, mixing, near_dedup, quality, sharding
+from lamella.llm import decontaminate, line_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }

@@ -11,13 +11,13 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(parts))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, y for at most ``most`` labelled rows outside the fold ``held_out``, half from each label as far as there are so many, least hashes first.
+def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text", ones: float = 0.5) -> DataFrame:
+    """id, text, y for at most ``most`` labelled rows outside the fold ``held_out``, of which ``ones`` from label 1 as far as there are so many, least hashes first.
 
     Rows without an id or with a label other than 0 and 1 aren't used; an id with both labels isn't either. The ids are at most
     ``most``, so they are broadcast, and texts aren't shuffled."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").drop("z")
     known = known.filter(remainder(F.col("id"), parts) != held_out).withColumn("h", F.xxhash64(F.lit(3), "id"))
-    chosen = known.filter("y = 1").orderBy("h", "id").limit(most // 2).unionByName(known.filter("y = 0").orderBy("h", "id").limit(most // 2)).drop("h")
+    chosen = known.filter("y = 1").orderBy("h", "id").limit(int(most * ones)).unionByName(known.filter("y = 0").orderBy("h", "id").limit(most - int(most * ones))).drop("h")
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     return found.groupBy("id").agg(F.min(F.struct("text", "y")).alias("r")).select("id", "r.*")

@@ -23,7 +23,7 @@ THREAT_CUES = "gonna i going ich je shall we werde will yo".split()
 
 #: Labelled rows learned from at most; length in bytes of learned stems; evidence in nats, share of
 #: label 1 and texts of label 1 that a learned form needs. A stem's evidence is its different words in each text, a word's its texts.
-SAMPLE, STEMS, EVIDENCE, PRECISION, LEAST_DOCS = 6000, (4, 5, 6, 7), 15.0, 0.95, 3
+SAMPLE, STEMS, EVIDENCE, PRECISION, LEAST_DOCS = 8000, (4, 5, 6, 7), 15.0, 0.95, 3
 #: Words for which a negation holds; strength of the prior weights of patterns.
 REACH, PULL = 4, 0.05
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -135,19 +135,33 @@ def learn_lexicon(texts: list[str | None], y: np.ndarray) -> Lexicon:
     """The fixed words, and words and stems that labelled texts show to be insults: in texts of label 1 nearly alone, beyond chance.
 
     A fixed insult that texts of label 0 use as often loses its weight."""
-    rows, base = [], 0
-    for _, data, offs in pieces(pa.array(texts, pa.string())):
-        w = split(data, offs, WORD_BREAKS)
-        doc = w.doc.astype(np.uint64) + np.uint64(base)
-        base += len(offs) - 1
-        for at, h in ((np.arange(len(doc)), w.hash), *(_stems(w, k) for k in STEMS)):
-            rows.append(np.unique(np.stack([h, doc[at], w.hash[at]], 1), axis=0))
-    h, d, _ = np.concatenate(rows).T if rows else np.zeros((3, 0), np.uint64)
+    def forms(chosen: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+        """(form, text, word) of the chosen texts, each once; only forms in ``known``, if given."""
+        rows = [np.zeros((0, 3), np.uint64)]
+        at = 0
+        for _, data, offs in pieces(pa.array([texts[k] for k in chosen], pa.string())):
+            w = split(data, offs, WORD_BREAKS)
+            doc = chosen[w.doc + at].astype(np.uint64)
+            at += len(offs) - 1
+            for of, h in ((np.arange(len(doc)), w.hash), *(_stems(w, k) for k in STEMS)):
+                if known is not None:
+                    some = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.zeros(0, np.int64)
+                    of, h = of[some], h[some]
+                rows.append(np.unique(np.stack([h, doc[of], w.hash[of]], 1), axis=0))
+        return np.concatenate(rows)
+
+    # only forms that enough texts of label 1 have can be learned, so the other texts are searched for those alone
+    h, d, _ = forms(np.flatnonzero(y > 0), None).T
     hashes, back = np.unique(h, return_inverse=True)
-    up = y[d.astype(np.int64)] > 0
-    a, n = np.bincount(back, weights=up, minlength=len(hashes)), np.bincount(back, minlength=len(hashes))
-    held = np.bincount(np.unique(np.stack([back[up], d[up].astype(np.int64)], 1), axis=0)[:, 0], minlength=len(hashes))
-    p = min(max(up.mean() if len(up) else 0.5, 1e-3), 1 - 1e-3)
+    a = np.bincount(back, minlength=len(hashes))
+    held = np.bincount(np.unique(np.stack([back, d.astype(np.int64)], 1), axis=0)[:, 0], minlength=len(hashes)) if len(h) else a
+    seeds = np.array([word_hash(x) for x in INSULTS], np.uint64)
+    enough = (held >= LEAST_DOCS) | np.isin(hashes, seeds)
+    hashes, a, held = hashes[enough], a[enough], held[enough]
+    below = forms(np.flatnonzero(y == 0), hashes)[:, 0]
+    n = a + np.bincount(np.searchsorted(hashes, below), minlength=len(hashes))
+    p = (y > 0).mean() if len(y) else 0.5
+    p = min(max(p, 1e-3), 1 - 1e-3)
     rate = a / np.maximum(n, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(a > 0, a * np.log(np.maximum(rate, 1e-12) / p), 0) + np.where(n > a, (n - a) * np.log(np.maximum(1 - rate, 1e-12) / (1 - p)), 0)
@@ -231,7 +245,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     Learns from at most ``sample_rows`` labelled rows (a bound for the fit alone; every text is scored whole): forms of insults,
     and weights of the grammar's patterns. Without labels of both kinds, the grammar's own weights hold. Null, empty and wordless
     texts match nothing and get the score of that. Ids may be null or repeated."""
-    train = sample(docs, labels, label, FOLDS, HELD_OUT, sample_rows, id_col, text_col).toPandas().sort_values("id")
+    train = sample(docs, labels, label, FOLDS, HELD_OUT, sample_rows, id_col, text_col, 0.25).toPandas().sort_values("id")
     counts = {r["y"]: r["count"] for r in labels.filter(remainder(F.col(id_col), FOLDS) != HELD_OUT).groupBy(F.col(label).cast("int").alias("y")).count().collect()}
     model = fit(train["text"].tolist(), train["y"].tolist(), counts.get(1, 0) / max(1, counts.get(1, 0) + counts.get(0, 0)))
 

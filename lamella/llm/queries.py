@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamella.llm import decontaminate, line_dedup, mixing, near_dedup, quality, sharding, toxicity
+from lamella.llm import decontaminate, embedding_dedup, line_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -10,7 +10,8 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE_SQL = {"op6_near_dedup": near_dedup.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op6_near_dedup": near_dedup.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}

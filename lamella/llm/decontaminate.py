@@ -78,6 +78,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: st
     return d.select("id", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(found, ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with all their columns."""
+    k1, k2 = digest(F.col(id_col), F.col(text_col))
+    windows = stored(test_windows(items, n, item_id, item_text).select("phrase", "len", "wid").distinct())
+    hits = stored(phrase_matches(docs.select(F.col(text_col).alias("text"), k1.alias("k1"), k2.alias("k2")), windows).select(F.col("k1").alias("_window_k1"), F.col("k2").alias("_window_k2")).distinct())
+    return docs.join(sized_broadcast(hits), (k1 == F.col("_window_k1")) & (k2 == F.col("_window_k2")), "left_anti")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -90,5 +90,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return laid.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *keep)
 
 
+def mixed_documents(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mix as whole documents: each row of ``docs`` as often as taken / size says, rounded by a seeded draw that keeps the mean."""
+    packed = docs.select(F.col(id_col), F.col(text_col), F.col(source_col), F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), id_col, "size", "source"), 11) / float(1 << 53)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + drawn)).otherwise(0).cast("int")
+    return mix(packed, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("_row",), **settings).select(F.explode(F.array_repeat("_row", times)).alias("r")).select("r.*")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source")

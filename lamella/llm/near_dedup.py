@@ -118,7 +118,7 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rk, ``id_col``, n_shingles, component_id, kept for each row of ``docs``; rk is xxhash64 of id and text.
+    """rk, ``id_col``, n_shingles, component_id, kept, group for each row of ``docs``; rk is xxhash64 of id and text, group is the same for linked rows and null without words.
 
     A text's set has its distinct runs of ``words`` words (A-Z lower-cased, blanks apart); fewer words are one run; null, empty and
     blank texts have none and link with nothing. Texts link if 100 * intersection >= ``percent`` * union. component_id is the
@@ -138,10 +138,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = _links(buckets, sets, percent)
     joined = classes.select("node", "id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = stored(joined.join(stored(least), "component").select("node", "component_id"))
+    named = stored(joined.join(stored(least), "component").select("node", "component_id", "component"))
     own = signed.select("rk", "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     one = F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("id")))
-    return own.join(named, "node", "left").select("rk", F.col("id").alias(id_col), "n_shingles", one.alias("component_id"), F.coalesce(F.col("id") == one, F.lit(False)).alias("kept"))
+    return own.join(named, "node", "left").select("rk", F.col("id").alias(id_col), "n_shingles", one.alias("component_id"), F.coalesce(F.col("id") == one, F.lit(False)).alias("kept"), F.col("component").alias("group"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, with all its columns: of the smallest id, null ids last. Texts without words stay."""
+    found = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col).filter("n_shingles > 0")
+    rows = stored(found.groupBy("group", "rk").agg(F.min(id_col).alias("id"), F.count("*").alias("n")))
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "rk")).alias("best"))
+    told = rows.join(best, "group").select("rk", (F.col("rk") == F.col("best.rk")).alias("best"), "n")
+    gone, repeated = stored(told.filter("not best").select(F.col("rk").alias("_rk")).distinct()), stored(told.filter("best and n > 1").select(F.col("rk").alias("_rk")))
+    rk = F.xxhash64(F.col(id_col), F.col(text_col))
+    kept = docs.join(sized_broadcast(gone), rk == F.col("_rk"), "left_anti")
+    once, many = kept.join(sized_broadcast(repeated), rk == F.col("_rk"), "left_anti"), kept.join(sized_broadcast(repeated), rk == F.col("_rk"), "left_semi")
+    return once.unionByName(many.dropDuplicates([id_col, text_col]))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,28 +239,46 @@ def fit(texts: list[str | None], labels: list[int], share: float) -> Model:
     return Model(lexicon, theta)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, held_out, score, predicted (and the columns ``keep``) for each row of ``docs``.
-
-    Learns from at most ``sample_rows`` labelled rows (a bound for the fit alone; every text is scored whole): forms of insults,
-    and weights of the grammar's patterns. Without labels of both kinds, the grammar's own weights hold. Null, empty and wordless
-    texts match nothing and get the score of that. Ids may be null or repeated."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
+    """A model from at most ``sample_rows`` labelled rows outside the held-out fold (a bound for the fit alone)."""
     train = sample(docs, labels, label, FOLDS, HELD_OUT, sample_rows, id_col, text_col, 0.25).toPandas().sort_values("id")
     counts = {r["y"]: r["count"] for r in labels.filter(remainder(F.col(id_col), FOLDS) != HELD_OUT).groupBy(F.col(label).cast("int").alias("y")).count().collect()}
-    model = fit(train["text"].tolist(), train["y"].tolist(), counts.get(1, 0) / max(1, counts.get(1, 0) + counts.get(0, 0)))
+    return fit(train["text"].tolist(), train["y"].tolist(), counts.get(1, 0) / max(1, counts.get(1, 0) + counts.get(0, 0)))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
+    """``id_col``, held_out, score, predicted for each row of ``docs``.
+
+    Learned from labels: forms of insults, and weights of the grammar's patterns. Every text is scored whole. Without labels of
+    both kinds, the grammar's own weights hold. Null, empty and wordless texts match nothing and get the score of that. Ids may be
+    null or repeated. Other columns are ignored, so their names can't clash."""
+    model = learn(docs, labels, sample_rows, id_col, text_col, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, start = grammar()
         for batch in batches:
-            for at, data, offs in pieces(batch.column("_text")):
+            for at, data, offs in pieces(batch.column("text")):
                 n = len(offs) - 1
                 scores = pa.array(model.scores(match(data, offs, model.lexicon, step, start)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, n) for c in names), scores], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, n), batch.column("held_out").slice(at, n), scores], ["id", "held_out", "score"])
+
+    kind = dict(docs.dtypes)[id_col]
+    scored = docs.select(F.col(id_col).alias("id"), (remainder(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, held_out boolean, score double")
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, with all their columns."""
+    model = learn(docs, labels, sample_rows, id_col, text_col, label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, start = grammar()
+        for batch in batches:
+            for at, data, offs in pieces(batch.column(text_col)):
+                good = model.scores(match(data, offs, model.lexicon, step, start)) < threshold
+                yield batch.slice(at, len(offs) - 1).filter(pa.array(good))
 
-    names = ["_id", "held_out", *keep]
-    d = docs.select(F.col(id_col).alias("_id"), (remainder(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), *keep, F.col(text_col).alias("_text"))
-    scored = d.mapInArrow(run, d.drop("_text").withColumn("score", F.lit(0.0)).schema)
-    return scored.select(F.col("_id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *(c for c in keep if c != id_col))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lamella.llm import decontaminate, embedding_dedup, line_dedup, mixing, near_dedup, quality, sharding, toxicity
+from lamella.llm import decontaminate, embedding_dedup, line_dedup, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,

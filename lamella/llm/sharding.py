@@ -11,6 +11,8 @@ from lamella.llm.common import sized_broadcast, stored
 
 #: Shards; rows that a range holds on average; ranges at most; sample keys per range; a range is overfull beyond so many times its share.
 SHARDS, RANGE_ROWS, MOST_RANGES, PER_RANGE, OVERFULL, SEED = 8, 256, 1 << 14, 16, 3, 11
+#: Equal texts of less than this part of a shard aren't parted within a range.
+SNAP = 200
 
 
 def _ranges(keys: DataFrame, splitters: np.ndarray, out: str) -> DataFrame:
@@ -31,8 +33,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE
     id, so equal texts are neighbours, and a group of equal texts of any size can still be cut; the last 8 bits keep repeated rows apart. A sample of bounded size, drawn
     in proportion to a row's share of all bytes and of all rows, gives splitters, and these the ranges. A range that holds over
     ``OVERFULL`` times its share is subdivided at equal steps of its keys. Exact sums over ranges place every range, and a window
-    within each range places its rows; shard s takes the rows whose middle lies in the s-th part of all bytes. Within a range,
-    equal texts go where their first row goes, so shards differ by about one range at most. slot counts a shard's rows from 0.
+    within each range places its rows; shard s takes the rows whose middle lies in the s-th part of all bytes. Equal texts
+    in a range that are under 1 / ``SNAP`` of a shard go where their first row goes. slot counts a shard's rows from 0.
 
     Rows with equal ids and texts stay apart by slot alone; which of them has which is arbitrary, but neither shards' sizes nor
     the other columns depend on it. Ids may be null. Empty in, empty out."""
@@ -64,7 +66,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE
     starts = ranged.groupBy("range").agg(F.sum("size").alias("_b"), F.count("*").alias("_r")).select("range", F.coalesce(F.sum("_b").over(order), F.lit(0)).alias("_b"), F.coalesce(F.sum("_r").over(order), F.lit(0)).alias("_r"))
     within = Window.partitionBy("range").orderBy("key", F.col("id").asc_nulls_last(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     laid = ranged.withColumn("_middle", F.sum("size").over(within) - F.col("size") / 2).withColumn("_row", F.row_number().over(Window.partitionBy("range").orderBy("key", F.col("id").asc_nulls_last(), "size", "text_crc32")))
-    laid = laid.withColumn("_middle", F.first("_middle").over(Window.partitionBy("range", "text_crc32", "size", F.shiftright("key", 32)).orderBy("_row")))
+    same = Window.partitionBy("range", "text_crc32", "size", F.shiftright("key", 32))
+    small = F.sum("size").over(same) * SNAP <= all_bytes / shards
+    laid = laid.withColumn("_middle", F.when(small, F.min("_middle").over(same)).otherwise(F.col("_middle")))
     shard = F.least(F.lit(shards - 1), F.floor((F.col("_middle") + F.col("_b")) * shards / all_bytes)).cast("int")
     placed = stored(laid.join(sized_broadcast(stored(starts)), "range").select("id", "size", "text_crc32", shard.alias("shard"), (F.col("_row") + F.col("_r") - 1).alias("_row")))
     first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))  # one row per shard

@@ -235,7 +235,7 @@ def resolution_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", m.resolution_to_um(F.col("p_size") % 10, F.col("p_partkey") % 4).alias("um"), n.alias("numerator"), d.alias("denominator"))
 
 
-@query("SELECT p_partkey, regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(16,6)) * CAST(p_size AS DECIMAL(12,6)) * CAST(1000 AS DECIMAL(8,0)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS exposure FROM part")
+@query("SELECT p_partkey, regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(38,6)) * CAST(p_size AS DECIMAL(38,0)) * CAST(1000 AS DECIMAL(38,0)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS exposure FROM part")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.col("p_retailprice").cast("decimal(18,6)") * F.col("p_size").cast("decimal(12,6)") * 1000
     return read(spark, sf_dir, "part").select("p_partkey", m.plain_number(ms).alias("exposure"))

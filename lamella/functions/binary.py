@@ -71,3 +71,9 @@ def unsigned_offset(offset: Column) -> Column:
 def sub_resolutions(levels: Column, width: Column, height: Column) -> Column:
     """Sizes of a codestream's lower resolutions, each half the one above with halves rounded up."""
     return F.transform(F.sequence(F.lit(1), levels), lambda k: F.struct(k.alias("level"), F.ceil(width / F.pow(F.lit(2), k)).alias("width"), F.ceil(height / F.pow(F.lit(2), k)).alias("height")))
+
+
+def little_bytes(value: Column, size: int) -> Column:
+    """A whole number as ``size`` little-endian bytes."""
+    digits = F.right(F.lpad(F.hex(value.cast("long")), F.lit(16), F.lit("0")), F.lit(2 * size))
+    return F.unhex(F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))), ""))

@@ -3,9 +3,10 @@ series and tiles are derived from their columns inside each query."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamella.functions import binary as by
 from lamella.functions import geometry as g
 from lamella.functions import metadata as m
 from lamella.functions import tags
@@ -13,6 +14,7 @@ from lamella.operators import pyramid as p
 from lamella.operators import series as s
 from lamella.operators import tiles as t
 from lamella.plans import batch as b
+from lamella.sources import bigtiff, containers
 
 QUERIES, SQL = {}, {}
 TILE, GRID_TILE = 256, 2048
@@ -253,3 +255,60 @@ def predictor_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
     v = c.select("conv_id", "turn", F.col("i").cast("long").alias("i"), (F.ascii(F.substring(F.col("text"), F.col("i"), F.lit(1))) % 256).alias("v"))
     return p.undo_difference(v, ["conv_id", "turn"], "i", "v").drop("v")
+
+
+def hexed(text: str) -> Column:
+    return F.unhex(F.lit(text))
+
+
+@query("""
+WITH v AS (SELECT p_partkey::VARCHAR AS path, unnest([256, 257, 270]) AS tag, unnest([4, 4, 2]) AS type, unnest([1, 1, length('Aperio Image|' || p_name) + 1]) AS count, unnest([(256 + p_size * 977)::VARCHAR, (1 + p_partkey * 13)::VARCHAR, 'Aperio Image|' || p_name]) AS value FROM part)
+SELECT path, 0 AS ifd_no, tag, type, count, value FROM v""")
+def ifd_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of one directory for each part, made of bytes, then read as any file is."""
+    text = F.encode(F.concat(F.lit("Aperio Image|"), "p_name"), "UTF-8")
+    entry = lambda tag, kind, count, value: F.concat(by.little_bytes(F.lit(tag), 2), by.little_bytes(F.lit(kind), 2), by.little_bytes(count, 4), by.little_bytes(value, 4))
+    body = F.concat(entry(256, 4, F.lit(1), 256 + F.col("p_size") * 977), entry(257, 4, F.lit(1), 1 + F.col("p_partkey") * 13), entry(270, 2, F.octet_length(text) + 1, F.lit(50)))
+    files = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(hexed("49492A00080000000300"), body, hexed("00000000"), text, hexed("00")).alias("content"))
+    value = F.coalesce(F.element_at("value_long", 1).cast("string"), F.col("value_string"))
+    return containers.tiff_entries(files).select("path", "ifd_no", "tag", "type", "count", value.alias("value"))
+
+
+@query("""
+WITH h AS (SELECT p_partkey, hex(encode(p_name)) AS x, hex(encode(p_type)) AS y, p_partkey % 3 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'FFD8' || y || 'FFD9' ELSE 'FFD8' || x || 'FFEE000E41646F62650064000000000' || CASE k WHEN 1 THEN '0' ELSE '1' END || y || 'FFD9' END AS jpeg FROM h""")
+def jpeg_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, part = F.col("p_partkey") % 3, lambda c: F.concat(hexed("FFD8"), F.encode(c, "UTF-8"), hexed("FFD9"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.hex(by.spliced(F.when(k > 0, part("p_name")), part("p_type"), F.when(k == 1, 2).otherwise(6))).alias("jpeg"))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, unnest(range(0, p_size % 5)) AS chunk_no, 256 + p_partkey % 2 * 256 AS tile_x FROM part)
+SELECT p_partkey::VARCHAR AS path, chunk_no, chunk_no * 3 AS c0, p_partkey AS c1, CAST(5000000000 AS BIGINT) + p_partkey * 1000 + chunk_no AS "offset", 10 + chunk_no AS n_bytes, tile_x FROM c""")
+def ets_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile container for each part, made of bytes, then read as any file is."""
+    n, key = F.col("p_size") % 5, F.col("p_partkey")
+    num = by.little_bytes
+    head = F.concat(hexed("53495300" + "40000000" + "02000000" + "04000000"), num(F.lit(64), 8), num(F.lit(156), 4), num(F.lit(0), 4), num(F.lit(220), 8), num(n, 4), num(F.lit(0), 4), F.unhex(F.repeat(F.lit("00"), F.lit(16))))
+    extra = F.concat(hexed("45545300" + "01000000" + "02000000" + "03000000" + "04000000" + "02000000" + "5A000000"), num(256 + key % 2 * 256, 4), num(F.lit(256), 4), num(F.lit(1), 4), F.unhex(F.repeat(F.lit("00"), F.lit(112))), num(F.lit(1), 4))
+    chunk = lambda k: F.concat(hexed("00000000"), num(k * 3, 4), num(key, 4), num(F.lit(0), 8), num(F.lit(5_000_000_000) + key * 1000 + k, 8), num(10 + k, 4), num(F.lit(0), 4))
+    table = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), hexed(""), lambda got, k: F.concat(got, chunk(k)))).otherwise(hexed(""))
+    files = read(spark, sf_dir, "part").select(key.cast("string").alias("path"), F.concat(head, extra, table).alias("content"))
+    found = containers.ets_chunks(files)
+    return found.select("path", "chunk_no", F.element_at("coord", 1).alias("c0"), F.element_at("coord", 2).alias("c1"), "offset", "n_bytes", "tile_x")
+
+
+@query("""
+WITH t AS (SELECT s_suppkey::VARCHAR AS slide, CASE WHEN i < 4 THEN 0 ELSE 1 END AS level, CASE WHEN i < 4 THEN i ELSE 0 END AS tile_no, 10 + (s_suppkey * 7 + i * 3) % 50 AS n_bytes FROM supplier, range(0, 5) r(i))
+SELECT slide, level, tile_no, CAST(16 + coalesce(sum(n_bytes) OVER (PARTITION BY slide ORDER BY level, tile_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", n_bytes FROM t""")
+def bigtiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of two levels for each supplier is laid out, joined to bytes and read back."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("slide"), "s_suppkey")
+    i = F.col("i")
+    tiles = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("slide", (i > 3).cast("int").alias("level"), F.when(i < 4, i).otherwise(0).cast("long").alias("tile_no"), F.encode(F.repeat(F.lit("x"), (10 + (F.col("s_suppkey") * 7 + i * 3) % 50).cast("int")), "UTF-8").alias("bytes"))
+    images = s.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).select("slide", "level", F.when(F.col("level") == 0, 512).otherwise(256).cast("long").alias("width"), F.lit(300).cast("long").alias("height"), F.lit(256).alias("tile"), F.lit(7).alias("compression"), F.lit(6).alias("photometric"), F.lit(40_000_000).cast("long").alias("resolution"), F.lit(None).cast("string").alias("packet"))
+    parts = bigtiff.layout(tiles, images).groupBy("slide").agg(F.array_sort(F.collect_list(F.struct("offset", "bytes"))).alias("p"))
+    filled = lambda got, x: F.concat(got, F.when(x["offset"] > F.octet_length(got), hexed("00")).otherwise(hexed("")), x["bytes"])
+    files = parts.select(F.col("slide").alias("path"), F.aggregate("p", hexed(""), filled).alias("content"))
+    found = containers.tile_index(containers.directories(containers.tiff_entries(files)))
+    return found.select(F.col("path").alias("slide"), F.col("ifd_no").alias("level"), "tile_no", "offset", "n_bytes")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.functions.binary import little_bytes
 from lamella.operators.tiles import file_offsets
 
 # Names that the metadata packet gives its fields, and the padding after it.
@@ -80,8 +81,7 @@ def layout(tiles: DataFrame, images: DataFrame) -> DataFrame:
     dirs = d.select("slide", "level", "at", "last", "width", "height", "tile", "compression", "photometric", "resolution", "packet", "offsets", "byte_counts").mapInArrow(_images, "slide string, part int, offset long, bytes binary")
     heads = d.filter("level = 0").select("slide", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("offset"), "at")
     body = tiles.join(sized.select("slide", "level", "tile_no", "offset"), ["slide", "level", "tile_no"]).select("slide", F.col("level").cast("int").alias("part"), "offset", "bytes")
-    little = F.reverse(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(F.lpad(F.hex("at"), F.lit(16), F.lit("0")), i * 2 + 1, F.lit(2))))
-    header = heads.select("slide", "part", "offset", F.concat(F.unhex(F.lit("49492B0008000000")), F.unhex(F.array_join(little, ""))).alias("bytes"))
+    header = heads.select("slide", "part", "offset", F.concat(F.unhex(F.lit("49492B0008000000")), little_bytes(F.col("at"), 8)).alias("bytes"))
     return header.unionByName(body).unionByName(dirs)
 
 

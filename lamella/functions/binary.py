@@ -77,3 +77,47 @@ def little_bytes(value: Column, size: int) -> Column:
     """A whole number as ``size`` little-endian bytes."""
     digits = F.right(F.lpad(F.hex(value.cast("long")), F.lit(16), F.lit("0")), F.lit(2 * size))
     return F.unhex(F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))), ""))
+
+
+def narrow_float(bits: Column, size: int) -> Column:
+    """The double of a float of 16 bits (5 exponent, 10 mantissa) or 24 bits (7 and 16), given as a whole number; infinities and NaN as such."""
+    e_bits, m_bits = {16: (5, 10), 24: (7, 16)}[size]
+    top, bias = (1 << e_bits) - 1, (1 << (e_bits - 1)) - 1
+    sign = F.when(F.shiftright(bits, size - 1).bitwiseAND(1) == 1, -1.0).otherwise(1.0)
+    e, m = F.shiftright(bits, m_bits).bitwiseAND(top), bits.bitwiseAND((1 << m_bits) - 1)
+    usual = (1 + m / (1 << m_bits)) * F.pow(F.lit(2.0), e - bias)
+    tiny = m / (1 << m_bits) * F.pow(F.lit(2.0), F.lit(1 - bias))
+    special = F.when(m == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return sign * F.when(e == top, special).when(e == 0, tiny).otherwise(usual)
+
+
+def palette(color_map: Column, bits: int) -> Column:
+    """Three tables (red, green, blue) from a colour map; for 8 bits, entries above 255 give their high byte."""
+    n = F.call_function("div", F.size(color_map), F.lit(3)).cast("int")
+    entry = (lambda x: F.when(x > 255, F.shiftright(x, 8)).otherwise(x).bitwiseAND(255)) if bits <= 8 else (lambda x: x.bitwiseAND(65535))
+    return F.array(*(F.transform(F.slice(color_map, n * k + 1, n), entry) for k in range(3)))
+
+
+def interleaved(planes: Column) -> Column:
+    """Samples pixel by pixel, from one array a channel."""
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(F.element_at(planes, 1))), lambda i: F.transform(planes, lambda p: F.element_at(p, i))))
+
+
+def planar(samples: Column, channels: int) -> Column:
+    """One array a channel, from samples pixel by pixel."""
+    def one(k: int) -> Column:
+        return F.filter(samples, lambda _, i: i % channels == k)
+
+    return F.array(*map(one, range(channels)))
+
+
+def rows_per_strip(given: Column, tile_length: Column, height: Column) -> Column:
+    """Rows of a strip: the tile's or the image's without an entry, never above the height; unequal entries are an error."""
+    held = F.array_distinct(F.transform(given, lambda r: F.least(r, height)))
+    fake = F.when(F.coalesce(tile_length, F.lit(0)) == 0, height).otherwise(tile_length)
+    return F.when(given.isNull(), fake).when(F.size(held) == 1, F.element_at(held, 1)).otherwise(F.raise_error(F.lit("strips of unequal heights aren't handled")).cast("long"))
+
+
+def plane_rows(content: Column, start: Column, width_bytes: Column, rows: Column, pad: Column) -> Column:
+    """The rows of a raw plane as binaries; ``pad`` bytes follow each row."""
+    return F.transform(F.sequence(F.lit(0), rows - 1), lambda y: F.substring(content, (start + y * (width_bytes + pad) + 1).cast("int"), width_bytes.cast("int")))

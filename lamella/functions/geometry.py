@@ -62,3 +62,34 @@ def plane_index(order: str, z: Column, c: Column, t: Column, size_z: Column, siz
     at, length = {"Z": z, "C": c, "T": t}, {"Z": size_z, "C": size_c, "T": size_t}
     first, second, third = order[2:]
     return at[first] + length[first] * (at[second] + length[second] * at[third])
+
+
+def tile_or(size: Column, fallback: Column) -> Column:
+    """A tile's size, or what stands in for one that is missing or zero."""
+    return F.coalesce(F.nullif(size, F.lit(0)), fallback)
+
+
+def optimal_tile_height(tile_height: Column, tile_width: Column, height: Column, row_bytes: Column) -> Column:
+    """Rows to read at a time: the tile's or the image's, unless that is a single row or over 10 Mi pixels; then about 1 MiB of rows."""
+    tall = F.when(F.coalesce(tile_height, F.lit(0)) <= 0, height).otherwise(tile_height)
+    few = F.greatest(F.lit(1), F.least(height, whole(F.lit(1 << 20), F.greatest(F.lit(1), row_bytes))))
+    return F.when((tall.cast("long") * tile_width > 10 * 1024 * 1024) | (tall <= 1), few).otherwise(tall).cast("long")
+
+
+def thumbnail(width: Column, height: Column, box: int = 128) -> tuple[Column, Column]:
+    """Size of a thumbnail: the longer side is ``box``, the other keeps the proportion; smaller images stay."""
+    wide, small = width > height, (width <= box) & (height <= box)
+    w = F.when(small, width).when(wide, box).otherwise(F.greatest(F.lit(1), whole(width * box, height)))
+    h = F.when(small, height).when(wide, F.greatest(F.lit(1), whole(height * box, width))).otherwise(F.lit(box))
+    return w, h
+
+
+def rgb_channels(size_c: Column, image_count: Column, size_z: Column, size_t: Column) -> tuple[Column, Column]:
+    """(planes' channels, samples of a plane): images over z and t, and channels over that; 0 where a length is 0."""
+    planes = F.when(size_z * size_t == 0, 0).otherwise(whole(image_count, F.greatest(size_z * size_t, F.lit(1))))
+    return planes, F.when(planes == 0, 0).otherwise(whole(size_c, F.greatest(planes, F.lit(1))))
+
+
+def rotation(angle: Column) -> Column:
+    """Matrix of a rotation by an angle in radians."""
+    return F.struct(F.cos(angle).alias("a00"), (-F.sin(angle)).alias("a01"), F.sin(angle).alias("a10"), F.cos(angle).alias("a11"))

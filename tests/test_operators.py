@@ -132,3 +132,46 @@ def test_series_lists(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL) and len(QUERIES) >= 27
+
+
+def test_narrow_floats(spark):
+    import struct
+
+    df = spark.createDataFrame([(i,) for i in (0, 1, 0x3C00, 0xC500, 0x7BFF, 0x0400, 0x8001, 0x7C00)], "v long")
+    want = [struct.unpack("<e", struct.pack("<H", r[0]))[0] for r in df.collect()]
+    assert [r[0] for r in df.select(b.narrow_float(F.col("v"), 16)).collect()] == want
+    assert spark.range(1).select(b.narrow_float(F.lit((63 << 16) | (1 << 15)), 24)).first()[0] == 1.5
+
+
+def test_sample_orders(spark):
+    row = spark.range(1).select(b.interleaved(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4)))).alias("i"), b.planar(F.array(*map(F.lit, (1, 3, 2, 4))), 2).alias("p"), b.palette(F.array(*map(F.lit, (300, 7, 65535, 1, 2, 3))), 8).alias("t")).first()
+    assert row.i == [1, 3, 2, 4] and row.p == [[1, 2], [3, 4]] and row.t == [[1, 7], [255, 1], [2, 3]]
+    strips = spark.createDataFrame([([9, 9], 0, 5), (None, 0, 7), (None, 3, 7)], "g array<long>, t long, h long")
+    assert [r[0] for r in strips.select(b.rows_per_strip(F.col("g"), F.col("t"), F.col("h"))).collect()] == [5, 7, 3]
+    assert [bytes(x) for x in spark.createDataFrame([(bytearray(b"-ab.cd.ef."),)], "c binary").select(b.plane_rows(F.col("c"), F.lit(1), F.lit(2), F.lit(3), F.lit(1))).first()[0]] == [b"ab", b"cd", b"ef"]
+
+
+def test_reading_sizes(spark):
+    df = spark.createDataFrame([(0, 100, 50), (20_000, 20_000, 20_000), (256, 256, 900), (1, 900, 5)], "th long, tw long, h long")
+    assert [r[0] for r in df.select(g.optimal_tile_height(F.col("th"), F.col("tw"), F.col("h"), F.lit(60_000))).collect()] == [50, 17, 256, 5]
+    sizes = spark.createDataFrame([(1000, 500), (100, 90), (300, 600)], "w long, h long")
+    assert [tuple(r) for r in sizes.select(*g.thumbnail(F.col("w"), F.col("h"))).collect()] == [(128, 64), (100, 90), (64, 128)]
+    assert tuple(spark.range(1).select(*g.rgb_channels(F.lit(6), F.lit(8), F.lit(2), F.lit(2))).first()) == (2, 3)
+    assert spark.range(1).select(g.tile_or(F.lit(0), F.lit(9))).first()[0] == 9
+
+
+def test_directories(spark):
+    from lamella.operators import directories as d
+
+    entries = spark.createDataFrame([("a", 1, 0, 270, "x"), ("a", 0, 3, 270, "y"), ("a", 0, 5, 270, "z")], "path string, ifd_no int, entry_no int, tag int, value_string string")
+    assert [tuple(r) for r in d.first_entry(entries, 270, "value_string").collect()] == [("a", "y")]
+    main = spark.createDataFrame([("a", 0, 10, [70, 60]), ("a", 1, 20, None)], "path string, ifd_no int, offset long, sub_offsets array<long>")
+    subs = spark.createDataFrame([("a", 60), ("a", 70), ("a", 99)], "path string, offset long")
+    assert [(r.pos, r.offset, r.is_sub) for r in d.with_sub_directories(main, subs).orderBy("pos").collect()] == [(0, 10, False), (1, 20, False), (2, 70, True), (3, 60, True)]
+    series_rows = spark.createDataFrame([("a", 0, 100, 100, "u8"), ("a", 1, 50, 50, "u8"), ("a", 2, 0, 10, "u8")], "path string, r int, width long, height long, pixel_type string")
+    assert [r.r for r in d.smallest_usable(series_rows, "path", "r", "width", "height").collect()] == [1]
+    assert d.split_series(series_rows, "path").first().separate
+    lenses = spark.createDataFrame([("a", 1, 0, "o1", 40), ("a", 0, 1, "o1", 20)], "path string, instrument int, position int, objective_id string, magnification int")
+    images = spark.createDataFrame([("a", "o1"), ("a", "none")], "path string, objective_id string")
+    found = d.image_metadata(d.objective_of(images, lenses)).orderBy("objective_id").collect()
+    assert [r.magnification for r in found] == [None, 20] and found[1].image_meta.objective.objective_id == "o1" and found[1].image_meta.acquired is None

@@ -49,29 +49,24 @@ def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for each node in ``edges`` (a, b: long); nodes without an edge are not in it.
 
-    Each round hooks a node to its smallest smaller neighbour, follows hooks to their roots by doubling, and replaces edges by
-    those between roots; the number of rounds grows with the logarithm of the longest path. Every round's tables are stored, so
-    a lost executor costs one round at most, and joins on a hot root have stored sides that Spark can split."""
-    ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    left, labels = stored(ends), None
-    while not left.isEmpty():
+    Each round hooks a node to its smallest smaller neighbour, shortens hooks once, and replaces edges by those between the nodes
+    hooked to; a hook that isn't at its root yet leaves an edge, so the work ends when no edge is left. The number of rounds grows
+    with the logarithm of the longest path. Every round's tables are stored: a lost executor costs one round at most, and joins on
+    a hot node have stored sides that Spark can split."""
+    left, labels = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()), None
+    if left.isEmpty():
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    while True:
         hooks = stored(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
-        while True:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-            deeper = hooks.join(up, "root", "left")
-            jumped = stored(deeper.select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")))
-            hooks = jumped.select("node", "root")
-            if jumped.filter("_moved").isEmpty():
-                break
+        hooks = stored(hooks.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root", "left").select("node", F.coalesce("_up", "root").alias("root")))
         if labels is None:
-            labels = hooks
+            labels = nodes.join(hooks, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
         else:
-            moved = labels.join(hooks.withColumnRenamed("node", "_r").withColumnRenamed("root", "_new"), F.col("root") == F.col("_r"), "left").select("node", F.coalesce("_new", "root").alias("root"))
-            labels = stored(moved.unionByName(hooks.join(labels, "node", "left_anti")))
+            labels = labels.join(hooks.select(F.col("node").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
         for side in ("a", "b"):
             left = left.join(hooks.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
         left = stored(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    if labels is None:
-        return ends.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    roots = labels.select(F.col("root").alias("node")).distinct().join(labels, "node", "left_anti")
-    return stored(labels.unionByName(roots.withColumn("root", F.col("node"))).withColumnRenamed("root", "component"))
+        if left.isEmpty():
+            return stored(labels)
+        labels = stored(labels)

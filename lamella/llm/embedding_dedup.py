@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.llm.blocks import groups, roots
 from lamella.llm.common import components, digest, sized_broadcast, stored
 
 #: Least cosine; width of a quantisation step; chance to find a pair just at the limit; unrelated vectors in a bucket; vectors in a block.
@@ -63,19 +64,6 @@ def _keys(k: int, tables: int, width: float, seed: int):
     return run
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least place that each place reaches by the pairs (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, i, root[j])
-        np.minimum.at(low, j, root[i])
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
 def _compare(cosine: float):
     def group(t: int, parts: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         node, copies, first, second = (parts.column(c).to_numpy() for c in ("node", "copies", "first", "second"))
@@ -92,27 +80,13 @@ def _compare(cosine: float):
             if len(i):
                 links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
                 some = np.flatnonzero(links)
-                yield node[some], links[some].astype(np.int64), node[_roots(len(node), i, j)[some]]
+                yield node[some], links[some].astype(np.int64), node[roots(len(node), i, j)[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(rows)
+        for whole in groups(batches, "g"):
             for out in group(whole.column("t")[0].as_py(), whole):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["node", "links", "root"])
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            g = batch.column("g").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[0].column("g")[0].as_py() != g[s]:
-                    yield from told(held)
-                    held = []
-                if e > s:
-                    held.append(batch.slice(s, e - s))
-        if held:
-            yield from told(held)
-
     return run
 
 

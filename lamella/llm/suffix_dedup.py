@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.llm.blocks import groups
 from lamella.llm.common import sized_broadcast, stored
 from lamella.llm.tokens import mix64, pieces
 
@@ -184,18 +185,12 @@ def _merge(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e == s:
-                    continue
-                if size > BATCH and key[s] != last:
-                    yield from told(held)
-                    held, size = [], 0
-                held.append(batch.slice(s, e - s))
-                size, last = size + int(e - s) * 2 * length, key[s]
+        size = 0
+        for group in groups(batches, "key"):
+            held, size = [*held, *group.to_batches()], size + group.num_rows * 2 * length
+            if size > BATCH:
+                yield from told(held)
+                held, size = [], 0
         if held:
             yield from told(held)
 

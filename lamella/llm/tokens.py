@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-PIECE = 2 << 20
+PIECE = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _OLD = np.seterr(over="ignore")
 
@@ -43,7 +43,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -53,7 +53,7 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
         yield i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 

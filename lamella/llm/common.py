@@ -39,6 +39,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, for a stage that sends whole texts to Python: lowers the session's rows of an Arrow batch to ``rows`` at most, so that a
+    worker holds a few MB of text at a time and not thousands of documents."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """A hint to broadcast ``df`` if a count shows at most ``max_rows`` rows, else ``df`` as it is, for a shuffled join.
 

@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import components, sized_broadcast, stored
+from lamella.llm.blocks import groups, roots
+from lamella.llm.common import components, sized_broadcast, small_batches, stored
 from lamella.llm.tokens import mix64, pieces, shingles, split
 
 #: Words in a shingle; similarity in per cent; minhashes in one component of a key; chance to find a pair just at the limit.
 WORDS, PERCENT, ROWS, RECALL, SEED = 5, 80, 3, 0.999, 5
+#: Nodes in a block that one task compares.
+BLOCK = 512
 SIGNED = "rk long, id long, n_shingles long, s1 long, s2 long, t1 array<long>, t2 array<long>"
 
 
@@ -74,7 +77,7 @@ def _sets(words: int):
 
 
 def _buckets(classes: DataFrame, size: int) -> DataFrame:
-    """k, node: the tables' buckets that hold two nodes at least, one of those with the same nodes.
+    """k, node, least, top: the tables' buckets that hold two nodes at least, with their least and largest; one of those with the same nodes.
 
     A component that no other node has can't make a shared key, so only shared components are paired."""
     parts = stored(classes.select("node", F.posexplode(F.concat("t1", "t2")).alias("i", "v")))
@@ -82,39 +85,110 @@ def _buckets(classes: DataFrame, size: int) -> DataFrame:
     mine = parts.join(shared, ["i", "v"]).groupBy("node").agg(F.collect_list(F.when(F.col("i") < size, F.struct("i", "v"))).alias("a"), F.collect_list(F.when(F.col("i") >= size, F.struct("i", "v"))).alias("b"))
     keys = F.flatten(F.transform("a", lambda x: F.transform(F.col("b"), lambda y: F.xxhash64(x["i"], x["v"], y["i"], y["v"]))))
     keyed = stored(mine.select("node", F.explode(keys).alias("k")))
-    full = keyed.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).filter("n > 1")
-    kept = stored(full.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k"))
+    full = keyed.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.min("node").alias("least"), F.max("node").alias("top")).filter("n > 1")
+    kept = stored(full.groupBy("n", "x", "y", "least", "top").agg(F.min("k").alias("k")).select("k", "least", "top"))
     return stored(keyed.join(kept, "k"))
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _shared(found: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Members that each set of ``first`` has in common with each of ``second``: products of 0/1 tables, some columns at a time."""
+    _, column, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    row, column = row[count[column] > 1], column[count[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    order, same = np.argsort(column, kind="stable"), np.zeros((len(first), len(second)), np.float32)
+    row, column, width = row[order], column[order], 8192
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [at, at + width])
+        table = np.zeros((len(found), width), np.float32)
+        table[row[i:j], column[i:j] - at] = 1
+        same += table[first] @ table[second].T
+    return same.astype(np.int64)
+
+
+def _compared(limit: int):
+    """Pairs of blocks, one after another: edges that join what the links between the two sides' nodes join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, "g"):
+            node, comp, first, second = (t.column(c).to_numpy() for c in ("node", "comp", "first", "second"))
+            found = t.column("found").combine_chunks()
+            ends, flat = found.offsets.to_numpy(), found.values.to_numpy()
+            n, a, b = np.diff(ends), np.flatnonzero(first), np.flatnonzero(second)
+            same = _shared([flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], a, b)
+            i, j = np.nonzero((same * 100 >= (n[a][:, None] + n[b][None, :] - same) * limit) & (comp[a][:, None] != comp[b][None, :]))
+            root = roots(len(node), a[i], b[j])
+            some = np.flatnonzero(root != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], ["a", "b"])
+
+    return run
+
+
+def _families(buckets: DataFrame) -> DataFrame:
+    """node, family, members: nodes that share a bucket, directly or by way of others, are a family."""
+    found = components(buckets.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    counts = stored(found.groupBy("component").agg(F.count("*").alias("members")))
+    return stored(found.join(counts, "component").select("node", F.col("component").alias("family"), "members"))
+
+
+def _block_links(rest: DataFrame, sets: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
+    """Links within groups (k, node, comp). A group of at most ``block`` nodes is compared in one task. In a larger one, nodes outside
+    its largest component are compared with all nodes, in pairs of blocks; each pair of blocks is a group of its own, so no task
+    holds a large group, and nothing is compared within the largest component."""
+    rest = stored(rest)
+    per = rest.groupBy("k", "comp").count()
+    main = per.groupBy("k").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n"))
+    main = stored(main.select("k", F.col("m.comp").alias("main"), (F.col("n") <= block).alias("one"), F.ceil((F.col("n") - F.col("m.count")) / block).alias("minor"), F.ceil(F.col("m.count") / block).alias("major")))
+    spots = rest.join(sized_broadcast(main.filter("minor > 0")), "k").withColumn("small", F.col("comp") != F.col("main"))
+    spots = spots.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("small"), F.col("minor")).otherwise(F.col("major"))))
+
+    def pair(lo: Column, hi: Column, kind: int, first: Column, second: Column) -> Column:
+        return F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), F.lit(kind).alias("kind"), first.alias("first"), second.alias("second"))
+
+    own, yes, no = F.col("own"), F.lit(True), F.lit(False)
+    minor, major = (F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("minor", "major"))
+    with_minor = F.transform(minor, lambda o: F.when(F.col("small"), pair(F.least(o, own), F.greatest(o, own), 0, own <= o, own >= o)).otherwise(pair(o, own, 1, no, yes)))
+    with_major = F.transform(major, lambda o: pair(own, o, 1, yes, no))
+    pairs = F.when(F.col("one"), F.array(pair(F.lit(0), F.lit(0), 2, yes, yes))).when(F.col("small"), F.concat(with_minor, with_major)).otherwise(with_minor)
+    spots = spots.select("k", "node", "comp", F.explode(pairs).alias("p")).select("node", "comp", F.xxhash64("k", "p.kind", "p.lo", "p.hi").alias("g"), "p.first", "p.second")
+    sent = spots.join(sets, "node").select("g", "node", "comp", "first", "second", "found").repartition("g").sortWithinPartitions("g")
+    return stored(sent.mapInArrow(_compared(limit), "a long, b long"))
+
+
+def _links(buckets: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """a, b: links that join the same nodes as all links between nodes that share a bucket do.
 
-    Each round takes one node of a bucket as its centre and compares it, on full sets, with all others there. One minus the
-    similarity is a metric: with a limit of t, a node that is farther than 2 t from the centre can't link with one that is within t.
-    So the bucket falls into the near ones and the far ones, and those between belong to both. A bucket ends when all its nodes
-    are in one component. No pair of different components is passed over, and no bucket's pairs are all made."""
+    Families of at most ``block`` nodes are compared whole, each set sent once. In a larger family, each bucket's largest node is
+    its centre and compared, on full sets, with all others there. One minus the similarity is a metric: with a limit of t, a node
+    that is farther than 2 t from the centre can't link with one that is within t. So the bucket falls into the near ones and the
+    far ones, and those between belong to both. What still has several components is compared by blocks, of whole families or of
+    buckets, whichever sends fewer sets. No pair of different components that shares a bucket is passed over."""
     limit, twice = percent, max(0, 2 * percent - 100)
+    if buckets.isEmpty():
+        return buckets.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    families = _families(buckets)
+    links = _block_links(families.filter(F.col("members") <= block).select(F.col("family").alias("k"), "node", F.col("node").alias("comp")), sets, limit, block)
     sizes = sets.select("node", F.size("found").alias("n"))
-    live = stored(buckets.join(sizes, "node").withColumn("comp", F.col("node")))
-    links = None
-    while not live.isEmpty():
-        centres = live.groupBy("k").agg(F.max(F.struct("comp", "node", "n")).alias("c"), F.min("comp").alias("_least")).filter("c.comp > _least").select("k", F.col("c.node").alias("c"), F.col("c.n").alias("cn"))
-        asked = stored(live.join(stored(centres), "k").filter("node <> c"))
-        close = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * twice
-        pairs = asked.filter(close).select("node", "c").distinct()
-        both = pairs.join(sets.select("node", F.col("found").alias("x")), "node").join(sets.select(F.col("node").alias("c"), F.col("found").alias("y")), "c")
-        counted = both.select("node", "c", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("same"))
-        told = stored(counted.select("node", "c", F.when(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * limit, 0).when(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * twice, 1).otherwise(2).alias("zone")))
-        new = told.filter("zone = 0").select(F.col("node").alias("a"), F.col("c").alias("b"))
-        links = stored(links.unionByName(new) if links is not None else new)
-        comps = components(links).withColumnRenamed("component", "_comp")
-        split_up = asked.join(told, ["node", "c"], "left").withColumn("zone", F.coalesce("zone", F.lit(2)))
-        parts = split_up.select("node", "n", F.explode(F.when(F.col("zone") == 0, F.array(F.xxhash64("k", F.lit(0)))).when(F.col("zone") == 2, F.array(F.xxhash64("k", F.lit(2)))).otherwise(F.array(F.xxhash64("k", F.lit(0)), F.xxhash64("k", F.lit(2))))).alias("k"))
-        live = stored(parts.join(comps, "node", "left").select("k", "node", "n", F.coalesce("_comp", "node").alias("comp")))
-        ends = live.groupBy("k").agg(F.min("comp").alias("u"), F.max("comp").alias("v")).filter("u < v").select("k")
-        live = stored(live.join(stored(ends), "k"))
-    return links if links is not None else buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    asked = stored(buckets.join(families.filter(F.col("members") > block).join(sizes, "node"), "node").filter("node <> top").select("k", "node", "n", "family", F.col("top").alias("c")))
+    if asked.isEmpty():
+        return links
+    close = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * twice
+    pairs = asked.select("node", "n", "c").distinct().join(sizes.select(F.col("node").alias("c"), F.col("n").alias("cn")), "c").filter(close).select("node", "c")
+    both = pairs.join(sets.select("node", F.col("found").alias("x")), "node").join(sets.select(F.col("node").alias("c"), F.col("found").alias("y")), "c")
+    counted = both.select("node", "c", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("same"))
+    told = stored(counted.select("node", "c", F.when(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * limit, 0).when(F.col("same") * 100 >= (F.col("n") + F.col("m") - F.col("same")) * twice, 1).otherwise(2).alias("zone")))
+    new = told.filter("zone = 0").select(F.col("node").alias("a"), F.col("c").alias("b"))
+    comps = components(new).select("node", F.col("component").alias("_comp"))
+    zoned = asked.join(told, ["node", "c"], "left").withColumn("zone", F.coalesce("zone", F.lit(2)))
+    near, far = F.xxhash64("k", F.lit(0)), F.xxhash64("k", F.lit(2))
+    parts = zoned.select("node", "family", F.explode(F.when(F.col("zone") == 0, F.array(near)).when(F.col("zone") == 2, F.array(far)).otherwise(F.array(near, far))).alias("k"))
+    live = stored(parts.join(comps, "node", "left").select("k", "node", "family", F.coalesce("_comp", "node").alias("comp")))
+    sent = lambda n: n * F.ceil(n / block)
+    per_bucket = live.groupBy("family", "k").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum(sent(F.col("n"))).alias("sent"))
+    whole = live.select("family", "node").distinct().groupBy("family").agg(F.count("*").alias("n"))
+    by = stored(per_bucket.join(whole, "family").select("family", (sent(F.col("n")) <= F.col("sent")).alias("whole")))
+    left = live.join(sized_broadcast(by), "family").select(F.when(F.col("whole"), F.col("family")).otherwise(F.col("k")).alias("k"), "node", "comp").distinct()
+    return links.unionByName(new).unionByName(_block_links(left, sets, limit, block))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,7 +203,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     with chance ``recall`` or more, and what is found is verified exactly."""
     size = collection_size(percent, rows, recall)
     d = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(d.mapInArrow(_signatures(words, size, rows, seed), SIGNED).withColumn("node", F.xxhash64("s1", "s2")))
+    signed = stored(small_batches(d).mapInArrow(_signatures(words, size, rows, seed), SIGNED).withColumn("node", F.xxhash64("s1", "s2")))
     classes = stored(signed.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "rk")).alias("one"), F.min("id").alias("id"), F.min(F.struct("t1", "t2")).alias("t")).select("node", "id", F.col("one.rk").alias("rk"), "t.t1", "t.t2"))
     buckets = _buckets(classes, size)
     asked = stored(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("rk"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.llm.common import small_batches
 from lamella.llm.labelled import remainder, sample
 from lamella.llm.tokens import BASE, Words, mix64, pieces, split
 
@@ -147,7 +148,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE,
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, n), batch.column("held_out").slice(at, n), pa.array(model.scores(model.margins(*features(data, offs))))], ["id", "held_out", "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    scored = docs.select(F.col(id_col).alias("id"), (remainder(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, held_out boolean, score double")
+    scored = small_batches(docs).select(F.col(id_col).alias("id"), (remainder(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.blocks import groups
-from lamella.llm.common import sized_broadcast, stored
+from lamella.llm.common import sized_broadcast, small_batches, stored
 from lamella.llm.tokens import mix64, pieces
 
 #: Bytes of a repeat; bytes of a seed; slices in a group above which its range is divided; rows of 8-byte keys that may be broadcast.
@@ -239,7 +239,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, width: int = SEED_
        divided again, down to single windows."""
     d = docs.select("rk", "text").filter(F.octet_length("text") >= length)
     half = length // 2
-    places = stored(d.mapInArrow(_find_anchors(length, width), SPOTS))
+    places = stored(small_batches(d).mapInArrow(_find_anchors(length, width), SPOTS))
     keys = stored(places.select(F.explode(F.array("near", "far")).alias("key")).filter("key <> 0").groupBy("key").count().filter("count > 1").select("key"))
     known = sized_broadcast(keys, KEY_ROWS)
     near, far = known.withColumnRenamed("key", "_near"), known.withColumnRenamed("key", "_far")

@@ -203,8 +203,11 @@ def test_near_dedup(docs, empty, n, percent):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_near_dedup_compares_blocks(spark):
-    """A bucket of many texts that are neither near nor far: links must come from the blocks."""
+@pytest.mark.parametrize("block", [512, 7, 1])
+def test_near_dedup_compares_blocks(spark, monkeypatch, block):
+    """Many texts that are neither near nor far, by one block and by many."""
+    whole = near_dedup._links
+    monkeypatch.setattr(near_dedup, "_links", lambda b, s, p: whole(b, s, p, block))
     rnd = random.Random(1)
     base = [str(i) for i in range(100)]
     data = []
@@ -351,3 +354,19 @@ def test_hinge_model_separates():
 
 def test_sha_of_op_queries(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.sql("select sha2(cast('' as binary), 256)").first()[0]
+
+
+def test_license_scan(spark, docs, empty):
+    from lamella.llm import licenses
+
+    data = [
+        (1, "Copyright 2020 Somebody\n\n" + licenses.MIT.upper().replace("SUBLICENSE", "SUBLICENCE") + "\n(c) again"),
+        (2, "prose here\r\n  Licenced under the Apache Licence -- Version 2.0\r\nmore"),
+        (3, "All rights reserved.\nall RIGHTS reserved\nReleased under the MIT License."),
+        (4, "not All rights reserved."),
+        (5, None), (6, ""), (7, "© 2021 All rights reserved."), (None, "ISC license"), (8, "Licensed under CC BY-NC 4.0"), (8, "Licensed under CC BY-NC 4.0"), (9, licenses.ISC.replace("\n", " ")),
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame([(*r, 0, 0) for r in data], "doc_id long, text string, k1 int, lines int")).collect()
+    want = [("1", 3, 1, ["MIT"], "MIT"), ("2", 3, 1, ["Apache-2.0"], None), ("3", 3, 2, ["MIT", "all-rights-reserved"], None), ("4", 1, 0, [], None), ("5", 0, 0, [], None), ("6", 0, 0, [], None), ("7", 0, 0, [], None), ("None", 1, 1, ["ISC"], "ISC"), ("8", 1, 1, ["CC-BY-NC-4.0"], "CC-BY-NC-4.0"), ("8", 1, 1, ["CC-BY-NC-4.0"], "CC-BY-NC-4.0"), ("9", 1, 1, ["ISC"], "ISC")]
+    assert sorted((str(r.doc_id), r.n_units, r.n_hits, r.licenses, r.whole) for r in got) == sorted(want)
+    assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0

@@ -70,13 +70,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     t = t.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     t = stored(apportion(t.withColumn("_all", F.lit(0)), ["_all"], "target", "_seats", ["source"]).drop("_all", "_seats"))
     t = t.withColumn("_shards", F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("_docs")) / shard_words))).cast("long")).withColumnRenamed("quota", "_seats")
-    t = t.withColumnRenamed("source", "_source").drop("_docs")
-    dealt = d.join(sized_broadcast(t), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_shard", F.pmod("_h", "_shards"))
-    shards = dealt.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.max("_seats").alias("_seats"))
-    q = apportion(shards, ["source"], "_words", "_seats", ["_shard"]).select(F.col("source").alias("_source"), F.col("_shard").alias("_s"), "_words", "quota")
-    w = Window.partitionBy("source", "_shard").orderBy("_h", F.col("id").asc_nulls_last(), "size")
+    # a number for each source, so that nulls and names don't keep later steps from sharing one shuffle
+    t = t.withColumn("_sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumnRenamed("source", "_source").drop("_docs")
+    dealt = d.join(sized_broadcast(stored(t)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_shard", F.pmod("_h", "_shards"))
+    shards = dealt.groupBy("_sid", "_shard").agg(F.sum("size").alias("_words"), F.max("_seats").alias("_seats"))
+    q = stored(apportion(shards, ["_sid"], "_words", "_seats", ["_shard"]).select("_sid", "_shard", "_words", "quota"))
+    w = Window.partitionBy("_sid", "_shard").orderBy("_h", F.col("id").asc_nulls_last(), "size")
     laid = dealt.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
-    laid = laid.join(q, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_s")))
+    laid = laid.join(q, ["_sid", "_shard"])
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_words") / block)).cast("long")
     laid = laid.withColumn("_blocks", blocks).withColumn("_quota", F.least(F.col("quota"), most * F.col("_blocks"))).withColumn("_full", F.floor(F.col("_quota") / F.col("_blocks"))).withColumn("_more", F.col("_quota") % F.col("_blocks"))
     turn = F.xxhash64(F.lit(seed), "source", "_shard")

@@ -16,8 +16,8 @@ from lamella.llm.tokens import mix64, pieces, shingles, split
 
 #: Words in a shingle; similarity in per cent; minhashes in one component of a key; chance to find a pair just at the limit.
 WORDS, PERCENT, ROWS, RECALL, SEED = 5, 80, 3, 0.999, 5
-#: Nodes in a block that one task compares.
-BLOCK = 512
+#: Nodes in a block that one task compares; blocks of a family that are compared without centres.
+BLOCK, DIRECT = 512, 8
 SIGNED = "rk long, id long, n_shingles long, s1 long, s2 long, t1 array<long>, t2 array<long>"
 
 
@@ -155,10 +155,11 @@ def _block_links(rest: DataFrame, sets: DataFrame, limit: int, block: int = BLOC
     return stored(sent.mapInArrow(_compared(limit), "a long, b long"))
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def _links(buckets: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, direct: int = DIRECT) -> DataFrame:
     """a, b: links that join the same nodes as all links between nodes that share a bucket do.
 
-    Families of at most ``block`` nodes are compared whole, each set sent once. In a larger family, each bucket's largest node is
+    Families of at most ``block`` nodes are compared whole, each set sent once, and those of up to ``direct`` blocks by pairs of blocks,
+    which sends a set about as often as there are blocks. In a larger family, each bucket's largest node is
     its centre and compared, on full sets, with all others there. One minus the similarity is a metric: with a limit of t, a node
     that is farther than 2 t from the centre can't link with one that is within t. So the bucket falls into the near ones and the
     far ones, and those between belong to both. What still has several components is compared by blocks, of whole families or of
@@ -167,9 +168,9 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK
     if buckets.isEmpty():
         return buckets.select(F.col("node").alias("a"), F.col("node").alias("b"))
     families = _families(buckets)
-    links = _block_links(families.filter(F.col("members") <= block).select(F.col("family").alias("k"), "node", F.col("node").alias("comp")), sets, limit, block)
+    links = _block_links(families.filter(F.col("members") <= block * direct).select(F.col("family").alias("k"), "node", F.col("node").alias("comp")), sets, limit, block)
     sizes = sets.select("node", F.size("found").alias("n"))
-    asked = stored(buckets.join(families.filter(F.col("members") > block).join(sizes, "node"), "node").filter("node <> top").select("k", "node", "n", "family", F.col("top").alias("c")))
+    asked = stored(buckets.join(families.filter(F.col("members") > block * direct).join(sizes, "node"), "node").filter("node <> top").select("k", "node", "n", "family", F.col("top").alias("c")))
     if asked.isEmpty():
         return links
     close = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * twice

@@ -203,11 +203,11 @@ def test_near_dedup(docs, empty, n, percent):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [512, 7, 1])
-def test_near_dedup_compares_blocks(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "direct"), [(512, 1), (7, 99), (7, 1), (1, 1)])
+def test_near_dedup_compares_blocks(spark, monkeypatch, block, direct):
     """Many texts that are neither near nor far, by one block and by many."""
     whole = near_dedup._links
-    monkeypatch.setattr(near_dedup, "_links", lambda b, s, p: whole(b, s, p, block))
+    monkeypatch.setattr(near_dedup, "_links", lambda b, s, p: whole(b, s, p, block, direct))
     rnd = random.Random(1)
     base = [str(i) for i in range(100)]
     data = []

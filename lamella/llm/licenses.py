@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.common import ascii_lower, digest
+from lamella.llm.license_texts import LONG, MORE, MORE_PARTS, titled
 
 # Public licence texts and the notices that stand for a licence.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -22,52 +26,111 @@ KNOWN = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
     "all-rights-reserved": ["All rights reserved."],
 }
+#: Titled and partial forms of the two texts above.
+FORMS = {
+    "MIT": [*titled(MIT, "MIT License", "The MIT License", "The MIT License (MIT)")],
+    "ISC": [x.replace("and/or", word) for word in ("and/or", "and") for x in titled(ISC, "ISC License", "The ISC License", "ISC License (ISC)")],
+}
+#: Parts that name a licence where no more of it is found as a unit, as when lines of other text follow at once.
+PARTS = {"MIT": [MIT.split("\n")[0]], "ISC": [ISC.split("\n")[0].replace("and/or", word) for word in ("and/or", "and")]} | MORE_PARTS
+#: All known texts: those above, which the SQL has too, and those of ``license_texts``.
+FULL = {name: [x for table in (KNOWN, FORMS, MORE) for x in table.get(name, [])] for name in dict.fromkeys([*KNOWN, *MORE])}
+#: Most paragraphs that are joined to a unit.
+RUN = 8
 #: Equivalent spellings, whole words, after lower-casing.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "authorised": "authorized", "organisation": "organization", "favour": "favor", "whilst": "while", "noninfringement": "non infringement", "v2": "version 2", "v3": "version 3"}
 COPYRIGHT_LINE = r"^[^a-z0-9\x{80}-\x{10FFFF}]*(copyright\b|\(c\)|©).*$"
+#: As above, but a hard-wrapped line that goes on with "copyright notice" and the like is text.
+COPYRIGHT_CLAUSE = r"^[^a-z0-9\x{80}-\x{10FFFF}]*(copyright\b(?![ \t]+(?:notice|holder|owner|law|license|licence|interest|statement|disclaimer)s?\b)|\(c\)|©)"
 APART = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+BLANK_LINES = r"\r?\n[ \t\x0B\f\r\n]*\n"
+#: Digest of an empty unit.
+NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def canonical_lines(text: Column) -> Column:
-    """The text's lines in canonical form, without copyright lines and those that are empty then."""
+def openings(known: dict[str, list[str]]) -> str:
+    """Pattern of the first three words of the known texts: what follows a copyright clause begins with one of them."""
+    first = {r"[^a-z0-9]+".join(re.findall("[a-z0-9]+", text.lower())[:3]) for texts in known.values() for text in texts}
+    return "|".join(sorted(first, key=lambda x: (-len(x), x)))
+
+
+def canonical_paragraphs(text: Column, after: str | None = None) -> Column:
+    """For each part of the text between blank lines, its lines in canonical form, without those that are empty then.
+
+    Copyright lines go. With ``after``, only the clause goes, up to the first place that matches it, and the line begins with a C, which no
+    other canonical line holds."""
+    clause = COPYRIGHT_CLAUSE + (".*$" if after is None else rf".*?(\b(?=({after})\b)|$)")
+
     def canonical(line: Column) -> Column:
-        out = F.regexp_replace(F.regexp_replace(line, COPYRIGHT_LINE, ""), APART, " ")
+        out = F.regexp_replace(F.regexp_replace(line, clause, "" if after is None else "C "), APART if after is None else APART.replace("0-9", "0-9C"), " ")
         # few lines hold any of the spellings, so one look spares most lines a pass for each
         fixed = out
         for old, new in SPELLINGS.items():
             fixed = F.regexp_replace(fixed, rf"\b{old}\b", new)
         return F.trim(F.when(out.rlike(rf"\b({'|'.join(SPELLINGS)})\b"), fixed).otherwise(out))
 
-    return F.filter(F.transform(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"\r?\n"), canonical), lambda x: x != "")
+    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), BLANK_LINES)
+    return F.transform(parts, lambda part: F.filter(F.transform(F.split(part, r"\r?\n"), canonical), lambda x: (x != "") & (x != "C")))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The text's lines in canonical form, without copyright lines and those that are empty then."""
+    return F.flatten(canonical_paragraphs(text))
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """digest, license: one row for each known text; of equal digests, the first name. A fixed table of a few dozen rows."""
-    rows = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, texts in (known or KNOWN).items() for text in texts]
+    """digest, license, part: one row for each known text or part of one; of equal digests, the first name, texts before parts. A fixed table of a few hundred rows."""
+    rows = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text"), F.lit(part).alias("part")) for part, table in ((False, known or FULL), (True, {} if known else PARTS)) for name, texts in table.items() for text in texts]
     table = spark.range(1).select(F.inline(F.array(*rows)))
-    return table.select("license", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    table = table.select("license", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"), "part")
+    if not known:
+        long = [F.struct(F.lit(name).alias("license"), F.lit(x).alias("digest"), F.lit(False).alias("part")) for name, digests in LONG.items() for x in digests]
+        table = table.unionByName(spark.range(1).select(F.inline(F.array(*long))))
+    return table.groupBy("digest").agg(F.min(F.struct("part", "license")).alias("k")).select("digest", "k.license", "k.part")
 
 
-def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", after_copyright: bool = False) -> DataFrame:
     """``id_col``, n_units (canonical lines that are not empty), n_hits (different units that are a known text), licenses (their names, sorted), whole
     (name of the licence that the entire text is, or null) for each row of ``docs``.
 
-    Units are the entire text and each of its lines, each compared as a whole by the digest of its canonical form; an empty unit is
-    nothing. Null texts have no units. Rows that share id and text get equal results. Ids may be null; other columns are ignored.
+    Units are the entire text, each of its lines, and each run of up to ``RUN`` paragraphs (parts between blank lines), its lines joined; each is
+    compared as a whole by the digest of its canonical form; an empty unit is nothing. Known parts of a text count where nothing else of that
+    licence is a unit. Null texts have no units. Rows that share id and
+    text get equal results. Ids may be null; other columns are ignored.
+
+    Copyright lines are nothing. With ``after_copyright``, only the clause is: what follows it, from the first words of a known text
+    on, is a line, and paragraphs and the entire text are taken both with such lines and without.
 
     Digests meet the known ones in a hash join whose small side is the fixed table, so texts aren't shuffled; only hits are."""
     keys = [h.alias(k) for h, k in zip(digest(F.col(id_col), F.col(text_col)), ("k1", "k2"), strict=True)]
-    d = docs.select(F.col(id_col).alias("id"), *keys, canonical_lines(F.col(text_col)).alias("lines"))
-    entire = F.struct(F.lit(True).alias("entire"), F.sha2(F.array_join("lines", " "), 256).alias("digest"))
-    units = F.concat(F.array(entire), F.transform(F.array_distinct("lines"), lambda x: F.struct(F.lit(False).alias("entire"), F.sha2(x, 256).alias("digest"))))
-    hits = d.filter(F.size("lines") > 0).select("k1", "k2", F.explode(units).alias("u")).select("k1", "k2", "u.*").join(F.broadcast(known_digests(docs.sparkSession, known)), "digest")
-    found = hits.groupBy("k1", "k2").agg(F.count_distinct("digest").alias("n_hits"), F.array_sort(F.collect_set("license")).alias("licenses"), F.min(F.when(F.col("entire"), F.col("license"))).alias("whole"))
-    out = d.select("id", "k1", "k2", F.size("lines").cast("long").alias("n_units")).join(found, ["k1", "k2"], "left")
+    parts = canonical_paragraphs(F.col(text_col), openings(known or FULL) if after_copyright else None)
+    d = docs.select(F.col(id_col).alias("id"), *keys, parts.alias("parts"))
+    bare = lambda lines: F.filter(lines, lambda x: ~x.startswith("C "))
+    kept = lambda lines: F.transform(lines, lambda x: F.regexp_replace(x, "^C ", ""))
+    forms = {"with": kept, "without": bare} if after_copyright else {"with": lambda lines: lines}
+
+    def joined(form) -> Column:
+        return F.filter(F.transform("parts", lambda part: F.array_join(form(part), " ")), lambda x: x != "")
+
+    u = d.select("k1", "k2", forms["with"](F.flatten("parts")).alias("lines"), *(joined(form).alias(c) for c, form in forms.items()))
+    unit = lambda x, entire: F.struct(F.lit(entire).alias("entire"), F.sha2(x, 256).alias("digest"))
+
+    def runs(c: str, k: int) -> Column:
+        starts = F.when(F.size(c) > k, F.sequence(F.lit(1), F.size(c) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: unit(F.array_join(F.slice(c, i, F.lit(k)), " "), False))
+
+    units = F.concat(*(F.array(unit(F.array_join(c, " "), True)) for c in forms), F.transform(F.array_distinct("lines"), lambda x: unit(x, False)), *(runs(c, k) for c in forms for k in range(1, RUN + 1)))
+    hits = u.select("k1", "k2", F.explode(units).alias("u")).select("k1", "k2", "u.*").filter(F.col("digest") != NOTHING).join(F.broadcast(known_digests(docs.sparkSession, known)), "digest")
+    found = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("license", "part", "digest")).alias("hits"), F.min(F.when(F.col("entire") & ~F.col("part"), F.col("license"))).alias("whole"))
+    full = F.transform(F.filter("hits", lambda h: ~h["part"]), lambda h: h["license"])
+    n_hits = F.size(F.filter("hits", lambda h: ~h["part"] | ~F.array_contains(full, h["license"])))
+    found = found.select("k1", "k2", n_hits.cast("long").alias("n_hits"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["license"]))).alias("licenses"), "whole")
+    out = d.select("id", "k1", "k2", F.size(F.flatten("parts")).cast("long").alias("n_units")).join(found, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), "n_units", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), "whole")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("licenses", F.array_join("licenses", ","))
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), after_copyright=True).withColumn("licenses", F.array_join("licenses", ","))
 
 
 def _sql_canonical(line: str) -> str:

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -370,3 +372,40 @@ def test_license_scan(spark, docs, empty):
     want = [("1", 3, 1, ["MIT"], "MIT"), ("2", 3, 1, ["Apache-2.0"], None), ("3", 3, 2, ["MIT", "all-rights-reserved"], None), ("4", 1, 0, [], None), ("5", 0, 0, [], None), ("6", 0, 0, [], None), ("7", 0, 0, [], None), ("None", 1, 1, ["ISC"], "ISC"), ("8", 1, 1, ["CC-BY-NC-4.0"], "CC-BY-NC-4.0"), ("8", 1, 1, ["CC-BY-NC-4.0"], "CC-BY-NC-4.0"), ("9", 1, 1, ["ISC"], "ISC")]
     assert sorted((str(r.doc_id), r.n_units, r.n_hits, r.licenses, r.whole) for r in got) == sorted(want)
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_license_scan_of_fuller_texts(spark):
+    from lamella.llm import license_texts, licenses
+
+    wrap = lambda t: "\n\n".join(textwrap.fill(x, 60) for x in t.split("\n"))
+    bsd = "\n".join([license_texts.BSD_HEAD, *license_texts.BSD_CLAUSES[:2], license_texts.BSD_TAIL])
+    data = [
+        ("wrapped MIT before code", "Copyright (c) 2020 X\n\n" + wrap(licenses.MIT) + "\n\nint main() {}\n", ["MIT"], None),
+        ("three lines before code", licenses.MIT + "\nint main() {}\n", ["MIT"], None),
+        ("three lines and a blank one", licenses.MIT + "\n\nint main() {}\n", ["MIT"], None),
+        ("BSD between other text", "before\n\n" + wrap(bsd) + "\n\nafter", ["BSD-2-Clause"], None),
+        ("whole BSD", "Copyright 2020, X. All rights reserved.\n\n" + wrap(bsd), ["BSD-2-Clause", "all-rights-reserved"], "BSD-2-Clause"),
+        ("whole Unlicense", wrap(license_texts.UNLICENSE), ["Unlicense"], "Unlicense"),
+        ("clause and notice", "Copyright 2020 X Inc. All rights reserved.", ["all-rights-reserved"], "all-rights-reserved"),
+        ("clause and grant", "(c) 2020 X. " + textwrap.fill(licenses.MIT.split("\n")[0], 60), ["MIT"], None),
+        ("notice in a comment", "# Copyright 2020 X\n#\n" + textwrap.indent(wrap(license_texts.APACHE_NOTICE), "# ", lambda _: True) + "\n\nimport os", ["Apache-2.0"], None),
+        ("title", "prose\n\n  GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n\nprose", ["GPL-3.0"], None),
+        ("identifier", "// SPDX-License-Identifier: MPL-2.0\nx", ["MPL-2.0"], None),
+        ("part of a text", licenses.MIT.split("\n")[2], [], None),
+    ]
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")):
+        if (path := Path("/usr/share/common-licenses") / file).exists():
+            data.append((f"whole {name}", path.read_text().replace("\n", "\r\n"), None, name))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in data], "doc_id string, text string"), after_copyright=True).collect()}
+    for key, _, names, whole in data:
+        assert (names is None or got[key].licenses == names) and got[key].whole == whole, (key, got[key])
+
+
+def test_license_query_on_plain_rows(spark, tmp_path):
+    from lamella.llm import licenses
+
+    folder = str(tmp_path)
+    texts = ["prose\n\nAll rights reserved.\n\nprose", "Released under the MIT License.", None, "x\n\ny"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = sorted(tuple(r) for r in licenses.op5_license_scan(spark, folder).collect())
+    assert got == [(0, 3, 1, "all-rights-reserved", None), (1, 1, 1, "MIT", "MIT"), (2, 0, 0, "", None), (3, 2, 0, "", None)]

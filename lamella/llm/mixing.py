@@ -64,6 +64,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     words; ids may be null. With no words at all, targets are 0. Reruns agree.
 
     The hot source is spread over its shards, so no task holds a source; the two windows run over one row per source or shard."""
+    return _taken(docs, weights, share, most, seed, block, shard_words, id_col, text_col, source_col, keep).select(id_col, "size", "source", "source_size", "target", "taken", *keep)
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, block: int = BLOCK, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``mix`` with their place (_sid, _shard, _h) and the columns ``keep``."""
     d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"), *keep)
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     t = source_targets(stored(sizes), weights, share, most)
@@ -88,15 +93,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         return got + inside * (F.col("_full") + F.when(F.pmod(b * F.col("_step") + F.col("_turn"), F.col("_blocks")) < F.col("_more"), 1).otherwise(0))
 
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block)), F.lit(0).cast("long"), words))
-    return laid.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), *keep)
+    return laid.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", taken.alias("taken"), "_sid", "_shard", "_h", *keep)
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The mix as whole documents: each row of ``docs`` as often as taken / size says, rounded by a seeded draw that keeps the mean."""
+    """The mix as whole documents: each row of ``docs`` as often as taken / size says, rounded. Rows without words (null, empty or blank
+    text) take no part in the mix and come once each.
+
+    Within a shard, long documents first, taken / size is summed up with one seeded start, and a document comes as often as the
+    sum passes a whole number. So remainders cancel, a shard's words miss its share by no more than its longest document has, and the mean is kept."""
     packed = docs.select(F.col(id_col), F.col(text_col), F.col(source_col), F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), id_col, "size", "source"), 11) / float(1 << 53)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + drawn)).otherwise(0).cast("int")
-    return mix(packed, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("_row",), **settings).select(F.explode(F.array_repeat("_row", times)).alias("r")).select("r.*")
+    # whole numbers of 2^-32, so that sums are exact
+    part = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size") * float(1 << 32))).otherwise(0).cast("long")
+    w = Window.partitionBy("_sid", "_shard").orderBy(F.col("size").desc(), "_h", F.col("id").asc_nulls_last(), "taken")
+    start = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "source", "_shard"), 32)
+    upto, before = F.sum("_part").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("_part").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    mixed = _taken(packed, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("_row",), **settings).withColumnRenamed(id_col, "id").withColumn("_part", part)
+    times = F.when(F.col("size") > 0, F.shiftright(start + upto, 32) - F.shiftright(start + F.coalesce(before, F.lit(0)), 32)).otherwise(1).cast("int")
+    return mixed.select("_row", times.alias("_times")).select(F.explode(F.array_repeat("_row", F.col("_times"))).alias("r")).select("r.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -409,3 +409,16 @@ def test_license_query_on_plain_rows(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     got = sorted(tuple(r) for r in licenses.op5_license_scan(spark, folder).collect())
     assert got == [(0, 3, 1, "all-rights-reserved", None), (1, 1, 1, "MIT", "MIT"), (2, 0, 0, "", None), (3, 2, 0, "", None)]
+
+
+def test_mixed_documents_round_together(spark):
+    # one shard of long texts of different lengths in each of three sources, and rows without words
+    data = [(100 * s + i, " ".join(["w"] * (40 + 3 * i)), str(s)) for s in range(3) for i in range(60)] + [(k, t, "0") for k, t in ((900, None), (901, ""), (902, " \n"))]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for seed in range(3):
+        taken = mixing.mix(df, seed=seed).groupBy("source").agg({"taken": "sum"}).collect()
+        got = mixing.mixed_documents(df, seed=seed).collect()
+        for source, want in taken:
+            words = sum(len((r.text or "").split()) for r in got if r.source == source)
+            assert abs(words - want) <= 220, (seed, source, words, want)
+        assert sorted(r.doc_id for r in got if r.doc_id >= 900) == [900, 901, 902]

@@ -153,8 +153,8 @@ def learn_lexicon(texts: list[str | None], y: np.ndarray) -> Lexicon:
     seeds = np.array([word_hash(x) for x in INSULTS], np.uint64)
     ones, rough = np.flatnonzero(y > 0), np.zeros(1 << 24, np.uint8)
     for f in forms(ones):
-        part = np.unique(f[:, :2], axis=0)[:, 0] >> np.uint64(40)
-        np.add.at(rough, part[rough[part] < 200], 1)
+        part, texts_of = np.unique(np.unique(f[:, :2], axis=0)[:, 0] >> np.uint64(40), return_counts=True)
+        rough[part] = np.minimum(200, rough[part] + texts_of)  # the counts are wide, so the sum is too
     kept = [f[(rough[f[:, 0] >> np.uint64(40)] >= LEAST_DOCS) | np.isin(f[:, 0], seeds), :2] for f in forms(ones)]
     h, d = np.concatenate([np.zeros((0, 2), np.uint64), *kept]).T
     hashes, back = np.unique(h, return_inverse=True)

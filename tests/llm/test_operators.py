@@ -411,6 +411,13 @@ def test_license_query_on_plain_rows(spark, tmp_path):
     assert got == [(0, 3, 1, "all-rights-reserved", None), (1, 1, 1, "MIT", "MIT"), (2, 0, 0, "", None), (3, 2, 0, "", None)]
 
 
+def test_frequent_form_is_learned():
+    texts = ["you plonker"] * 256 + ["a calm day"] * 256
+    lexicon = toxicity.learn_lexicon(texts, np.repeat([1, 0], 256))
+    at = np.flatnonzero(lexicon.hashes == np.uint64(toxicity.word_hash("plonker")))
+    assert len(at) == 1 and lexicon.kinds[at[0]] == toxicity.INSULT
+
+
 def test_mixed_documents_round_together(spark):
     # one shard of long texts of different lengths in each of three sources, and rows without words
     data = [(100 * s + i, " ".join(["w"] * (40 + 3 * i)), str(s)) for s in range(3) for i in range(60)] + [(k, t, "0") for k, t in ((900, None), (901, ""), (902, " \n"))]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,5 +17,8 @@ def arrivals(spark: SparkSession, settings: Parameters) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(settings.src)
     found = files.filter(suffix(F.col("path")).isin(*EXTENSIONS))
     found = found.filter(F.col("path").contains(settings.filter)) if settings.filter else found
-    below = F.regexp_extract("path", r"([^/]+)$", 1)
+    # paths come as URIs; a relative settings.src is found at its place in them
+    scheme = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+    root = posixpath.normpath(re.sub(scheme, "", settings.src))
+    below = F.regexp_replace(F.regexp_replace("path", scheme, ""), ("^" if root.startswith("/") else "^.*?/") + re.escape(root.rstrip("/")) + "/", "")
     return found.select("path", "length", F.concat(F.lit(settings.dest.rstrip("/") + "/"), F.substring(below, F.lit(1), F.length(below) - 4), F.lit(".tif")).alias("dest"), reader(F.col("path")).alias("reader"))

@@ -16,3 +16,13 @@ def test_new_files_are_planned_once(spark, tmp_path):
     assert run() == [("/out/a.tif", "svs", 1)]
     (src / "b.VSI").write_bytes(b"yy")
     assert run() == [("/out/a.tif", "svs", 1), ("/out/b.tif", "vsi", 2)]
+
+
+def test_sub_folders_stay(spark, tmp_path):
+    src = tmp_path / "in"
+    for folder in ("a", "b/c"):
+        (src / folder).mkdir(parents=True)
+        (src / folder / "x.svs").write_bytes(b"x")
+    q = arrivals(spark, Parameters(f"file://{src}/", "/out")).writeStream.format("parquet").option("path", str(tmp_path / "plan")).option("checkpointLocation", str(tmp_path / "seen")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.dest for r in spark.read.parquet(str(tmp_path / "plan")).collect()) == ["/out/a/x.tif", "/out/b/c/x.tif"]

@@ -29,9 +29,9 @@ def spliced(tables: Column, tile: Column, photometric: Column) -> Column:
 
 
 def to_first_end(content: Column) -> Column:
-    """Bytes up to the first end-of-image mark, null without one: the mark's place in hex must be even, so a walk over bytes finds it."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.octet_length(content) - 1, F.lit(1))), lambda i: F.hex(F.substring(content, i, F.lit(2))) == "FFD9")
-    return F.when(F.size(at) > 0, F.substring(content, F.lit(1), F.element_at(at, 1) + 1))
+    """Bytes up to the first end-of-image mark, null without one. As Latin-1 text, each byte is one character, so places agree."""
+    at = F.locate("\u00ff\u00d9", F.decode(content, "ISO-8859-1"))
+    return F.when(at > 0, F.substring(content, F.lit(1), at + 1))
 
 
 def bytes_per_sample(bits: Column) -> Column:
@@ -53,9 +53,18 @@ def reversed_bits(byte: Column) -> Column:
     return out
 
 
-def ycbcr_to_rgb(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
+def ycbcr_to_rgb(y: Column, cb: Column, cr: Column, mask: int = 255) -> tuple[Column, Column, Column]:
+    """As slide readers have it: chroma below the middle counts as the middle, sums lose their fraction, and a negative one wraps round."""
+    b, r = (F.greatest(F.lit(0), c - 128) for c in (cb, cr))
+    sums = (y + YCBCR["r_cr"] * r, y - YCBCR["g_cb"] * b - YCBCR["g_cr"] * r, y + YCBCR["b_cb"] * b)
+    return tuple(F.least(v.cast("double").cast("int"), F.lit(mask)).bitwiseAND(mask) for v in sums)
+
+
+def ycbcr_to_rgb_standard(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
+    """The transform of the JPEG standard, without those quirks."""
     b, r = cb - 128, cr - 128
-    return tuple(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v))).cast("int") for v in (y + YCBCR["r_cr"] * r, y - YCBCR["g_cb"] * b - YCBCR["g_cr"] * r, y + YCBCR["b_cb"] * b))
+    sums = (y + YCBCR["r_cr"] * r, y - YCBCR["g_cb"] * b - YCBCR["g_cr"] * r, y + YCBCR["b_cb"] * b)
+    return tuple(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v))).cast("int") for v in sums)
 
 
 def inverted(sample: Column, bits: Column) -> Column:
@@ -68,6 +77,37 @@ def unsigned_offset(offset: Column) -> Column:
     return F.when(offset < 0, offset + (1 << 32)).otherwise(offset)
 
 
+def checked_offsets(offsets: Column, rows_per_strip: Column, height: Column, planes: Column) -> Column:
+    """Unsigned strip offsets; an error if there are fewer than the image has strips (``planes``: samples stored apart, else 1)."""
+    strips = F.ceil(height / rows_per_strip) * planes
+    fixed = F.transform(offsets, unsigned_offset)
+    return F.when(F.size(offsets) >= strips, fixed).otherwise(F.raise_error(F.lit("fewer strip offsets than strips")).cast("array<bigint>"))
+
+
+def bits_per_sample(bits: Column, samples: Column) -> Column:
+    """Bits of each sample: 1 where none are given; the first for all where there are fewer than samples."""
+    given = F.coalesce(bits, F.array(F.lit(1)))
+    return F.when(F.size(given) < samples, F.array_repeat(F.element_at(given, 1), samples)).otherwise(given)
+
+
+def is_empty_tile(offset: Column, n_bytes: Column, length: Column) -> Column:
+    """A tile that the file doesn't hold: no bytes, or a place at or past the file's end."""
+    return (F.coalesce(n_bytes, F.lit(0)) <= 0) | offset.isNull() | (offset >= length)
+
+
+def signed_shorts(content: Column) -> Column:
+    """The bytes as signed numbers, as a packet's tag is written by the format's writers."""
+    code = lambda i: F.conv(F.hex(F.substring(content, i, F.lit(1))), 16, 10).cast("int")
+    widened = F.transform(F.sequence(F.lit(1), F.octet_length(content)), lambda i: F.when(code(i) > 127, code(i) - 256).otherwise(code(i)).cast("short"))
+    return F.when(F.octet_length(content) > 0, widened).otherwise(F.array().cast("array<smallint>"))
+
+
+def codec_options(width: Column, height: Column, bits: Column, samples: Column, interleaved: Column, little_endian: Column) -> Column:
+    """What a decoder of one tile must be told."""
+    named = {"width": width, "height": height, "bits": bits, "channels": samples, "interleaved": interleaved, "little_endian": little_endian}
+    return F.struct(*(c.alias(n) for n, c in named.items()), (width * height * samples * bytes_per_sample(bits)).cast("long").alias("max_bytes"))
+
+
 def sub_resolutions(levels: Column, width: Column, height: Column) -> Column:
     """Sizes of a codestream's lower resolutions, each half the one above with halves rounded up."""
     return F.transform(F.sequence(F.lit(1), levels), lambda k: F.struct(k.alias("level"), F.ceil(width / F.pow(F.lit(2), k)).alias("width"), F.ceil(height / F.pow(F.lit(2), k)).alias("height")))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def largest_series(series: DataFrame, slide: str, size_x: str, index: str) -> DataFrame:
-    """Each slide's widest series, the first of equals. Width alone decides. One grouped pass with partial results, no sort."""
-    best = F.max(F.struct(F.col(size_x).alias("size_x"), (-F.col(index)).alias("_i")))
-    return series.groupBy(slide).agg(best.alias("b"), F.count("*").alias("n_series")).select(slide, F.col("b.size_x").alias("size_x"), (-F.col("b._i")).alias("flat_index"), "n_series")
+    """Each slide's widest series, the first of equals. Width alone decides. Two hashed passes with partial results: the largest width,
+    then, among the rows that have it, the least index; neither sorts."""
+    widest = series.groupBy(slide).agg(F.max(size_x).alias("size_x"), F.count("*").alias("n_series"))
+    per_width = series.groupBy(slide, F.col(size_x).alias("size_x")).agg(F.min(index).alias("flat_index"))
+    return widest.join(per_width, [slide, "size_x"]).select(slide, "size_x", "flat_index", "n_series")
 
 
 def asked_series(df: DataFrame, asked: str, count: str, out: str = "series") -> DataFrame:
@@ -18,11 +20,42 @@ def asked_series(df: DataFrame, asked: str, count: str, out: str = "series") ->
 
 
 def classify(images: DataFrame, slide: str, order: str, comment: str) -> DataFrame:
-    """``images`` with kind: the first image without a comment is the label, the second the macro image; a comment that names either overrules."""
-    bare = F.col(comment).isNull() | (F.trim(comment) == "")
-    at = F.sum(bare.cast("int")).over(Window.partitionBy(slide).orderBy(order))
-    by_word = F.when(F.lower(comment).contains("label"), "label").when(F.lower(comment).contains("macro"), "macro")
-    return images.withColumn("kind", F.coalesce(by_word, F.when(bare & (at == 1), "label").when(bare & (at == 2), "macro"), F.lit("level")))
+    """``images`` with kind: label, macro or level. A slide has one label and one macro image at most.
+
+    Images are read in order. One whose comment is null becomes the label if there is none yet, else the macro image if there is none
+    yet. A field of a comment (between bars and line ends, without an equals sign) that holds "label" moves the label here, one that
+    holds "macro" and not "label" moves the macro image here, so the last such image has it."""
+    fields = F.filter(F.split(F.lower(comment), r"[|\n]"), lambda f: ~f.contains("="))
+    says_label = F.coalesce(F.exists(fields, lambda f: f.contains("label")), F.lit(False))
+    says_macro = F.coalesce(F.exists(fields, lambda f: f.contains("macro") & ~f.contains("label")), F.lit(False))
+    whole = Window.partitionBy(slide)
+    before = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda on: F.coalesce(F.sum(on.cast("int")).over(before), F.lit(0))
+    out = images.withColumns({"_label": says_label, "_macro": says_macro, "_bare": F.col(comment).isNull()})
+    out = out.withColumns({"_labels": seen(F.col("_label")), "_macros": seen(F.col("_macro")), "_bares": seen(F.col("_bare"))})
+    takes_label = F.col("_bare") & (F.col("_bares") == 0) & (F.col("_labels") == 0)
+    # the first bare image takes the macro place if a word has set the label; then no later one can
+    first_took = F.col("_bare") & (F.col("_bares") == 0) & (F.col("_labels") > 0) & (F.col("_macros") == 0)
+    out = out.withColumns({"_took_label": takes_label, "_took_macro": first_took})
+    taken = F.max(F.col("_took_macro").cast("int")).over(before)
+    second_took = F.col("_bare") & (F.col("_bares") == 1) & (F.col("_macros") == 0) & (F.coalesce(taken, F.lit(0)) == 0)
+    out = out.withColumn("_took_macro", F.col("_took_macro") | second_took)
+    place = lambda says, took: F.coalesce(F.max(F.when(F.col(says), F.col(order))).over(whole), F.max(F.when(F.col(took), F.col(order))).over(whole))
+    out = out.withColumns({"_at_label": place("_label", "_took_label"), "_at_macro": place("_macro", "_took_macro")})
+    kind = F.when(F.col(order) == F.col("_at_label"), "label").when(F.col(order) == F.col("_at_macro"), "macro").otherwise("level")
+    return out.withColumn("kind", kind).drop(*(c for c in out.columns if c not in images.columns))
+
+
+def directory_of(core: Column, z: Column, levels: Column, z_size: Column) -> Column:
+    """Directory of a slide's image ``core`` (0 to levels - 1: resolutions, then label and macro) at the z-th position.
+
+    With one z position, lower resolutions come in reverse order behind the first; with several, a thumbnail follows the first image
+    and the planes of each position come together."""
+    low = (core > 0) & (core < levels)
+    at = F.when(low, F.when(z_size > 1, core + 1).otherwise(levels - core)).otherwise(core)
+    deep = low | (z > 0)
+    extra = (core >= levels) & (z_size > 1) & ~deep
+    return F.when(deep, at + z * levels + F.when(core == 0, 1).otherwise(0)).when(extra, at + levels * z_size - (levels - 1)).otherwise(at).cast("long")
 
 
 def thumbnails(images: DataFrame, slide: str, subfile_type: str) -> DataFrame:

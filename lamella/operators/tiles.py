@@ -28,9 +28,9 @@ def grid(slides: DataFrame, slide: str, width: str, height: str, tile: int) -> D
 
 def look_up(tiles: DataFrame, index: DataFrame, on: list[str], values: list[str], order: str, default: dict[str, object]) -> DataFrame:
     """``tiles`` with the values of the first index entry at the same coordinates, or defaults (a black tile) and is_filler."""
-    first = index.groupBy(*on).agg(F.min(F.struct(order, *values)).alias("_e")).select(*on, F.col("_e").alias("_entry"))
-    out = tiles.join(first, on, "left").withColumn("is_filler", F.col("_entry").isNull())
-    return out.select(*tiles.columns, "is_filler", *(F.coalesce(F.col(f"_entry.{v}"), F.lit(default[v])).alias(v) for v in values))
+    first = index.groupBy(*on).agg(F.lit(False).alias("is_filler"), *(F.min_by(v, order).alias(f"_{v}") for v in values))
+    out = tiles.join(first, on, "left")
+    return out.select(*tiles.columns, F.coalesce("is_filler", F.lit(True)).alias("is_filler"), *(F.coalesce(f"_{v}", F.lit(default[v])).alias(v) for v in values))
 
 
 def quadrants(tiles: DataFrame, slide: str, value: str, fill: int = 0) -> DataFrame:
@@ -56,7 +56,15 @@ def next_extent(extent_rows: DataFrame, size: str, tiles: str, tile: int) -> Dat
     return extent_rows.withColumn("next_size", ets_level_size(F.col(size), (F.col(tiles) * tile).cast("long")))
 
 
-def strip_counts(images: DataFrame, counts: str, plane_bytes: str, strips: str, lzw: str) -> DataFrame:
-    """``images`` with byte_count: the given count, or an even share of the plane, doubled for LZW strips."""
-    share = (F.col(plane_bytes) / F.col(strips)).cast("long")
-    return images.withColumn("byte_count", F.coalesce(F.col(counts), share * F.when(F.col(lzw), 2).otherwise(1)))
+def strip_counts(images: DataFrame, counts: str, plane_bytes: str, strips: str, lzw: str, rows_per_strip: str, height: str) -> DataFrame:
+    """``images`` with byte_counts, one for each strip: the given counts, or even shares of the plane. Both are doubled for LZW if the
+    rows of a strip aren't given or don't divide the height."""
+    share = F.array_repeat((F.col(plane_bytes) / F.col(strips)).cast("long"), F.col(strips).cast("int"))
+    uneven = F.col(rows_per_strip).isNull() | (F.col(height) % F.col(rows_per_strip) != 0)
+    twice = F.when(F.col(lzw) & uneven, 2).otherwise(1)
+    return images.withColumn("byte_counts", F.transform(F.coalesce(F.col(counts), share), lambda n: n * twice))
+
+
+def plane_bytes(tiles: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``keys``, n_tiles, n_bytes: what each plane takes in the file."""
+    return tiles.groupBy(*keys).agg(F.count("*").alias("n_tiles"), F.sum(size).cast("long").alias("n_bytes"))

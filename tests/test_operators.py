@@ -10,6 +10,7 @@ from lamella.functions import geometry as g
 from lamella.functions import metadata as m
 from lamella.operators import pyramid, series, tiles
 from lamella.plans import batch
+from lamella.plans import queries_more  # noqa: F401
 from lamella.plans.queries import QUERIES, SQL
 
 SIZES = [(1, 1), (255, 256), (257, 1), (512, 513), (100_000, 80_001), (46_000, 32_914), (2**29, 3)]
@@ -54,9 +55,45 @@ def test_half_scale_against_python(spark):
 
 
 def test_pyramid_shuffles_once(spark):
+    """The exchange is planned for each level, and at run time all but one are reused."""
     df = spark.createDataFrame([(1, [0] * 64)], "id long, v array<long>")
-    plan = pyramid.half_level(pyramid.half_level(pyramid.pixels(df, "id", "v", 8).withColumn("bx", F.floor(F.col("x") / 4)).repartition("raster", "bx"), ["raster", "bx"]), ["raster", "bx"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    made = pyramid.pyramid(pyramid.pixels(df, "id", "v", 8), ["raster"], 3)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 1 and "ReusedExchange" in plan
+
+
+def test_choices_do_not_sort(spark):
+    df = spark.createDataFrame([("a", 5, 0), ("a", 9, 1), ("a", 9, 2), ("b", 1, 0)], "s string, w long, i long")
+    best = series.largest_series(df, "s", "w", "i")
+    assert sorted(map(tuple, best.collect())) == [("a", 9, 1, 3), ("b", 1, 0, 1)]
+    cells = spark.createDataFrame([("a", 0, 0), ("a", 1, 0)], "s string, x long, y long")
+    index = spark.createDataFrame([("a", 0, 0, 7, 70), ("a", 0, 0, 3, 30)], "s string, x long, y long, k long, at long")
+    found = tiles.look_up(cells, index, ["s", "x", "y"], ["at"], "k", {"at": -1})
+    assert sorted(map(tuple, found.collect())) == [("a", 0, 0, False, 30), ("a", 1, 0, True, -1)]
+    for df_ in (best, found):
+        assert "SortAggregate" not in df_._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_and_macro_move(spark):
+    """One label and one macro at most; words move them, and only a null comment is bare."""
+    cases = [
+        ([None, None, None], ["label", "macro", "level"]),
+        (["x", "A label|y", "again label"], ["level", "level", "label"]),
+        ([None, "the label", None], ["level", "label", "macro"]),
+        (["Title=label", "", None], ["level", "level", "label"]),
+        (["macro", None, None, None], ["macro", "label", "level", "level"]),
+        (["label and macro", "a\nMacro", None], ["label", "macro", "level"]),
+        (["label", "z", None, None], ["label", "level", "macro", "level"]),
+    ]
+    df = spark.createDataFrame([(k, i, c) for k, (cs, _) in enumerate(cases) for i, c in enumerate(cs)], "s long, i long, c string")
+    got = {(r.s, r.i): r.kind for r in series.classify(df, "s", "i", "c").collect()}
+    assert [[got[k, i] for i in range(len(cs))] for k, (cs, _) in enumerate(cases)] == [want for _, want in cases]
+
+
+def test_counts_of_strips(spark):
+    df = spark.createDataFrame([([5, 6], 100, 2, True, None, 10), ([5, 6], 100, 2, True, 5, 10), (None, 101, 2, True, 3, 10), (None, 101, 2, False, None, 10)], "c array<long>, p long, n long, lzw boolean, r long, h long")
+    assert [r.byte_counts for r in tiles.strip_counts(df, "c", "p", "n", "lzw", "r", "h").collect()] == [[10, 12], [5, 6], [100, 100], [50, 50]]
 
 
 @pytest.mark.parametrize("order", ["XYZCT", "XYZTC", "XYCZT", "XYCTZ", "XYTCZ", "XYTZC"])
@@ -103,12 +140,14 @@ def test_metadata_text(spark):
     df = spark.createDataFrame([("[head]\na = b=c\nd: e\nplain\n k =v ",)], "c string").withColumn("id", F.lit(1))
     assert [tuple(r)[2:] for r in m.colon_or_equals_pairs(df, "c", ["id"]).collect()] == [("a", "b=c"), ("d", "e"), ("k", "v")]
     first, rest = m.split_artist(F.col("a"))
-    names = spark.createDataFrame([("Ada  Lovelace King",), ("Plato",)], "a string")
-    assert [tuple(r) for r in names.select(first, rest).collect()] == [("Ada", "Lovelace King"), (None, "Plato")]
-    pairs = spark.createDataFrame([(" k ", "v&amp;1"), ("k", None), ("9", "x"), ("k2", "--"), ("k3", "y" * 9000)], "k string, v string")
-    assert [tuple(r) for r in m.clean_pairs(pairs, "k", "v").collect()] == [("k", "v1")]
-    dates = spark.createDataFrame([("2020:01:02 03:04:05",), ("2021-05-06 07:08:09",), ("junk",)], "d string")
-    assert [str(r[0]) for r in dates.select(m.first_date(F.col("d"))).collect()] == ["2020-01-02 03:04:05", "2021-05-06 07:08:09", "None"]
+    names = spark.createDataFrame([("Ada  Lovelace King",), ("Plato",), (" Plato",)], "a string")
+    assert [tuple(r) for r in names.select(first, rest).collect()] == [("Ada", " Lovelace King"), (None, "Plato"), ("", "Plato")]
+    pairs = spark.createDataFrame([(" k ", "v&amp;1 <b>"), ("k", None), ("9", "x"), ("k2", "--"), ("k3", "y" * 9000), ("<k4>&", "a &lt;c\x07\u00e9"), ("&lt;", "x"), ("k5", " <> ")], "k string, v string")
+    assert [tuple(r) for r in m.clean_pairs(pairs, "k", "v").collect()] == [("k", "v1 b"), ("k2", "--"), ("k4", "a c")]
+    # one text in each pattern, a fraction of a second, and text that is no date
+    forms = ["2020:01:02 03:04:05", "02/01/2020 03:04:05", "01/02/2020 03:04:05 AM", "20200102 03:04:05", "2020/01/02 03:04:05", "2020-01-02T03:04:05+0000", "2020:01:02 03:04:05.5", "2021-05-06", "junk"]
+    dates = spark.createDataFrame([(x,) for x in forms], "d string")
+    assert [str(r[0]) for r in dates.select(m.first_date(F.col("d"))).collect()] == ["2020-01-02 03:04:05"] * 6 + ["2020-01-02 03:04:05.500000", "None", "None"]
     units = spark.createDataFrame([("ImageJ=1\nunit=micron\nx",), ("none",)], "c string")
     assert [r[0] for r in units.select(m.unit_of(F.col("c"))).collect()] == ["micron", None]
     assert [r[0] for r in spark.sql("select cast('40.000' as decimal(9,3)) d union all select cast('0.250' as decimal(9,3)) union all select cast(100 as decimal(9,3))").select(m.plain_number(F.col("d"))).collect()] == ["40", "0.25", "100"]
@@ -121,6 +160,8 @@ def test_samples(spark):
     assert [r[0] for r in df.select(b.pixel_type(F.col("b"), F.col("f"))).collect()] == ["uint8", "uint16", "uint32", "float", "int16", "double"]
     rgb = spark.createDataFrame([(128, 128, 128), (255, 255, 255)], "y int, b int, r int").select(*b.ycbcr_to_rgb(F.col("y"), F.col("b"), F.col("r"))).collect()
     assert [tuple(r) for r in rgb] == [(128, 128, 128), (255, 120, 255)]
+    dark = spark.createDataFrame([(10, 0, 0), (0, 255, 255), (200, 128, 130)], "y int, b int, r int").select(*b.ycbcr_to_rgb(F.col("y"), F.col("b"), F.col("r"))).collect()
+    assert [tuple(r) for r in dark] == [(10, 10, 10), (178, 122, 225), (202, 198, 200)]  # chroma below the middle counts as the middle, and -134 is 122
 
 
 def test_series_lists(spark):
@@ -131,7 +172,7 @@ def test_series_lists(spark):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL) and len(QUERIES) >= 27
+    assert set(QUERIES) == set(SQL) and len(QUERIES) >= 79
 
 
 def test_narrow_floats(spark):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,18 +18,32 @@ from lamella.operators.tiles import file_offsets
 # Names that the metadata packet gives its fields, and the padding after it.
 FIELDS = ("ObjectiveLensPower", "Manufacturer", "ManufacturerModelName", "ICCProfile", "ImageComments", "ExposureTime")
 PADDING = 2424
+SOFTWARE = b"lamella\0"
 
 
 def packet(subject: Column, fields: dict[str, Column], spacing_y: Column, spacing_x: Column) -> Column:
-    """The XMP packet of a slide as text. ``subject`` is given (a UUID), so reruns agree; null fields are left out; spacing is y, x."""
+    """The XMP packet of a slide as text. ``subject`` is given (a UUID), so reruns agree; null fields are left out; the ICC profile is given
+    as bytes and written in base 64; spacing is an RDF list of y and x."""
     def element(name: str, value: Column) -> Column:
-        clean = F.replace(F.replace(F.replace(value.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-        return F.when(value.isNotNull(), F.concat(F.lit(f"<DICOM:{name}>"), clean, F.lit(f"</DICOM:{name}>"))).otherwise("")
+        value = F.base64(value) if name == "ICCProfile" else value.cast("string")
+        clean = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        kind = ' rdf:datatype="http://www.w3.org/2001/XMLSchema#base64Binary"' if name == "ICCProfile" else ""
+        return F.when(value.isNotNull(), F.concat(F.lit(f"<DICOM:{name}{kind}>"), clean, F.lit(f"</DICOM:{name}>"))).otherwise("")
+
+    def listed(*values: Column) -> Column:
+        out = F.lit('<rdf:rest rdf:resource="http://www.w3.org/1999/02/22-rdf-syntax-ns#nil"/>')
+        for i, v in enumerate(reversed(values)):
+            node = F.concat(F.lit("<rdf:Description><rdf:first>"), v.cast("string"), F.lit("</rdf:first>"), out, F.lit("</rdf:Description>"))
+            out = node if i == len(values) - 1 else F.concat(F.lit("<rdf:rest>"), node, F.lit("</rdf:rest>"))
+        return out
 
     body = [element(n, fields[n]) for n in FIELDS if n in fields]
-    pair = F.when(spacing_y.isNotNull() & spacing_x.isNotNull(), F.concat(F.lit("<DICOM:PixelSpacing><rdf:Seq><rdf:li>"), spacing_y.cast("string"), F.lit("</rdf:li><rdf:li>"), spacing_x.cast("string"), F.lit("</rdf:li></rdf:Seq></DICOM:PixelSpacing>"))).otherwise("")
-    head = '<?xpacket begin="﻿" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:DICOM="http://ns.adobe.com/DICOM/"><rdf:Description rdf:about="urn:uuid:'
-    return F.concat(F.lit(head), subject, F.lit('">'), *body, pair, F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>" + " " * PADDING + '<?xpacket end="w"?>'))
+    spacing = F.concat(F.lit("<DICOM:PixelSpacing>"), listed(spacing_y, spacing_x), F.lit("</DICOM:PixelSpacing>"))
+    pair = F.when(spacing_y.isNotNull() & spacing_x.isNotNull(), spacing).otherwise("")
+    begin = '<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/">'
+    spaces = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:DICOM="http://ns.adobe.com/DICOM/">'
+    end = "</rdf:Description></rdf:RDF></x:xmpmeta>" + " " * PADDING + '<?xpacket end="w"?>'
+    return F.concat(F.lit(f'{begin}{spaces}<rdf:Description rdf:about="urn:uuid:'), subject, F.lit('">'), *body, pair, F.lit(end))
 
 
 def _directory(at: int, tags: list[tuple[int, int, list[int] | bytes]], following: bool) -> bytes:
@@ -52,9 +68,15 @@ def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            tags = [(256, 4, [r["width"]]), (257, 4, [r["height"]]), (258, 3, [8] * 3), (259, 3, [r["compression"]]), (277, 3, [3]), (284, 3, [1]), (322, 3, [r["tile"]]), (323, 3, [r["tile"]]), (324, 16, r["offsets"]), (325, 16, r["byte_counts"])]
+            tags = [(256, 4, [r["width"]]), (257, 4, [r["height"]]), (258, 3, [8] * 3), (259, 3, [r["compression"]]), (277, 3, [3]), (284, 3, [1])]
+            tags += [(322, 3, [r["tile"]]), (323, 3, [r["tile_height"]]), (324, 16, r["offsets"]), (325, 16, r["byte_counts"])]
             tags += [(262, 3, [r["photometric"]])] if r["photometric"] is not None else []
-            tags += [(254, 4, [1])] if r["level"] else [(274, 3, [1]), (282, 5, [r["resolution"], 1000]), (283, 5, [r["resolution"], 1000]), (296, 3, [3]), (305, 2, b"lamella\0"), (339, 3, [1] * 3), *([(700, 7, r["packet"].encode())] if r["packet"] else [])]
+            if r["level"]:
+                tags.append((254, 4, [1]))
+            else:
+                tags += [(270, 2, b"\0"), (274, 3, [1]), (282, 5, [r["resolution"], 1000]), (283, 5, [r["resolution_y"], 1000]), (296, 3, [3]), (305, 2, SOFTWARE), (339, 3, [1] * 3)]
+                tags += [(530, 3, r["subsampling"])] if r["subsampling"] else []
+                tags += [(700, 7, r["packet"].encode())] if r["packet"] else []
             out.append(_directory(r["at"], tags, not r["last"]))
         yield pa.RecordBatch.from_arrays([batch.column("slide"), batch.column("level"), batch.column("at"), pa.array(out, pa.binary())], ["slide", "part", "offset", "bytes"])
 
@@ -63,14 +85,17 @@ def layout(tiles: DataFrame, images: DataFrame) -> DataFrame:
     """slide, part, offset, bytes of all parts of each slide's file.
 
     ``tiles``: slide, level, tile_no, bytes. ``images``: slide, level, width, height, tile, compression, photometric, resolution,
-    packet. A file has a header, then all tiles by level and number, then the directories, so only sizes go through the window.
+    packet and, if they differ from tile, resolution and none, tile_height, resolution_y, subsampling (two numbers). A file has a
+    header, then all tiles by level and number, then the directories, so only sizes go through the window.
     A directory's own length follows from its fields, and where it starts from those before it."""
-    sized = file_offsets(tiles.select("slide", "level", "tile_no", F.octet_length("bytes").alias("n")), "slide", ["level", "tile_no"], "n", 16)
+    for name, default in (("tile_height", F.col("tile")), ("resolution_y", F.col("resolution")), ("subsampling", F.lit(None).cast("array<int>"))):
+        images = images if name in images.columns else images.withColumn(name, default)
+    sized = file_offsets(tiles.select("slide", "level", "tile_no", F.coalesce(F.octet_length("bytes"), F.lit(0)).alias("n")), "slide", ["level", "tile_no"], "n", 16)
     per = sized.groupBy("slide", "level").agg(F.array_sort(F.collect_list(F.struct("tile_no", "offset", "n"))).alias("t"), F.max(F.col("offset") + F.col("n")).alias("end"))
     per = per.select("slide", "level", F.col("t.offset").alias("offsets"), F.transform("t.n", lambda x: x.cast("long")).alias("byte_counts"), "end")
     d = images.join(per, ["slide", "level"])
     behind = lambda size: F.when(size > 8, size).otherwise(0)
-    n_tags = 10 + F.col("photometric").isNotNull().cast("int") + F.when(F.col("level") > 0, 1).otherwise(6 + F.col("packet").isNotNull().cast("int"))
+    n_tags = 10 + F.col("photometric").isNotNull().cast("int") + F.when(F.col("level") > 0, 1).otherwise(7 + F.col("packet").isNotNull().cast("int") + F.col("subsampling").isNotNull().cast("int"))
     count = F.size("offsets")
     # values of over 8 bytes lie behind the table; all are of even length save the packet, which comes last
     extra = 2 * behind(8 * count) + F.when(F.col("level") > 0, 0).otherwise(F.coalesce(behind(F.octet_length("packet")), F.lit(0)))
@@ -78,7 +103,7 @@ def layout(tiles: DataFrame, images: DataFrame) -> DataFrame:
     order, whole = Window.partitionBy("slide").orderBy("level"), Window.partitionBy("slide")
     first = F.max("end").over(whole)
     d = d.withColumn("at", first + first % 2 + F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("last", F.col("level") == F.max("level").over(whole))
-    dirs = d.select("slide", "level", "at", "last", "width", "height", "tile", "compression", "photometric", "resolution", "packet", "offsets", "byte_counts").mapInArrow(_images, "slide string, part int, offset long, bytes binary")
+    dirs = d.select("slide", "level", "at", "last", "width", "height", "tile", "tile_height", "compression", "photometric", "resolution", "resolution_y", "subsampling", "packet", "offsets", "byte_counts").mapInArrow(_images, "slide string, part int, offset long, bytes binary")
     heads = d.filter("level = 0").select("slide", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("offset"), "at")
     body = tiles.join(sized.select("slide", "level", "tile_no", "offset"), ["slide", "level", "tile_no"]).select("slide", F.col("level").cast("int").alias("part"), "offset", "bytes")
     header = heads.select("slide", "part", "offset", F.concat(F.unhex(F.lit("49492B0008000000")), little_bytes(F.col("at"), 8)).alias("bytes"))
@@ -86,36 +111,71 @@ def layout(tiles: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def write_files(parts: DataFrame, folder: str) -> DataFrame:
-    """path, n_bytes, error of each slide's file below a shared ``folder`` that tasks can open.
+    """path, n_bytes, seconds, error of each slide's file below a shared ``folder`` that tasks can open; n_bytes is null where there is an error.
 
     A slide's parts come to one task in order of offset and go straight to a temporary file, renamed when whole; so a task that is
-    run again replaces nothing but its own leftovers, and no failed run leaves a file that looks done."""
+    run again replaces nothing but its own leftovers, and no failed run leaves a file that looks done. A part without bytes, or a file
+    that can't be written, is that slide's error, and the others go on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        file = slide = part = None
-        done: list[tuple[str, int, str | None]] = []
+        file = slide = part = error = began = None
+        done: list[tuple[str, int | None, float, str | None]] = []
 
         def close() -> None:
-            nonlocal file
-            if file is not None:
-                n = file.tell()
-                file.close()
-                os.replace(part, os.path.join(folder, slide))
-                done.append((slide, n, None))
-                file = None
+            nonlocal file, slide, error
+            if slide is None:
+                return
+            n = None
+            try:
+                if file is not None:
+                    n = file.tell()
+                    file.close()
+                    if error is None:
+                        os.replace(part, os.path.join(folder, slide))
+                    else:
+                        os.remove(part)
+            except OSError as e:
+                error = error or str(e)
+            done.append((slide, n if error is None else None, time.monotonic() - began, error))
+            file = slide = error = None
 
         for batch in batches:
             for r in batch.to_pylist():
-                if file is None or r["slide"] != slide:
+                if r["slide"] != slide:
                     close()
-                    slide = r["slide"]
-                    part = os.path.join(folder, f".{uuid.uuid4().hex}")
-                    os.makedirs(os.path.dirname(os.path.join(folder, slide)), exist_ok=True)
-                    file = open(part, "wb")  # noqa: SIM115
-                file.seek(r["offset"])
-                file.write(r["bytes"])
+                    slide, began = r["slide"], time.monotonic()
+                if error is not None:
+                    continue
+                try:
+                    if file is None:
+                        home = os.path.dirname(os.path.join(folder, slide))
+                        os.makedirs(home, exist_ok=True)
+                        part = os.path.join(home, f".{uuid.uuid4().hex}")
+                        file = open(part, "wb")  # noqa: SIM115
+                    if r["bytes"] is None:
+                        raise OSError(f"no bytes for the part at {r['offset']}")
+                    file.seek(r["offset"])
+                    file.write(r["bytes"])
+                except OSError as e:
+                    error = str(e)
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.string())], ["path", "n_bytes", "error"])
+        columns = zip(("path", "n_bytes", "seconds", "error"), (pa.string(), pa.int64(), pa.float64(), pa.string()), strict=True)
+        out = {name: pa.array([d[i] for d in done], kind) for i, (name, kind) in enumerate(columns)}
+        yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return parts.repartition("slide").sortWithinPartitions("slide", "offset").mapInArrow(run, "path string, n_bytes long, seconds double, error string")
+
 
-    return parts.repartition("slide").sortWithinPartitions("slide", "offset").mapInArrow(run, "path string, n_bytes long, error string")
+def remove_files(paths: DataFrame, folder: str) -> DataFrame:
+    """path, removed for each path (below ``folder``) in ``paths``; a file that isn't there is not removed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    os.remove(os.path.join(folder, path))
+                    gone.append(True)
+                except OSError:
+                    gone.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(gone)], ["path", "removed"])
+
+    return paths.select("path").distinct().mapInArrow(run, "path string, removed boolean")

@@ -103,6 +103,29 @@ def test_written_file_reads_back(spark, tmp_path):
             assert f.read(r.n_bytes) == bytes(payload(name, r.ifd_no, r.tile_no))
 
 
+def test_failed_file_is_a_row(spark, tmp_path):
+    parts = spark.createDataFrame([("good.tif", 0, bytearray(b"ab")), ("gone.tif", 0, bytearray(b"a")), ("gone.tif", 1, None), ("way/x.tif", 0, bytearray(b"x"))], "slide string, offset long, bytes binary")
+    (tmp_path / "way").write_text("a file where a folder should be")
+    rows = {r.path: r for r in bigtiff.write_files(parts, str(tmp_path)).collect()}
+    assert rows["good.tif"].error is None and rows["good.tif"].n_bytes == 2 and rows["good.tif"].seconds >= 0
+    assert "no bytes" in rows["gone.tif"].error and rows["way/x.tif"].error and rows["way/x.tif"].n_bytes is None
+    assert sorted(os.listdir(tmp_path)) == ["good.tif", "way"]
+
+
+def test_text_with_several_end_marks(spark):
+    data = tiff(dirs=[[(270, 2, b"one\0two\0", 8), (271, 2, b"abc\0", 4), (272, 2, b"open", 4)]])
+    rows = {r.tag: r for r in containers.tiff_entries(spark.createDataFrame([("a", bytearray(data))], "path string, content binary")).collect()}
+    assert rows[270].value_strings == ["one", "two"] and rows[270].value_string == "one\ntwo"
+    assert rows[271].value_strings is None and rows[271].value_string == "abc" and rows[272].value_string == "open"
+
+
+def test_large_private_values_are_left(spark):
+    data = tiff(dirs=[[(320, 3, b"\1\0" * 9, 9), (40000, 1, b"\1" * 9, 11_000_000), (256, 3, b"\5\0", 1)]])
+    df = spark.createDataFrame([("a", bytearray(data))], "path string, content binary")
+    assert {r.tag: r.value_long for r in containers.tiff_entries(df).collect()} == {320: None, 40000: None, 256: [5]}
+    assert {r.tag: r.value_long for r in containers.tiff_entries(df, (320,)).collect()} == {320: [1] * 9, 40000: None, 256: None}
+
+
 def test_packet(spark):
     row = spark.range(1).select(bigtiff.packet(F.lit("u"), {"Manufacturer": F.lit("A & <B>"), "ImageComments": F.lit(None)}, F.lit("2"), F.lit("3")).alias("p")).first()
-    assert "<DICOM:Manufacturer>A &amp; &lt;B&gt;</DICOM:Manufacturer>" in row.p and "ImageComments" not in row.p and row.p.index("<rdf:li>2<") < row.p.index("<rdf:li>3<")
+    assert "<DICOM:Manufacturer>A &amp; &lt;B&gt;</DICOM:Manufacturer>" in row.p and "ImageComments" not in row.p and row.p.index("<rdf:first>2<") < row.p.index("<rdf:first>3<")

@@ -83,8 +83,10 @@ def photometric(kind: Column, subsampling: Column, source: Column) -> tuple[Colu
 
 
 def plan(files: DataFrame, existing: DataFrame, settings: Parameters, path: str = "path") -> DataFrame:
-    """The run report before the run: path, dest, reader, collides, delete_first, convert, validate_after. ``existing`` (dest, valid) lists outputs that are there."""
+    """The run report before the run: path, dest, reader, collides, exists, delete_first, convert, validate_after. ``existing`` (dest, valid) lists
+    outputs that are there."""
     jobs = destinations(wanted(files, path, settings.filter), path, settings.src, settings.dest).withColumn("reader", reader(F.col(path)))
     jobs = jobs.join(existing.select("dest", "valid", F.lit(True).alias("exists")), "dest", "left")
+    jobs = jobs.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("exists", "valid")})
     flags = {k: F.lit(getattr(settings, k)) for k in ("overwrite", "retry", "validate", "validateonly")}
-    return jobs.select(path, "dest", "reader", "collides", *(c.alias(k) for k, c in actions(F.coalesce("exists", F.lit(False)), F.coalesce("valid", F.lit(False)), **flags).items()))
+    return jobs.select(path, "dest", "reader", "collides", "exists", *(c.alias(k) for k, c in actions(F.col("exists"), F.col("valid"), **flags).items()))

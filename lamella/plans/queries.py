@@ -124,15 +124,6 @@ def first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.first_and_last(read(spark, sf_dir, "conversations"), ["conv_id"], "role", "text", ["turn"])
 
 
-@query("""
-WITH c AS (SELECT doc_id, source, CASE WHEN n_chars % 5 = 0 THEN NULL WHEN n_chars % 17 = 1 THEN 'Macro 1' ELSE lang END AS c FROM documents),
-n AS (SELECT *, sum((c IS NULL)::INT) OVER (PARTITION BY source ORDER BY doc_id) AS i FROM c)
-SELECT doc_id, source, CASE WHEN contains(lower(c), 'label') THEN 'label' WHEN contains(lower(c), 'macro') THEN 'macro' WHEN c IS NULL AND i = 1 THEN 'label' WHEN c IS NULL AND i = 2 THEN 'macro' ELSE 'level' END AS kind FROM n""")
-def classify_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.when(F.col("n_chars") % 5 == 0, F.lit(None)).when(F.col("n_chars") % 17 == 1, "Macro 1").otherwise(F.col("lang"))
-    return s.classify(read(spark, sf_dir, "documents").select("doc_id", "source", c.alias("c")), "source", "doc_id", "c").drop("c")
-
-
 @query("""
 WITH t AS (SELECT *, event_type = 'purchase' AND lag(event_type) OVER w IS NOT DISTINCT FROM 'signup' AS step, event_type = 'error' AS reset FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 q AS (SELECT *, sum(reset::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM t)
@@ -239,8 +230,7 @@ def resolution_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(38,6)) * CAST(p_size AS DECIMAL(38,0)) * CAST(1000 AS DECIMAL(38,0)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS exposure FROM part")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = F.col("p_retailprice").cast("decimal(18,6)") * F.col("p_size").cast("decimal(12,6)") * 1000
-    return read(spark, sf_dir, "part").select("p_partkey", m.plain_number(ms).alias("exposure"))
+    return read(spark, sf_dir, "part").select("p_partkey", m.plain_number(m.exposure_ms(F.col("p_retailprice"), F.col("p_size"))).alias("exposure"))
 
 
 @query("SELECT p_partkey, CAST(round(CAST(p_retailprice AS DECIMAL(30,10)), 5) * 1000 AS DECIMAL(38,5))::VARCHAR AS vsi, CAST(CAST(p_retailprice AS DECIMAL(20,10)) * 1000000 AS DECIMAL(38,5))::VARCHAR AS svs FROM part")

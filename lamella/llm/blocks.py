@@ -8,18 +8,21 @@ import numpy as np
 import pyarrow as pa
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Each run of rows with an equal ``key``, across batches; one run is held at a time."""
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Each run of rows with equal ``keys``, across batches; one run is held at a time."""
     held: list[pa.RecordBatch] = []
+    before = None
     for batch in batches:
-        k = batch.column(key).to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [batch.num_rows]])
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e > s:
-                if held and held[0].column(key)[0].as_py() != k[s]:
+                if held and tuple(c[s] for c in columns) != before:
                     yield pa.Table.from_batches(held)
                     held = []
                 held.append(batch.slice(s, e - s))
+                before = tuple(c[s] for c in columns)
     if held:
         yield pa.Table.from_batches(held)
 

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.llm.common import stored
+
+#: Bytes of text that a model learns from at most.
+MOST_BYTES = 64 << 20
+
 
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(parts))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text", ones: float = 0.5) -> DataFrame:
-    """id, text, y for at most ``most`` labelled rows outside the fold ``held_out``, of which ``ones`` from label 1 as far as there are so many, least hashes first.
+def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text", ones: float = 0.5, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """id, text, y for at most ``most`` labelled rows outside the fold ``held_out``, of which ``ones`` from label 1 as far as there are so
+    many, least hashes first; then as many of them, by hash again, as hold ``most_bytes`` bytes of text together.
 
-    Rows without an id or with a label other than 0 and 1 aren't used; an id with both labels isn't either. The ids are at most
-    ``most``, so they are broadcast, and texts aren't shuffled."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").drop("z")
+    Rows without an id or with a label other than 0 and 1 aren't used; an id with both labels isn't either. Null texts have no bytes. An id
+    of several documents has the least text. The ids are at most ``most``, so they are broadcast, and texts aren't shuffled but for the sample."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").drop("z")
     known = known.filter(remainder(F.col("id"), parts) != held_out).withColumn("h", F.xxhash64(F.lit(3), "id"))
-    chosen = known.filter("y = 1").orderBy("h", "id").limit(int(most * ones)).unionByName(known.filter("y = 0").orderBy("h", "id").limit(most - int(most * ones))).drop("h")
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return found.groupBy("id").agg(F.min(F.struct("text", "y")).alias("r")).select("id", "r.*")
+    positive, negative = (known.filter(F.col("y") == y).orderBy("h", "id").limit(n) for y, n in ((1, int(most * ones)), (0, most - int(most * ones))))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(positive.unionByName(negative)), "id")
+    found = stored(found.groupBy("id").agg(F.min(F.struct("text", "y", "h")).alias("r")).select("id", "r.*"))
+    upto = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)  # over ``most`` rows of a few bytes
+    fits = found.select("id", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto).alias("bytes")).filter(F.col("bytes") <= most_bytes)
+    return found.join(F.broadcast(fits.select("id")), "id").select("id", "text", "y")

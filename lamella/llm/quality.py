@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import small_batches
+from lamella.llm.common import small_batches, stored
 from lamella.llm.labelled import remainder, sample
 from lamella.llm.tokens import BASE, Words, mix64, pieces, split
 
@@ -120,7 +120,7 @@ def fit(texts: list[str | None], labels: list[int], share: float, bits: int = BI
         ratio = np.log(up / up.sum()) - np.log(down / down.sum())
         rows = at[on]
         value = ratio[rows] / np.sqrt(np.maximum(1, np.repeat(counts[use], counts[use])))
-        each = np.where(y[use] > 0, 1 / max(1, (y[use] > 0).mean()), 1 / max(1e-9, (y[use] < 0).mean())) * cost / 2
+        each = np.where(y[use] > 0, 1 / max(1e-9, (y[use] > 0).mean()), 1 / max(1e-9, (y[use] < 0).mean())) * cost / 2  # both labels weigh the same
         w, b = dual_coordinate_descent(rows, np.concatenate([[0], np.cumsum(counts[use])]), value, y[use], size, each, rounds, seed)
         return w * ratio, b
 
@@ -148,7 +148,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE,
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, n), batch.column("held_out").slice(at, n), pa.array(model.scores(model.margins(*features(data, offs))))], ["id", "held_out", "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    scored = small_batches(docs).select(F.col(id_col).alias("id"), (remainder(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, held_out boolean, score double")
+    texts = docs.select(F.col(id_col).alias("id"), (remainder(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        scored = stored(texts.mapInArrow(run, f"id {kind}, held_out boolean, score double"))
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

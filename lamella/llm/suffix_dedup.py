@@ -1,25 +1,26 @@
-"""Suffix-array dedup: Burrows-Wheeler columns of shards are merged by iterative interleave refinement, with common prefixes; intervals that repeat give the bytes to remove."""
+"""Suffix-array dedup: Burrows-Wheeler columns of shards are merged by iterative interleave refinement, with common prefixes; intervals
+that repeat give the bytes to remove."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.blocks import groups
-from lamella.llm.common import sized_broadcast, small_batches, stored
+from lamella.llm.common import digest, scratch, sized_broadcast, small_batches, stored
 from lamella.llm.tokens import mix64, pieces
 
-#: Bytes of a repeat; bytes of a seed; slices in a group above which its range is divided; rows of 8-byte keys that may be broadcast.
+#: Bytes of a repeat; bytes of a seed; slices in a group above which its range is divided; rows of 8 or 16-byte keys that may be broadcast.
 LENGTH, SEED_BYTES, CROWD, KEY_ROWS = 400, 32, 512, 1_000_000
 #: Bytes of slices that are merged at once in a task.
 BATCH = 6 << 20
-SPOTS = "rk long, pos int, most short, least short, s1 long, s2 long, near long, far long"
+SPOTS = "k1 long, k2 long, pos int, most short, least short, s1 long, s2 long, near long, far long"
 
 
 @cache
@@ -66,17 +67,26 @@ def _anchors(data: np.ndarray, offs: np.ndarray, length: int, width: int) -> Ite
 def _find_anchors(length: int, width: int):
     half = length // 2
 
+    def keys(raw: bytes, spans: Iterator[tuple[int, int]], used: np.ndarray, seed: int) -> np.ndarray:
+        """Hashes of the spans that are used, 0 for the others."""
+        return np.array([xxhash.xxh3_64_intdigest(raw[i:j], seed) if on else 0 for (i, j), on in zip(spans, used, strict=True)], np.uint64).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rk = batch.column("rk").to_numpy()
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for at, data, offs in pieces(batch.column("text")):
-                raw, s64, s128 = data.tobytes(), xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+                raw, s128 = data.tobytes(), xxhash.xxh3_128_digest
                 for text, place, first, last in _anchors(data, offs, length, width):
-                    most, least = place - first, place - last
-                    whole = np.frombuffer(b"".join([s128(raw[i : j + length], k) for i, j, k in zip(first.tolist(), last.tolist(), most.tolist(), strict=True)]), np.int64).reshape(-1, 2)
-                    near = np.array([s64(raw[p : p + half], 1) if d <= half else 0 for p, d in zip(place.tolist(), least.tolist(), strict=True)], np.uint64).view(np.int64)
-                    far = np.array([s64(raw[p - half : p + width], 2) if d > half else 0 for p, d in zip(place.tolist(), most.tolist(), strict=True)], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(rk[at + text]), pa.array((place - offs[text]).astype(np.int32)), pa.array(most.astype(np.int16)), pa.array(least.astype(np.int16)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), pa.array(near), pa.array(far)], ["rk", "pos", "most", "least", "s1", "s2", "near", "far"])
+                    most, least, spot = place - first, place - last, place.tolist()
+                    slices = zip(first.tolist(), last.tolist(), most.tolist(), strict=True)
+                    whole = np.frombuffer(b"".join([s128(raw[i : j + length], k) for i, j, k in slices]), np.int64).reshape(-1, 2)
+                    near = keys(raw, ((p, p + half) for p in spot), least <= half, 1)
+                    far = keys(raw, ((p - half, p + width) for p in spot), most > half, 2)
+                    out = {
+                        "k1": k1[at + text], "k2": k2[at + text], "pos": (place - offs[text]).astype(np.int32), "most": most.astype(np.int16),
+                        "least": least.astype(np.int16), "s1": whole[:, 0].copy(), "s2": whole[:, 1].copy(), "near": near, "far": far,
+                    }
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], list(out))
 
     return run
 
@@ -150,9 +160,11 @@ def _kept(order: np.ndarray, lcp: np.ndarray, on: np.ndarray) -> tuple[np.ndarra
     return order[at], np.minimum.reduceat(np.append(lcp, 0), np.stack([begin, at + 1], 1).ravel())[::2]
 
 
-SLICE = [("s1", pa.int64()), ("s2", pa.int64()), ("copies", pa.int64()), ("most", pa.int16()), ("least", pa.int16()), ("key", pa.int64()), ("low", pa.int16()), ("high", pa.int16()), ("crowd", pa.int64()), ("slice", pa.binary())]
-SLICES = "s1 long, s2 long, copies long, most short, least short, key long, low short, high short, crowd long, slice binary"
-PARTS = "s1 long, s2 long, copies long, most short, least short, key long, low short, high short, u short, v short, h1 long, h2 long, slice binary"
+_RANGE = {"s1": pa.int64(), "s2": pa.int64(), "copies": pa.int64(), "most": pa.int16(), "least": pa.int16(), "key": pa.int64(), "low": pa.int16(), "high": pa.int16()}
+SLICE = _RANGE | {"crowd": pa.int64(), "slice": pa.binary()}
+PART = _RANGE | {"u": pa.int16(), "v": pa.int16(), "h1": pa.int64(), "h2": pa.int64(), "slice": pa.binary()}
+_SQL = {pa.int64(): "long", pa.int16(): "short", pa.binary(): "binary"}
+SLICES, PARTS = (", ".join(f"{name} {_SQL[kind]}" for name, kind in table.items()) for table in (SLICE, PART))
 
 
 def _cut(length: int):
@@ -164,7 +176,7 @@ def _cut(length: int):
             for k in range(batch.num_rows):
                 raw = (texts[k].as_py() or "").encode()
                 rows = [r | {"slice": raw[r["pos"] - r["most"] : r["pos"] - r["least"] + length]} for r in asked[k].as_py()]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema(SLICE))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema(list(SLICE.items())))
 
     return run
 
@@ -198,11 +210,12 @@ def _merge(length: int):
 
 
 def _divide(length: int, parts: int):
-    """Each range falls into ``parts``. A part's key is a hash of the bytes that all its windows share, its hull one of all bytes of the slice's own windows u to v in it."""
+    """Each range falls into ``parts``. A part's key is a hash of the bytes that all its windows share, its hull one of all bytes of the
+    slice's own windows u to v in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {c: [] for c in ("s1", "s2", "copies", "most", "least", "key", "low", "high", "u", "v", "h1", "h2", "slice")}
+            rows: dict[str, list] = {c: [] for c in PART}
             for r in batch.to_pylist():
                 x, a = r["slice"], r["most"]
                 edges = np.linspace(r["low"], r["high"] + 1, min(parts, r["high"] - r["low"] + 1) + 1).astype(int).tolist()
@@ -215,18 +228,41 @@ def _divide(length: int, parts: int):
                     for c, value in (r | {"key": key, "low": p, "high": q - 1, "u": u, "v": v, "h1": h1, "h2": h2}).items():
                         if c in rows:
                             rows[c].append(value)
-            types = dict(SLICE) | {"u": pa.int16(), "v": pa.int16(), "h1": pa.int64(), "h2": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, types[c]) for c, v in rows.items()], list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(v, PART[c]) for c, v in rows.items()], list(rows))
 
     return run
 
 
 def _merged(slices: DataFrame, length: int) -> DataFrame:
-    return slices.select("s1", "s2", "most", "least", "key", "low", "high", "slice").repartition("key").sortWithinPartitions("key").mapInArrow(_merge(length), "s1 long, s2 long, down short, up short")
+    dealt = slices.select("s1", "s2", "most", "least", "key", "low", "high", "slice").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_merge(length), "s1 long, s2 long, down short, up short")
+
+
+def _settle(slices: DataFrame, temp: Callable[[DataFrame], DataFrame], length: int, crowd: int) -> list[DataFrame]:
+    """s1, s2, down, up: windows that repeat, of slices in groups of any size; stored tables."""
+    told = [temp(_merged(slices.filter(F.col("crowd") <= crowd), length))]
+    large = slices.filter(F.col("crowd") > crowd)
+    while not large.isEmpty():
+        parts = temp(large.mapInArrow(_divide(length, 4), PARTS))
+        twice = parts.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1").select("h1", "h2", F.lit(True).alias("settled"))
+        twice = sized_broadcast(temp(twice), KEY_ROWS)
+        marked = parts.join(twice, ["h1", "h2"], "left")
+        told.append(marked.filter("settled").select("s1", "s2", F.col("u").alias("down"), F.col("v").alias("up")))
+        # settled parts stay as partners of the others, one for each hull
+        rest = F.struct(*(c for c in parts.columns if c not in ("key", "h1", "h2")))
+        partner = parts.join(twice, ["h1", "h2"], "left_semi").groupBy("key", "h1", "h2").agg(F.min(rest).alias("r"))
+        partner = partner.select("key", "h1", "h2", "r.*", F.lit(True).alias("settled"))
+        left = temp(marked.filter("settled is null").unionByName(partner.select(*marked.columns)).filter("low < high"))
+        open_rows = F.count(F.when(F.col("settled").isNull(), 1))
+        count = temp(left.groupBy("key").agg(F.count("*").alias("crowd"), open_rows.alias("open")).filter("crowd > 1 and open > 0").drop("open"))
+        left = temp(left.join(sized_broadcast(count, KEY_ROWS), "key").select(*SLICE))
+        told.append(temp(_merged(left.filter(F.col("crowd") <= crowd), length)))
+        large = left.filter(F.col("crowd") > crowd)
+    return told
 
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, width: int = SEED_BYTES, crowd: int = CROWD) -> DataFrame:
-    """rk, spots: for each rk of ``docs`` (rk, text) with repeats, intervals (start, stop) of bytes under a ``length``-byte string that starts elsewhere too.
+    """k1, k2, spots (a stored table): for each key of ``docs`` (k1, k2, text) with repeats, intervals (start, stop) of bytes under a ``length``-byte string that starts elsewhere too.
 
     1. Every window of ``length`` bytes belongs to the place of its least seed, which its own bytes decide; so windows can only be
        equal if they belong to places with equal bytes around. Places give two keys: the bytes shared by all windows that lie mostly
@@ -237,41 +273,36 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, width: int = SEED_
     4. A group of over ``crowd`` slices isn't merged in one task. Its range of windows is divided by longer shared bytes; a part
        whose own bytes repeat whole is settled by a count, a part with a key of its own is settled too, and the rest is merged or
        divided again, down to single windows."""
-    d = docs.select("rk", "text").filter(F.octet_length("text") >= length)
+    d = docs.select("k1", "k2", "text").filter(F.octet_length("text") >= length)
     half = length // 2
-    places = stored(small_batches(d).mapInArrow(_find_anchors(length, width), SPOTS))
-    keys = stored(places.select(F.explode(F.array("near", "far")).alias("key")).filter("key <> 0").groupBy("key").count().filter("count > 1").select("key"))
-    known = sized_broadcast(keys, KEY_ROWS)
-    near, far = known.withColumnRenamed("key", "_near"), known.withColumnRenamed("key", "_far")
-    some = places.join(near, F.col("near") == F.col("_near"), "left").join(far, F.col("far") == F.col("_far"), "left").filter("_near is not null or _far is not null")
-    some = stored(some.select("rk", "pos", "most", "least", "s1", "s2", F.coalesce("_near", F.lit(0).cast("long")).alias("near"), F.coalesce("_far", F.lit(0).cast("long")).alias("far")))
-    whole = stored(some.groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct("rk", "pos")).alias("one"), *(F.first(c).alias(c) for c in ("near", "far", "most", "least"))))
-    range_of = F.array(F.struct(F.col("near").alias("key"), F.lit(0).cast("short").alias("low"), F.lit(half).cast("short").alias("high")), F.struct(F.col("far").alias("key"), F.lit(half + 1).cast("short").alias("low"), F.lit(length - width).cast("short").alias("high")))
-    nodes = whole.select("s1", "s2", "copies", "one", "most", "least", F.explode(range_of).alias("r")).select("s1", "s2", "copies", "one.rk", "one.pos", "most", "least", "r.*").filter("key <> 0")
-    crowds = stored(nodes.groupBy("key").agg(F.count("*").alias("crowd")).filter("crowd > 1"))
-    asked = stored(nodes.join(sized_broadcast(crowds, KEY_ROWS), "key").groupBy("rk").agg(F.collect_list(F.struct("s1", "s2", "copies", "pos", "most", "least", "key", "low", "high", "crowd")).alias("asked")))
-    texts = d.join(sized_broadcast(asked.select("rk"), KEY_ROWS), "rk", "left_semi").dropDuplicates(["rk"])
-    slices = stored(texts.join(asked, "rk").select("text", "asked").mapInArrow(_cut(length), SLICES))
-    told = [whole.filter("copies > 1").select("s1", "s2", F.col("least").alias("down"), F.col("most").alias("up")), _merged(slices.filter(F.col("crowd") <= crowd), length)]
-    large = slices.filter(F.col("crowd") > crowd)
-    while not large.isEmpty():
-        parts = stored(large.mapInArrow(_divide(length, 4), PARTS))
-        twice = stored(parts.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1").select("h1", "h2", F.lit(True).alias("settled")))
-        marked = parts.join(sized_broadcast(twice, KEY_ROWS), ["h1", "h2"], "left")
-        told.append(marked.filter("settled").select("s1", "s2", F.col("u").alias("down"), F.col("v").alias("up")))
-        # settled parts stay as partners of the others, one for each hull
-        partner = parts.join(sized_broadcast(twice, KEY_ROWS), ["h1", "h2"], "left_semi").groupBy("key", "h1", "h2").agg(F.min(F.struct(*(c for c in parts.columns if c not in ("key", "h1", "h2")))).alias("r")).select("key", "h1", "h2", "r.*", F.lit(True).alias("settled"))
-        left = stored(marked.filter("settled is null").unionByName(partner.select(*marked.columns)).filter("low < high"))
-        count = stored(left.groupBy("key").agg(F.count("*").alias("crowd"), F.count(F.when(F.col("settled").isNull(), 1)).alias("open")).filter("crowd > 1 and open > 0").drop("open"))
-        left = stored(left.join(sized_broadcast(count, KEY_ROWS), "key").select(*(x.split()[0] for x in SLICES.split(", "))))
-        told.append(_merged(left.filter(F.col("crowd") <= crowd), length))
-        large = left.filter(F.col("crowd") > crowd)
-    found = told[0]
-    for more in told[1:]:
-        found = found.unionByName(more)
-    found = stored(found.groupBy("s1", "s2").agg(F.min("down").alias("down"), F.max("up").alias("up")))
-    spots = some.select("rk", "pos", "s1", "s2").join(found, ["s1", "s2"]).select("rk", F.struct((F.col("pos") - F.col("up")).alias("start"), (F.col("pos") - F.col("down") + length).alias("stop")).alias("spot"))
-    return spots.groupBy("rk").agg(F.collect_set("spot").alias("spots"))
+    with scratch(docs.sparkSession) as temp, small_batches(docs.sparkSession):
+        places = temp(d.mapInArrow(_find_anchors(length, width), SPOTS))
+        keys = places.select(F.explode(F.array("near", "far")).alias("key")).filter("key <> 0").groupBy("key").count().filter("count > 1")
+        known = sized_broadcast(temp(keys.select("key")), KEY_ROWS)
+        near, far = known.withColumnRenamed("key", "_near"), known.withColumnRenamed("key", "_far")
+        some = places.join(near, F.col("near") == F.col("_near"), "left").join(far, F.col("far") == F.col("_far"), "left")
+        shared = [F.coalesce(f"_{c}", F.lit(0).cast("long")).alias(c) for c in ("near", "far")]
+        some = temp(some.filter("_near is not null or _far is not null").select("k1", "k2", "pos", "most", "least", "s1", "s2", *shared))
+        one = F.min(F.struct("k1", "k2", "pos")).alias("one")
+        whole = temp(some.groupBy("s1", "s2").agg(F.count("*").alias("copies"), one, *(F.first(c).alias(c) for c in ("near", "far", "most", "least"))))
+
+        def span(key: str, low: int, high: int) -> Column:
+            return F.struct(F.col(key).alias("key"), F.lit(low).cast("short").alias("low"), F.lit(high).cast("short").alias("high"))
+
+        spans = F.explode(F.array(span("near", 0, half), span("far", half + 1, length - width))).alias("r")
+        nodes = whole.select("s1", "s2", "copies", "one", "most", "least", spans).select("s1", "s2", "copies", "one.*", "most", "least", "r.*").filter("key <> 0")
+        crowds = temp(nodes.groupBy("key").agg(F.count("*").alias("crowd")).filter("crowd > 1"))
+        place = F.struct("s1", "s2", "copies", "pos", "most", "least", "key", "low", "high", "crowd")
+        asked = temp(nodes.join(sized_broadcast(crowds, KEY_ROWS), "key").groupBy("k1", "k2").agg(F.collect_list(place).alias("asked")))
+        texts = d.join(sized_broadcast(asked.select("k1", "k2"), KEY_ROWS), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        slices = temp(texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(_cut(length), SLICES))
+        found = whole.filter("copies > 1").select("s1", "s2", F.col("least").alias("down"), F.col("most").alias("up"))
+        for more in _settle(slices, temp, length, crowd):
+            found = found.unionByName(more)
+        found = temp(found.groupBy("s1", "s2").agg(F.min("down").alias("down"), F.max("up").alias("up")))
+        spot = F.struct((F.col("pos") - F.col("up")).alias("start"), (F.col("pos") - F.col("down") + length).alias("stop")).alias("spot")
+        spots = some.select("k1", "k2", "pos", "s1", "s2").join(found, ["s1", "s2"]).select("k1", "k2", spot)
+        return stored(spots.groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots")))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +322,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = b"".join(kept)
             for c, v in zip(out, (len(raw), len(raw) - len(left), spans, left), strict=True):
                 out[c].append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        found = [pa.array(v, pa.binary() if c == "kept" else pa.int64()) for c, v in out.items()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *found], ["id", *out])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = SEED_BYTES, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,12 +333,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = SEED_BYTE
     and the input decides, not what is left. Matches don't cross texts. Null is empty; shorter texts stay whole. Repeated rows are
     copies of each other, so they go like other copies. Ids may be null or repeated; other columns are ignored."""
     kind = dict(docs.dtypes)[id_col]
-    d = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    spots = stored(repeated_intervals(d, length, width, crowd))
-    own = sized_broadcast(spots.select("rk"), KEY_ROWS)
-    cut = d.join(own, "rk", "left_semi").join(spots, "rk").select("id", "text", "spots").mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    keys = [h.alias(k) for h, k in zip(digest(F.col(id_col), F.col(text_col)), ("k1", "k2"), strict=True)]
+    d = docs.select(*keys, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    spots = repeated_intervals(d, length, width, crowd)
+    own = sized_broadcast(spots.select("k1", "k2"), KEY_ROWS)
+    cut = d.join(own, ["k1", "k2"], "left_semi").join(spots, ["k1", "k2"]).select("id", "text", "spots")
+    cut = cut.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     raw, none = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(0).cast("long")
-    intact = d.join(own, "rk", "left_anti").select("id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), raw.alias("kept"))
+    intact = d.join(own, ["k1", "k2"], "left_anti")
+    intact = intact.select("id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), raw.alias("kept"))
     return cut.unionByName(intact).withColumnRenamed("id", id_col)
 
 

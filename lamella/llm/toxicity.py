@@ -1,4 +1,5 @@
-"""Toxicity: a weighted finite-state pattern grammar. Insult, threat, target, negation and reported-speech transducers are composed; matched clauses are scored, not isolated words."""
+"""Toxicity: a weighted finite-state pattern grammar. Insult, threat, target, negation and reported-speech transducers are composed;
+matched clauses are scored, not isolated words."""
 
 from __future__ import annotations
 
@@ -7,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import small_batches
+from lamella.llm.common import small_batches, stored
 from lamella.llm.labelled import remainder, sample
 from lamella.llm.tokens import BASE, mix64, pieces, powers, split
 
@@ -19,7 +21,7 @@ INSULTS = "arschloch bastard bitch clown connard coward crétin depp dirtbag dis
 THREATS = "attack beat bomb burn crush cut destroy die drown end hang hunt hurt kill murder punch shoot smash stab strangle".split()
 TARGETS = "du he her him ihr people she them they those tu tú usted ustedes vosotros vous you your yourself".split()
 NEGATIONS = "ain aren cannot doesn didn don isn jamais kein keine ne never nicht nie no none nobody not nunca pas shouldn wasn weren without won wouldn".split()
-REPORTS = "alleged allegedly called calls claimed claims denied dice dijo dit he-said quote quoted reported reportedly sagt sagte said says told wrote".split()
+REPORTS = "alleged allegedly called calls claimed claims denied dice dijo dit quote quoted reported reportedly sagt sagte said says told wrote".split()
 THREAT_CUES = "gonna i going ich je shall we werde will yo".split()
 
 #: Labelled rows learned from at most; length in bytes of learned stems; evidence in nats, share of
@@ -33,6 +35,12 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, CUE = range(7)
 WORD_BREAKS = np.array([not (chr(b).isalnum() if b < 128 else True) for b in range(256)])
 CLAUSE_BREAKS = np.isin(np.arange(256), np.frombuffer(b".!?;,:\n|()", np.uint8))
+#: A sentence goes on over commas, colons and brackets.
+SENTENCE_BREAKS = np.isin(np.arange(256), np.frombuffer(b".!?;\n|", np.uint8))
+#: Typographic quotation marks and dashes, which are read as the plain quotation mark.
+QUOTES, QUOTE = "[\u201c\u201d\u201e\u201f\u00ab\u00bb\u2039\u203a\u2013\u2014]", ord('"')
+#: Words of a clause among which a report of the clause before it is looked for.
+LEAD = 3
 
 
 @dataclass(frozen=True)
@@ -94,6 +102,11 @@ def grammar():
     return compose(marking("r", REPORT, None), marking("n", NEGATION, REACH), marking("c", CUE, REACH), marking("t", TARGET, None), scoring())
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Lower case in every script, with plain quotation marks."""
+    return pc.replace_substring_regex(pc.utf8_lower(texts), QUOTES, '"')
+
+
 def word_hash(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
     return int(split(data, np.array([0, len(data)]), np.zeros(256, bool)).hash[0])
@@ -141,7 +154,7 @@ def learn_lexicon(texts: list[str | None], y: np.ndarray) -> Lexicon:
     def forms(chosen: np.ndarray) -> Iterator[np.ndarray]:
         """(form, text, word) of the chosen texts, each once, some texts at a time."""
         at = 0
-        for _, data, offs in pieces(pa.array([texts[k] for k in chosen], pa.string()), FIT_PIECE):
+        for _, data, offs in pieces(folded(pa.array([texts[k] for k in chosen], pa.string())), FIT_PIECE):
             w = split(data, offs, WORD_BREAKS)
             doc = chosen[w.doc + at].astype(np.uint64)
             at += len(offs) - 1
@@ -195,25 +208,46 @@ def match(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon, step, start) ->
     core = np.flatnonzero((kind == INSULT) | (kind == THREAT))
     if not len(core):
         return out
-    doc, breaks = w.doc, np.concatenate([[0], np.cumsum(CLAUSE_BREAKS[data])])
-    clause = breaks[w.start] + doc  # grows from text to text and from clause to clause
+    doc = w.doc
+    marks = {name: np.concatenate([[0], np.cumsum(on[data])]) for name, on in (("clause", CLAUSE_BREAKS), ("sentence", SENTENCE_BREAKS), ("quote", np.arange(256) == QUOTE))}
+    clause = marks["clause"][w.start] + doc  # grows from text to text and from clause to clause
     ends = np.flatnonzero(np.concatenate([clause[1:] != clause[:-1], [True]])) + 1
+    begins = np.concatenate([[0], ends[:-1]])
+    reported, quoted = _reported(kind == REPORT, begins, ends, marks["sentence"][w.start] + doc, doc, marks["quote"][w.start]), marks["quote"][w.start]
     for c in np.unique(np.searchsorted(ends, core, "right")):
-        i, j = (ends[c - 1] if c else 0), ends[c]
+        i, j = begins[c], ends[c]
         text, total, state = doc[i], 0.0, start
-        # a target may follow what it is the target of, so a clause with a target starts as if one had been read
+        # a target may follow what it is the target of, and a report what it reports, so a clause with either starts as if one had been read
         if (kind[i:j] == TARGET).any():
             state = step(state, (TARGET, frozenset()))[0]
+        first = i + int(np.argmax((kind[i:j] == INSULT) | (kind[i:j] == THREAT)))
+        if reported[c] or ((kind[first:j] == REPORT) & (quoted[first:j] > quoted[first])).any():
+            state = step(state, (REPORT, frozenset()))[0]
         for k in range(i, j):
-            state, (kd, marks), arc = step(state, (int(kind[k]), frozenset()))
+            state, (kd, found), arc = step(state, (int(kind[k]), frozenset()))
             if kd in (INSULT, THREAT):
-                out[text, _PATTERN[(kd, *(int(m in marks) for m in "tnrc"))]] += weight[k]
+                out[text, _PATTERN[(kd, *(int(m in found) for m in "tnrc"))]] += weight[k]
                 total += arc * weight[k]
         out[text, -2] = max(out[text, -2], total)
         out[text, -1] += max(total, 0.0)
     return out
 
 
+def _reported(report: np.ndarray, begins: np.ndarray, ends: np.ndarray, sentence: np.ndarray, doc: np.ndarray, quotes: np.ndarray) -> np.ndarray:
+    """Clauses that another clause reports: one before in the sentence, or the next, if that begins with a report (within ``LEAD``
+    words) and belongs to the sentence or follows a quotation mark."""
+    has = np.add.reduceat(report.astype(np.int64), begins)
+    of = sentence[begins]
+    before = np.concatenate([[0], np.cumsum(has)])
+    earlier = before[:-1] > before[np.searchsorted(of, of, "left")]
+    place = np.arange(len(report)) - np.repeat(begins, ends - begins)
+    leads = np.add.reduceat((report & (place < LEAD)).astype(np.int64), begins) > 0
+    after = np.zeros(len(begins), bool)
+    joined = (of[1:] == of[:-1]) | (quotes[begins[1:]] > quotes[ends[:-1] - 1])
+    after[:-1] = leads[1:] & joined & (doc[begins[1:]] == doc[begins[:-1]])
+    return earlier | after
+
+
 @dataclass(frozen=True)
 class Model:
     lexicon: Lexicon
@@ -236,7 +270,8 @@ def fit(texts: list[str | None], labels: list[int], share: float) -> Model:
     if len(np.unique(y)) < 2:
         return Model(lexicon, prior)
     step, start = grammar()
-    x = inputs(np.concatenate([match(data, offs, lexicon, step, start) for _, data, offs in pieces(pa.array(texts, pa.string()), FIT_PIECE)]))
+    found = [match(data, offs, lexicon, step, start) for _, data, offs in pieces(folded(pa.array(texts, pa.string())), FIT_PIECE)]
+    x = inputs(np.concatenate(found))
     weigh = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     theta = prior.copy()
     for _ in range(60):
@@ -247,7 +282,8 @@ def fit(texts: list[str | None], labels: list[int], share: float) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
-    """A model from at most ``sample_rows`` labelled rows outside the held-out fold (a bound for the fit alone)."""
+    """A model from at most ``sample_rows`` labelled rows outside the held-out fold, and at most ``labelled.MOST_BYTES`` of their text
+    (bounds for the fit alone)."""
     train = sample(docs, labels, label, FOLDS, HELD_OUT, sample_rows, id_col, text_col, 0.25).toPandas().sort_values("id")
     counts = {r["y"]: r["count"] for r in labels.filter(remainder(F.col(id_col), FOLDS) != HELD_OUT).groupBy(F.col(label).cast("int").alias("y")).count().collect()}
     return fit(train["text"].tolist(), train["y"].tolist(), counts.get(1, 0) / max(1, counts.get(1, 0) + counts.get(0, 0)))
@@ -264,28 +300,36 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, start = grammar()
         for batch in batches:
-            for at, data, offs in pieces(batch.column("text")):
-                n = len(offs) - 1
-                scores = pa.array(model.scores(match(data, offs, model.lexicon, step, start)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, n), batch.column("held_out").slice(at, n), scores], ["id", "held_out", "score"])
+            scores = pa.array(_scores(model, batch.column("text"), step, start), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), scores], ["id", "held_out", "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    scored = small_batches(docs).select(F.col(id_col).alias("id"), (remainder(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, held_out boolean, score double")
+    texts = docs.select(F.col(id_col).alias("id"), (remainder(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        scored = stored(texts.mapInArrow(run, f"id {kind}, held_out boolean, score double"))
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def _scores(model: Model, texts: pa.Array, step, start) -> np.ndarray:
+    """Scores of many texts, some at a time."""
+    out = [np.zeros(0)]
+    for at, _, offs in pieces(texts):
+        part = folded(texts.slice(at, len(offs) - 1))
+        out += [model.scores(match(data, offs, model.lexicon, step, start)) for _, data, offs in pieces(part)]
+    return np.concatenate(out)
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
-    """The rows of ``docs`` with a score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` with a score below ``threshold``, with all their columns. Only texts go to Python, only scores come back."""
     model = learn(docs, labels, sample_rows, id_col, text_col, label)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         step, start = grammar()
-        for batch in batches:
-            for at, data, offs in pieces(batch.column(text_col)):
-                good = model.scores(match(data, offs, model.lexicon, step, start)) < threshold
-                yield batch.slice(at, len(offs) - 1).filter(pa.array(good))
+        for batch in texts:
+            yield pa.array(_scores(model, batch, step, start), pa.float64())
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.filter(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < threshold)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

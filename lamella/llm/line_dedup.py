@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import BLANKS, ascii_lower, digest
+from lamella.llm.common import BLANKS, ascii_lower, digest, scratch, sized_broadcast, sized_join, stored
 
 #: Line length in code points and number of documents from which a line counts as repeated.
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Keys of 16 bytes that may be broadcast.
+KEY_ROWS = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -22,7 +24,8 @@ def _lines(text: Column) -> Column:
 def _hashed(line: Column, min_chars: int) -> Column:
     """Two longs for a line that counts, null for a short one. A line shorter than the limit before trimming needs no trimming."""
     key = line_key(line)
-    return F.when((F.char_length(line) >= min_chars) & (F.char_length(F.btrim(line, F.lit(BLANKS))) >= min_chars), F.struct(*(h.alias(n) for h, n in zip(digest(key), ("h1", "h2"), strict=True))))
+    long = (F.char_length(line) >= min_chars) & (F.char_length(F.btrim(line, F.lit(BLANKS))) >= min_chars)
+    return F.when(long, F.struct(*(F.xxhash64(F.lit(i), key).alias(f"h{i}") for i in (1, 2))))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,15 +36,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     documents are counted, and each keeps its own lines by the same rule. A null id is one more document, below all
     others. Other columns of ``docs`` are ignored, so their names can't clash. Empty in, empty out.
 
-    The documents that hold a key are counted in two grouped steps, both with partial sums, so one line in a third of
-    all documents costs each task one row. Only (id, hashes) go to the join with the repeated keys."""
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = d.select("_id", F.explode(F.array_distinct(F.filter(F.transform(_lines(F.col("_text")), lambda x: _hashed(x, min_chars)), lambda x: x.isNotNull()))).alias("h")).select("_id", "h.h1", "h.h2").distinct()
-    repeated = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_id").alias("last")).filter(F.col("n") >= min_docs).drop("n")
-    drops = found.join(repeated, ["h1", "h2"]).filter(~F.col("_id").eqNullSafe(F.col("last"))).groupBy(F.col("_id").alias("_to")).agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
-    lines = _lines(F.col("_text"))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), _hashed(x, min_chars)), F.lit(False))))
-    return d.join(drops, F.col("_id").eqNullSafe(F.col("_to")), "left").select(F.col("_id").alias(id_col), kept.alias("_kept"), F.size(lines).cast("long").alias("n_lines")).select(id_col, F.array_join("_kept", "\n").alias("kept_text"), "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"))
+    Lines are hashed once, into a stored table of (document, hashes, positions). Documents are counted in two grouped steps, both with
+    partial sums, so one line in a third of all documents costs each task one row. Positions to drop go back to the texts that have
+    any; other texts aren't shuffled, and a text's lines are taken by position, in one pass."""
+    k1, k2 = digest(F.col(id_col), F.col(text_col))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
+    lines = _lines(F.col("text"))
+    with scratch(docs.sparkSession) as temp:
+        hashed = F.transform(lines, lambda x, i: F.struct(_hashed(x, min_chars).alias("h"), i.alias("pos")))
+        found = d.select("id", "k1", "k2", F.explode(F.filter(hashed, lambda x: x["h"].isNotNull())).alias("x"))
+        found = temp(found.select("id", "k1", "k2", "x.h.*", "x.pos"))
+        # a line may come several times in a document, and a document in several rows
+        once = found.groupBy("h1", "h2", "id").agg(F.count("*").alias("rows"))
+        repeated = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("id").alias("last"))
+        repeated = temp(repeated.filter(F.col("n") >= min_docs).select("h1", "h2", "last", "rows"))
+        drops = sized_join(found, repeated, ["h1", "h2"], "rows", found.count()).filter(~F.col("id").eqNullSafe(F.col("last")))
+        drops = stored(drops.groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop")))
+    some = sized_broadcast(drops.select("k1", "k2"), KEY_ROWS)
+    touched = d.join(some, ["k1", "k2"], "left_semi").join(drops, ["k1", "k2"]).select("id", lines.alias("lines"), "drop")
+    rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    kept = F.transform(rest, lambda i: F.get("lines", i))
+    touched = touched.select("id", F.array_join(kept, "\n").alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"))
+    intact = d.join(some, ["k1", "k2"], "left_anti")
+    intact = intact.select("id", F.coalesce("text", F.lit("")).alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return touched.unionByName(intact).withColumnRenamed("id", id_col)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

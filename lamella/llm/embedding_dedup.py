@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.blocks import groups, roots
-from lamella.llm.common import components, digest, sized_broadcast, stored
+from lamella.llm.common import components, digest, scratch, sized_join, stored
 
 #: Least cosine; width of a quantisation step; chance to find a pair just at the limit; unrelated vectors in a bucket; vectors in a block.
-COSINE, WIDTH, RECALL, CROWD, BLOCK, SEED = 0.9, 1.8, 0.97, 64, 512, 17
+COSINE, WIDTH, RECALL, CROWD, BLOCK, SEED = 0.9, 1.8, 0.97, 512, 2048, 17
 
 
 def step_chance(distance: float, width: float) -> float:
@@ -65,17 +65,17 @@ def _keys(k: int, tables: int, width: float, seed: int):
 
 
 def _compare(cosine: float):
-    def group(t: int, parts: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    def group(parts: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         node, copies, first, second = (parts.column(c).to_numpy() for c in ("node", "copies", "first", "second"))
-        keys = parts.column("keys").combine_chunks()
-        keys = keys.values.to_numpy()[keys.offsets[0].as_py() : keys.offsets[-1].as_py()].reshape(len(node), -1)
+        before = parts.column("before").combine_chunks()
+        before = before.values.to_numpy()[before.offsets[0].as_py() : before.offsets[-1].as_py()].reshape(len(node), -1)
         for rows, x in _unit(parts.column("vec")):
             a, b = rows[first[rows]], rows[second[rows]]
             left, right = x[first[rows]], x[second[rows]]
             i, j = np.nonzero(left @ right.T >= cosine)
             i, j = a[i], b[j]
             once = (i < j) if (first[rows] & second[rows]).any() else np.ones(len(i), bool)
-            once &= ~(keys[i, :t] == keys[j, :t]).any(axis=1)  # an earlier table has had the pair
+            once &= ~(before[i] == before[j]).any(axis=1)  # an earlier table has had the pair
             i, j = i[once], j[once]
             if len(i):
                 links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
@@ -83,8 +83,8 @@ def _compare(cosine: float):
                 yield node[some], links[some].astype(np.int64), node[roots(len(node), i, j)[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in groups(batches, "g"):
-            for out in group(whole.column("t")[0].as_py(), whole):
+        for whole in groups(batches, "t", "key", "low", "high"):
+            for out in group(whole):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["node", "links", "root"])
 
     return run
@@ -95,31 +95,45 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
 
     Vectors link if their cosine in double precision is ``cosine`` or more. Those that are null, empty, zero, or hold nulls or
     values that aren't finite link with nothing; vectors of different lengths don't link. Equal vectors are one node with a count,
-    so copies cost one row. component_id is the smallest id reachable, the own id included; a row with a null id counts as a link,
-    and its component may be null. Empty in, empty out.
+    so copies cost one row; nodes are numbered when their table is stored. component_id is the smallest id reachable, the own id
+    included; a row with a null id counts as a link, and its component may be null. Empty in, empty out.
 
-    Buckets of over ``block`` nodes are dealt to blocks, and each pair of blocks is a group of its own, so no task holds a bucket.
+    A vector goes once to each table's bucket, with its keys in the tables before; buckets of one node aren't sent. Buckets of over
+    ``block`` nodes are dealt to blocks, and each pair of blocks is a group of its own, so no task holds a bucket.
     A pair is counted in the first table that has it. Groups give back sums and spanning edges, not pairs."""
+    k1, k2 = digest(F.col("vec"))
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).withColumn("ok", usable(F.col("vec")))
-    v = v.withColumn("node", F.when(F.col("ok"), F.xxhash64(*digest(F.col("vec")))))
-    nodes = stored(v.filter("ok").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("vec").alias("vec")))
-    k, tables = table_plan(nodes.count(), cosine, recall=recall)
-    keyed = stored(nodes.select("node", "vec").mapInArrow(_keys(k, tables, WIDTH, seed), "node long, keys array<int>"))
-    spots = keyed.select("node", F.posexplode("keys").alias("t", "key"))
-    crowds = stored(spots.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block)))
-    dealt = spots.join(sized_broadcast(crowds), ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("node", "t"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.select("node", "t", F.xxhash64("t", "key", low, high).alias("g"), (F.col("own") == low).alias("first"), (F.col("own") == high).alias("second"))
-    sent = dealt.join(nodes.select("node", "copies", "vec").join(keyed, "node"), "node").repartition("g").sortWithinPartitions("g")
-    told = stored(sent.select("g", "t", "node", "copies", "first", "second", "vec", "keys").mapInArrow(_compare(cosine), "node long, links long, root long"))
-    comps = components(told.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = told.groupBy("node").agg(F.sum("links").alias("links"))
-    one = nodes.select("node", "copies", "id").join(links, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = stored(one.groupBy("component").agg(F.min("id").alias("component_id")))
-    named = stored(one.join(least, "component").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    found = v.select("id", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return found.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    v = v.select("id", "vec", *(F.when(F.col("ok"), h).alias(c) for c, h in (("k1", k1), ("k2", k2))))
+    with scratch(vectors.sparkSession) as temp:
+        nodes = v.filter("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("vec").alias("vec"))
+        nodes = temp(nodes.select(F.monotonically_increasing_id().alias("node"), "*"))
+        k, tables = table_plan(nodes.count(), cosine, recall=recall)
+        keyed = temp(nodes.select("node", "vec").mapInArrow(_keys(k, tables, WIDTH, seed), "node long, keys array<int>"))
+        spots = keyed.select("node", F.posexplode("keys").alias("t", "key"))
+        crowds = temp(spots.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block)))
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+        before = F.slice("keys", F.lit(1), F.col("t")).alias("before")
+        spots = keyed.select("node", "keys", F.posexplode("keys").alias("t", "key")).select("node", "t", "key", before)
+        dealt = sized_join(spots, crowds, ["t", "key"], "n", nodes.count() * tables)
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "t"), "blocks")).select("*", others)
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        sides = [(F.col("own") == low).alias("first"), (F.col("own") == high).alias("second")]
+        group = ["t", "key", "low", "high"]
+        dealt = dealt.select("node", "before", "t", "key", low.alias("low"), high.alias("high"), *sides)
+        sent = dealt.join(nodes.select("node", "copies", "vec"), "node").repartition(*group).sortWithinPartitions(*group)
+        sent = sent.select(*group, "node", "copies", "first", "second", "vec", "before")
+        told = temp(sent.mapInArrow(_compare(cosine), "node long, links long, root long"))
+        comps = components(told.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        links = told.groupBy("node").agg(F.sum("links").alias("links"))
+        one = nodes.select("node", "k1", "k2", "copies", "id").join(links, "node", "left").join(comps, "node", "left")
+        one = temp(one.withColumn("component", F.coalesce("component", "node")))
+        least = temp(one.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("members")))
+        named = sized_join(one, least, ["component"], "members", one.count())
+        named = stored(named.select("k1", "k2", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies"))
+    found = sized_join(v.filter("k1 is not null").select("id", "k1", "k2"), named, ["k1", "k2"], "copies", named.agg(F.sum("copies")).first()[0] or 0)
+    alone = v.filter("k1 is null").select("id", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return found.select("id", "component_id", "n_links").unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", kept)
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

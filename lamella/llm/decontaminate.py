@@ -1,67 +1,92 @@
-"""Benchmark decontamination: a positional inverted index over the corpus; lists of the rarest test terms, shifted by their offsets, are intersected; survivors are compared as phrases."""
+"""Benchmark decontamination: a positional index over the corpus is stored once; the lists of a window's rarest terms, adjusted by their
+offsets, are intersected, and the rest of the window is compared at the place they agree on."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import ascii_lower, digest, sized_broadcast, stored
+from lamella.llm.common import ascii_lower, digest, scratch, sized_broadcast, stored
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+Temp = Callable[[DataFrame], DataFrame]
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """k1, k2, pos and the columns of ``terms`` (term, ...) for each place of a term in ``docs`` (k1, k2, text): the part of the index that the terms need."""
-    return docs.select("k1", "k2", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(sized_broadcast(terms), "term")
+def terms(text: Column) -> Column:
+    """64-bit hashes of a text's words, in order."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def positional_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, k1, k2, terms for each row of ``docs``: the term at each position. The only pass that reads and splits texts.
+
+    The index is kept by document, as a search engine's shard is, so lists of one document are intersected where they lie; ``postings``
+    turns it to (term, document, position)."""
+    k1, k2 = digest(F.col(id_col), F.col(text_col))
+    return docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), terms(F.col(text_col)).alias("terms"))
+
+
+def postings(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """k1, k2, terms, pos and the columns of ``asked`` (term, ...) for each place of an asked term: a list for each term. ``terms`` is the
+    document's own array, which a plan that reads it in the same stage doesn't copy."""
+    return index.select("k1", "k2", "terms", F.posexplode("terms").alias("pos", "term")).join(sized_broadcast(asked), "term")
 
 
 def test_windows(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """item, phrase, len, wid: each run of ``n`` words of an item; an item of fewer words, but not none, is one run."""
-    w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
-    w = w.select("item", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - n))).alias("s")).select("item", F.slice("w", F.col("s") + 1, n).alias("w"))
-    return w.select("item", F.array_join("w", " ").alias("phrase"), F.size("w").alias("len")).distinct().withColumn("wid", F.xxhash64("phrase"))
-
-
-def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """k1, k2, start, len, wid of every exact occurrence in ``docs`` (k1, k2, text) of a phrase of ``windows`` (phrase, len, wid).
-
-    Corpus counts rank a phrase's terms. The lists of the two rarest, each moved back by the term's offset, must meet at the same
-    start; only there are the document's words compared with the phrase. A term that is nowhere in the corpus rules its phrase out."""
-    spots = windows.select("wid", "len", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
-    counts = stored(postings(docs.select("k1", "k2", "text"), stored(spots.select("term").distinct())).groupBy("term").agg(F.count("*").alias("cf")))
-    ranked = spots.join(counts, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy(F.coalesce("cf", F.lit(0)), "off")))
-    gone = ranked.filter(F.col("cf").isNull()).select("wid").distinct()
-    lists = stored(ranked.filter(F.col("rank") <= 2).join(gone, "wid", "left_anti").select("term", "wid", "len", "off"))
-    shifted = postings(docs.select("k1", "k2", "text"), lists).select("k1", "k2", "wid", "len", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
-    met = shifted.groupBy("k1", "k2", "start", "wid", "len").count().filter(F.col("count") >= F.least(F.lit(2), F.col("len")))
-    met = stored(met.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "len", "wid")).alias("met")))
-    some = docs.join(sized_broadcast(met.select("k1", "k2")), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    read = some.join(met, ["k1", "k2"]).withColumn("w", words(F.col("text")))
-    read = read.select("k1", "k2", F.explode(F.transform("met", lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len"), m["wid"].alias("wid"), F.array_join(F.slice(F.col("w"), m["start"] + 1, m["len"]), " ").alias("phrase")))).alias("m")).select("k1", "k2", "m.*")
-    return read.join(sized_broadcast(windows.select("wid", "phrase")), ["wid", "phrase"]).select("k1", "k2", "start", "len", "wid")
-
-
-def proximity_matches(docs: DataFrame, terms: list[str], within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, start, stop of each shortest run of at most ``within`` words that ends at a term and holds all ``terms``, in any order.
-
-    Null texts have no words. A running maximum of each term's last place gives the run; the window is over one document's postings."""
-    spark, terms = docs.sparkSession, list(dict.fromkeys(terms))
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns(dict(zip(("k1", "k2"), digest(F.col("id"), F.col("text")), strict=True)))
-    p = postings(keyed.dropDuplicates(["k1", "k2"]), spark.createDataFrame([(t,) for t in terms], "term string"))
+    """item, win, len, w1, w2: each run of ``n`` words of an item, as terms and as 128 bits; an item of fewer words, but not none, is one run."""
+    w = items.select(F.col(id_col).cast("string").alias("item"), terms(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - n))).alias("s")
+    w = w.select("item", "w", starts).select("item", F.slice("w", F.col("s") + 1, n).alias("win"))
+    return w.select("item", "win", F.size("win").alias("len"), *(h.alias(k) for h, k in zip(digest(F.col("win")), ("w1", "w2"), strict=True))).distinct()
+
+
+def phrase_matches(index: DataFrame, windows: DataFrame, temp: Temp) -> DataFrame:
+    """k1, k2, start, len, w1, w2 of every exact occurrence in ``index`` of a window of ``windows`` (win, len, w1, w2).
+
+    Corpus counts rank a window's terms; a term that is nowhere in the corpus rules its window out. Each place of the rarest term gives
+    a start, which must be a start for the list of the second rarest too, and there all terms are compared. All this happens at the
+    document's own row, so nothing is shuffled but the matches. A frequent rarest term costs a look a place, not a row that is sent."""
+    windows = windows.select("win", "len", "w1", "w2").distinct()
+    spots = windows.select("w1", "w2", F.posexplode("win").alias("off", "term"))
+    counts = postings(index, spots.select("term").distinct()).groupBy("term").agg(F.count("*").alias("cf"))
+    order = Window.partitionBy("w1", "w2").orderBy("cf", "off")
+    ranked = spots.join(counts, "term", "left").withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
+    first = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
+    lists = ranked.groupBy("w1", "w2").agg(first(1, "cf").alias("cf"), first(1, "term").alias("term"), first(1, "off").alias("off"), first(2, "term").alias("term2"), first(2, "off").alias("off2"))
+    lists = temp(lists.filter("cf is not null").drop("cf").join(windows, ["w1", "w2"]))
+    start = F.col("pos") - F.col("off")
+    second = F.col("term2").isNull() | (F.get("terms", start + F.col("off2")) == F.col("term2"))
+    inside = (start >= 0) & (start + F.col("len") <= F.size("terms"))
+    found = postings(index, lists).filter(inside & second & (F.slice("terms", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")))
+    return found.select("k1", "k2", start.alias("start"), "len", "w1", "w2").distinct()
+
+
+def proximity_matches(docs: DataFrame, asked: list[str], within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, start, stop of each shortest run of at most ``within`` words that ends at a term and holds all terms ``asked``, in any order.
+
+    Terms are words, A-Z lower-cased; a repeated one counts once. No terms: no runs. Null and empty texts have no words. Rows that
+    share id and text get the same runs, each. Ids may be null. A running maximum of each term's last place gives the run; the window is over one document's postings."""
+    asked = list(dict.fromkeys(x.translate(str.maketrans({c: c.lower() for c in map(chr, range(65, 91))})) for x in asked))
+    index = positional_index(docs, id_col, text_col)
+    if not asked:
+        return index.select(F.col("id").alias(id_col), F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0)
+    spark = docs.sparkSession
+    known = spark.createDataFrame([(t, i) for i, t in enumerate(asked)], "word string, no int").select(F.xxhash64("word").alias("term"), "no")
+    p = postings(index.dropDuplicates(["k1", "k2"]), known).select("k1", "k2", "pos", "no")
     upto = Window.partitionBy("k1", "k2").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(upto) for t in terms]
-    start = F.least(*last) if len(last) > 1 else last[0]
-    full = [x.isNotNull() for x in last]
-    ok = full[0]
-    for x in full[1:]:
-        ok = ok & x
-    found = p.select("k1", "k2", "pos", F.when(ok, start).alias("start")).filter(F.col("start").isNotNull() & (F.col("pos") - F.col("start") < within))
-    return keyed.select("id", "k1", "k2").join(found, ["k1", "k2"]).select(F.col("id").alias(id_col), "start", F.col("pos").alias("stop"))
+    last = [F.max(F.when(F.col("no") == i, F.col("pos"))).over(upto) for i in range(len(asked))]
+    have = p.select("k1", "k2", "pos", F.array(*last).alias("last"))
+    have = have.filter(F.forall("last", lambda x: x.isNotNull())).select("k1", "k2", F.array_min("last").alias("start"), F.col("pos").alias("stop"))
+    found = have.filter(F.col("stop") - F.col("start") < within)
+    return index.select("id", "k1", "k2").join(found, ["k1", "k2"]).select(F.col("id").alias(id_col), "start", "stop")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -69,21 +94,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: st
 
     Null and wordless texts have no words and no hits. Rows that share id and text get the same result. Ids may be null. An item
     with a null id hits words, but isn't listed. No items: no hits. Other columns of ``docs`` and ``items`` are ignored."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(h.alias(k) for h, k in zip(digest(F.col(id_col), F.col(text_col)), ("k1", "k2"), strict=True)))
-    windows = stored(test_windows(items, n, item_id, item_text))
-    hits = stored(phrase_matches(d, windows.select("phrase", "len", "wid").distinct()))
-    spots = hits.groupBy("k1", "k2").agg(F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))).cast("long").alias("n_hit"))
-    named = hits.select("k1", "k2", "wid").distinct().join(sized_broadcast(windows.select("wid", "item")), "wid").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = spots.join(named, ["k1", "k2"], "left")
-    return d.select("id", "k1", "k2", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(found, ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    index = stored(positional_index(docs, id_col, text_col))
+    with scratch(docs.sparkSession) as temp:
+        windows = temp(test_windows(items, n, item_id, item_text))
+        hits = temp(phrase_matches(index, windows, temp))
+        places = F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
+        spots = hits.groupBy("k1", "k2").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
+        named = hits.select("k1", "k2", "w1", "w2").distinct().join(sized_broadcast(windows.select("w1", "w2", "item")), ["w1", "w2"])
+        found = stored(spots.join(named.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items")), ["k1", "k2"], "left"))
+    out = index.select("id", "k1", "k2", F.size("terms").cast("long").alias("n_words")).join(found, ["k1", "k2"], "left")
+    no_items = F.array().cast("array<string>")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", no_items).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with all their columns."""
+    """The rows of ``docs`` that hold no window of an item, with all their columns. Nulls and repeats as in ``decontaminate``."""
+    with scratch(docs.sparkSession) as temp:
+        index = temp(positional_index(docs, id_col, text_col))
+        hits = stored(phrase_matches(index, temp(test_windows(items, n, item_id, item_text)), temp).select("k1", "k2").distinct())
     k1, k2 = digest(F.col(id_col), F.col(text_col))
-    windows = stored(test_windows(items, n, item_id, item_text).select("phrase", "len", "wid").distinct())
-    hits = stored(phrase_matches(docs.select(F.col(text_col).alias("text"), k1.alias("k1"), k2.alias("k2")), windows).select(F.col("k1").alias("_window_k1"), F.col("k2").alias("_window_k2")).distinct())
-    return docs.join(sized_broadcast(hits), (k1 == F.col("_window_k1")) & (k2 == F.col("_window_k2")), "left_anti")
+    packed = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))  # so that no column's name can clash
+    return packed.join(sized_broadcast(hits), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_entry(entries: DataFrame, tag: int, value: str) -> DataFrame:
-    """path, value of each file's first entry of a tag: of the first directory that has it, its first."""
+def first_entry(entries: DataFrame, tag: int, value: str, files: DataFrame | None = None) -> DataFrame:
+    """path, value of each file's first entry of a tag: of the first directory that has it, its first. With ``files`` (path), one of them
+    without such an entry is an error."""
     at = F.struct("ifd_no", "entry_no")
-    return entries.filter(F.col("tag") == tag).groupBy("path").agg(F.min_by(value, at).alias(value))
+    found = entries.filter(F.col("tag") == tag).groupBy("path").agg(F.min_by(value, at).alias(value), F.lit(True).alias("_has"))
+    if files is not None:
+        missing = F.raise_error(F.concat(F.lit(f"no entry of tag {tag} in "), "path")).cast("boolean")
+        found = files.select("path").join(found, "path", "left").filter(F.coalesce("_has", missing))
+    return found.select("path", value)
 
 
 def with_sub_directories(main: DataFrame, subs: DataFrame) -> DataFrame:

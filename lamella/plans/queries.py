@@ -212,13 +212,17 @@ def used_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.used_files(read(spark, sf_dir, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("path")), [], "path", "page_id")
 
 
+NAMED = ("Orientation", "ResolutionUnit", "DeviceSubtype", "StackType", "YCbCrSubSampling")
+
+
 @query(f"""
-WITH v AS (SELECT n_nationkey, unnest(['Orientation', 'ResolutionUnit', 'DeviceSubtype']) AS tag, unnest([n_nationkey % 10, n_regionkey, 20000 + n_nationkey % 15]) AS code FROM nation),
-names AS (SELECT * FROM (VALUES {', '.join(f"('{a}', {k}, '{n}')" for a in ('Orientation', 'ResolutionUnit', 'DeviceSubtype') for k, n in tags.NAMES[a].items())}) AS x(tag, code, name))
-SELECT n_nationkey, v.tag, CAST(v.code AS BIGINT) AS code, coalesce(name, CASE WHEN v.tag = 'DeviceSubtype' THEN v.code::VARCHAR END) AS name FROM v LEFT JOIN names ON v.tag = names.tag AND v.code = names.code""")
+WITH v AS (SELECT n_nationkey, unnest([{', '.join(f"'{a}'" for a in NAMED)}]) AS tag, unnest([n_nationkey % 10, n_regionkey, 20000 + n_nationkey % 15, n_nationkey % 10 * 2, n_nationkey % 5]) AS code FROM nation),
+names AS (SELECT * FROM (VALUES {', '.join(f"('{a}', {k}, '{n}')" for a in NAMED for k, n in tags.NAMES[a].items())}) AS x(tag, code, name))
+SELECT n_nationkey, v.tag, CAST(v.code AS BIGINT) AS code, coalesce(name, CASE WHEN v.tag IN ('DeviceSubtype', 'StackType') THEN v.code::VARCHAR END) AS name FROM v LEFT JOIN names ON v.tag = names.tag AND v.code = names.code""")
 def tag_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
-    pairs = F.array(*(F.struct(F.lit(tag).alias("tag"), code.cast("long").alias("code")) for tag, code in (("Orientation", n % 10), ("ResolutionUnit", F.col("n_regionkey")), ("DeviceSubtype", 20000 + n % 15))))
+    codes = dict(zip(NAMED, (n % 10, F.col("n_regionkey"), 20000 + n % 15, n % 10 * 2, n % 5), strict=True))
+    pairs = F.array(*(F.struct(F.lit(tag).alias("tag"), code.cast("long").alias("code")) for tag, code in codes.items()))
     return tags.named(read(spark, sf_dir, "nation").select("n_nationkey", F.explode(pairs).alias("p")).select("n_nationkey", "p.*"), "tag", "code")
 
 

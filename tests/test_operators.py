@@ -206,6 +206,9 @@ def test_directories(spark):
 
     entries = spark.createDataFrame([("a", 1, 0, 270, "x"), ("a", 0, 3, 270, "y"), ("a", 0, 5, 270, "z")], "path string, ifd_no int, entry_no int, tag int, value_string string")
     assert [tuple(r) for r in d.first_entry(entries, 270, "value_string").collect()] == [("a", "y")]
+    assert [tuple(r) for r in d.first_entry(entries, 270, "value_string", entries.select("path").distinct()).collect()] == [("a", "y")]
+    with pytest.raises(Exception, match="no entry of tag 271 in a"):
+        d.first_entry(entries, 271, "value_string", entries.select("path").distinct()).collect()
     main = spark.createDataFrame([("a", 0, 10, [70, 60]), ("a", 1, 20, None)], "path string, ifd_no int, offset long, sub_offsets array<long>")
     subs = spark.createDataFrame([("a", 60), ("a", 70), ("a", 99)], "path string, offset long")
     assert [(r.pos, r.offset, r.is_sub) for r in d.with_sub_directories(main, subs).orderBy("pos").collect()] == [(0, 10, False), (1, 20, False), (2, 70, True), (3, 60, True)]

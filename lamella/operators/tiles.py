@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.functions.geometry import ceil_div, depth, ets_level_size, level_size
+from lamella.functions.geometry import ceil_div, depth, ets_level_size, level_size, overlaps
 
 
 def levels(slides: DataFrame, slide: str, width: str, height: str, tile: int) -> DataFrame:
@@ -40,6 +40,15 @@ def quadrants(tiles: DataFrame, slide: str, value: str, fill: int = 0) -> DataFr
     return tiles.groupBy(F.col(slide), qx.alias("qx"), qy.alias("qy")).agg(*(F.coalesce(F.max(F.when((F.col("tile_x") % 2 == i) & (F.col("tile_y") % 2 == j), F.col(value))), F.lit(fill)).alias(p) for p, (i, j) in parts.items()))
 
 
+def region_parts(tiles: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
+    """slide, tile_no, and for each tile (x, y, w, h) that meets a region: where in the tile the common part begins (src_x, src_y), where
+    in the region it goes (dst_x, dst_y), and its size (part_w, part_h)."""
+    c, left, top = F.col, F.greatest(F.col("x"), F.lit(x)), F.greatest(F.col("y"), F.lit(y))
+    right, bottom = F.least(c("x") + c("w"), F.lit(x + w)), F.least(c("y") + c("h"), F.lit(y + h))
+    places = {"src_x": left - c("x"), "src_y": top - c("y"), "dst_x": left - x, "dst_y": top - y, "part_w": right - left, "part_h": bottom - top}
+    return tiles.filter(overlaps(c("x"), c("y"), c("w"), c("h"), x, y, w, h)).select("slide", "tile_no", *(v.cast("long").alias(n) for n, v in places.items()))
+
+
 def file_offsets(tiles: DataFrame, slide: str, order: list[str], size: str, header: int = 16) -> DataFrame:
     """``tiles`` with the byte offset of each in its file: the header and all before it. One window over a slide's tiles."""
     before = Window.partitionBy(slide).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -51,6 +51,15 @@ def destinations(files: DataFrame, path: str, root: str, dest: str) -> DataFrame
     return out.withColumn("collides", F.count("*").over(Window.partitionBy("dest")) > 1)
 
 
+def series_destinations(files: DataFrame, path: str, series: tuple[int, ...], dest: str) -> DataFrame:
+    """``files`` with series and dest, for single slides that go to a folder: the name's base and .tif for the widest image (series is null),
+    or one file for each asked series, its number in the name."""
+    base = F.regexp_extract(path, r"([^/]*)[^/]{4}$", 1)
+    asked = files.withColumn("series", F.explode(F.array(*map(F.lit, series))) if series else F.lit(None).cast("int"))
+    end = F.when(F.col("series").isNull(), F.lit(".tif")).otherwise(F.concat(F.lit("-series-"), F.col("series").cast("string"), F.lit(".tif")))
+    return asked.withColumn("dest", F.concat(F.lit(dest.rstrip("/") + "/"), base, end))
+
+
 def actions(exists: Column, valid: Column, overwrite: Column, retry: Column, validate: Column, validateonly: Column) -> dict[str, Column]:
     """delete, convert and validate for a destination in a folder run.
 

@@ -25,7 +25,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     Sources are capped in order of cap over weight: the k-th is capped if the level that the first k-1 leave is not below its
     own ratio. One row per source; the windows are over this small table."""
     one = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    one = one.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("double")).withColumn("_cap", most * F.col("source_size").cast("double"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("double")
+    one = one.withColumn("_w", weight).withColumn("_cap", most * F.col("source_size").cast("double"))
     everything, before = Window.partitionBy(), Window.orderBy(F.col("_cap") / F.col("_w"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
     left = share * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     open_w = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
@@ -52,7 +53,10 @@ def apportion(claims: DataFrame, by: list[str], claim: str, seats: str, order: l
     return won.groupBy(*keys, "_sure").agg(F.sum("_won").alias("_won")).withColumn("quota", F.col("_sure") + F.col("_won")).drop("_sure", "_won")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, block: int = BLOCK, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, block: int = BLOCK, shard_words: int = SHARD_WORDS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
+) -> DataFrame:
     """``id_col``, size, source, source_size, target, taken (and the columns ``keep``) for each row of ``docs``.
 
     Each source's documents are dealt by hash to shards of about ``shard_words`` words, laid end to end within a shard and cut
@@ -67,7 +71,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return _taken(docs, weights, share, most, seed, block, shard_words, id_col, text_col, source_col, keep).select(id_col, "size", "source", "source_size", "target", "taken", *keep)
 
 
-def _taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, block: int = BLOCK, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def _taken(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, block: int = BLOCK, shard_words: int = SHARD_WORDS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
+) -> DataFrame:
     """The rows of ``mix`` with their place (_sid, _shard, _h) and the columns ``keep``."""
     d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"), *keep)
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
@@ -84,7 +91,8 @@ def _taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     laid = dealt.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
     laid = laid.join(q, ["_sid", "_shard"])
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_words") / block)).cast("long")
-    laid = laid.withColumn("_blocks", blocks).withColumn("_quota", F.least(F.col("quota"), most * F.col("_blocks"))).withColumn("_full", F.floor(F.col("_quota") / F.col("_blocks"))).withColumn("_more", F.col("_quota") % F.col("_blocks"))
+    laid = laid.withColumn("_blocks", blocks).withColumn("_quota", F.least(F.col("quota"), most * F.col("_blocks")))
+    laid = laid.withColumn("_full", F.floor(F.col("_quota") / F.col("_blocks"))).withColumn("_more", F.col("_quota") % F.col("_blocks"))
     turn = F.xxhash64(F.lit(seed), "source", "_shard")
     laid = laid.withColumn("_step", F.element_at(F.array(*map(F.lit, STEPS)), (F.pmod(turn, F.lit(len(STEPS))) + 1).cast("int")).cast("long")).withColumn("_turn", F.pmod(turn, "_blocks"))
 

@@ -42,12 +42,14 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE
     text32 = F.shiftright(F.xxhash64(F.lit(seed), F.col(text_col)), 32)
     id24 = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 40)
     salt = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 56)
-    d = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("text_crc32"), F.shiftleft(text32, 32).bitwiseOR(F.shiftleft(id24, 8)).bitwiseOR(salt).alias("key"))
-    d = stored(d)
+    crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
+    key = F.shiftleft(text32, 32).bitwiseOR(F.shiftleft(id24, 8)).bitwiseOR(salt)
+    d = stored(docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), key.alias("key")))
     total = d.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     rows, all_bytes = total["n"], total["bytes"] or 0
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     if not rows:
-        return d.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        return d.select(F.col("id").alias(id_col), "size", "text_crc32", law, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), grown)
     n = min(MOST_RANGES, max(shards * 8, rows // range_rows))
     part = (F.col("size") / all_bytes + 1 / rows) / 2  # of all bytes and of all rows
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "key"), 11) / float(1 << 53)
@@ -55,24 +57,31 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_rows: int = RANGE
     sample = np.sort(d.select(F.explode(F.array_repeat("key", times)).alias("key")).toPandas()["key"].to_numpy(np.int64))
     splitters = np.unique(sample[np.linspace(0, len(sample), n, endpoint=False).astype(int)[1:]]) if len(sample) else np.zeros(0, np.int64)
     ranged = _ranges(d, splitters, "range")
-    for _ in range(3):
-        counted = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("r"), F.min("key").alias("lo"), F.max("key").alias("hi")).filter(((F.col("b") > OVERFULL * all_bytes / n) | (F.col("r") > OVERFULL * rows / n)) & (F.col("lo") < F.col("hi"))).toPandas()
+    overfull = (F.col("b") > OVERFULL * all_bytes / n) | (F.col("r") > OVERFULL * rows / n)
+    while True:  # each round cuts every overfull range of several keys, so it ends; there are fewer of them than n / OVERFULL by bytes and by rows
+        counted = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("r"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        counted = counted.filter(overfull & (F.col("lo") < F.col("hi"))).toPandas()
         if not len(counted):
             break
-        steps = [np.array([int(lo) + (int(hi) - int(lo)) * i // k for i in range(1, k + 1)], np.int64) for lo, hi, k in zip(counted["lo"], counted["hi"], np.ceil(2 * np.maximum(counted["b"] * n / all_bytes, counted["r"] * n / rows)).astype(int), strict=True)]
-        splitters = np.unique(np.concatenate([splitters, *steps]))
+        parts = np.ceil(2 * np.maximum(counted["b"] * n / all_bytes, counted["r"] * n / rows)).astype(int)
+        steps = [[int(lo) + (int(hi) - int(lo)) * i // k for i in range(1, k + 1)] for lo, hi, k in zip(counted["lo"], counted["hi"], parts, strict=True)]
+        splitters = np.unique(np.concatenate([splitters, *(np.array(x, np.int64) for x in steps)]))
         ranged = _ranges(d, splitters, "range")
     order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("range").agg(F.sum("size").alias("_b"), F.count("*").alias("_r")).select("range", F.coalesce(F.sum("_b").over(order), F.lit(0)).alias("_b"), F.coalesce(F.sum("_r").over(order), F.lit(0)).alias("_r"))
-    within = Window.partitionBy("range").orderBy("key", F.col("id").asc_nulls_last(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    laid = ranged.withColumn("_middle", F.sum("size").over(within) - F.col("size") / 2).withColumn("_row", F.row_number().over(Window.partitionBy("range").orderBy("key", F.col("id").asc_nulls_last(), "size", "text_crc32")))
+    starts = ranged.groupBy("range").agg(F.sum("size").alias("_b"), F.count("*").alias("_r"))
+    starts = starts.select("range", *(F.coalesce(F.sum(c).over(order), F.lit(0)).alias(c) for c in ("_b", "_r")))
+    placed_by = Window.partitionBy("range").orderBy("key", F.col("id").asc_nulls_last(), "size", "text_crc32")
+    upto = placed_by.rowsBetween(Window.unboundedPreceding, 0)
+    laid = ranged.withColumn("_middle", F.sum("size").over(upto) - F.col("size") / 2).withColumn("_row", F.row_number().over(placed_by))
     same = Window.partitionBy("range", "text_crc32", "size", F.shiftright("key", 32))
     small = F.sum("size").over(same) * SNAP <= all_bytes / shards
     laid = laid.withColumn("_middle", F.when(small, F.min("_middle").over(same)).otherwise(F.col("_middle")))
     shard = F.least(F.lit(shards - 1), F.floor((F.col("_middle") + F.col("_b")) * shards / all_bytes)).cast("int")
-    placed = stored(laid.join(sized_broadcast(stored(starts)), "range").select("id", "size", "text_crc32", shard.alias("shard"), (F.col("_row") + F.col("_r") - 1).alias("_row")))
+    placed = laid.join(sized_broadcast(stored(starts)), "range")
+    placed = stored(placed.select("id", "size", "text_crc32", shard.alias("shard"), (F.col("_row") + F.col("_r") - 1).alias("_row")))
     first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))  # one row per shard
-    return placed.join(F.broadcast(first), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = placed.join(F.broadcast(first), "shard")
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", law, "shard", (F.col("_row") - F.col("_first")).alias("slot"), grown)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import ascii_lower, digest
+from lamella.llm.common import ascii_lower, sized_broadcast
 from lamella.llm.license_texts import LONG, MORE, MORE_PARTS, titled
 
 # Public licence texts and the notices that stand for a licence.
@@ -44,8 +46,11 @@ COPYRIGHT_LINE = r"^[^a-z0-9\x{80}-\x{10FFFF}]*(copyright\b|\(c\)|©).*$"
 COPYRIGHT_CLAUSE = r"^[^a-z0-9\x{80}-\x{10FFFF}]*(copyright\b(?![ \t]+(?:notice|holder|owner|law|license|licence|interest|statement|disclaimer)s?\b)|\(c\)|©)"
 APART = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 BLANK_LINES = r"\r?\n[ \t\x0B\f\r\n]*\n"
-#: Digest of an empty unit.
-NOTHING = hashlib.sha256(b"").hexdigest()
+#: One of these is in nearly all known texts, and in all that are known by digest alone; the short one is in both spellings.
+ANCHORS = ("licen", "permission", "reserved")
+COPYRIGHT_MARKS = ("copyright", "(c)", "©")
+#: Digest of an empty unit; what stands for a digest in the row that each document has of its own.
+NOTHING, OWN = hashlib.sha256(b"").hexdigest(), "document"
 
 
 def openings(known: dict[str, list[str]]) -> str:
@@ -54,6 +59,21 @@ def openings(known: dict[str, list[str]]) -> str:
     return "|".join(sorted(first, key=lambda x: (-len(x), x)))
 
 
+def _holds(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(x) for x in parts))
+
+
+def anchors(known: dict[str, list[str]]) -> list[str]:
+    """Strings of which each known text has one at least, in any spelling; a text without any of them can't hold a known one."""
+    found = list(ANCHORS)
+    changed = {w for old, new in SPELLINGS.items() for w in (old, *new.split())}
+    for text in (t.lower() for texts in known.values() for t in texts):
+        if not any(a in text for a in found):
+            own = [w for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", text) if w not in changed]
+            found.append(max(own, key=len, default=""))
+    return found
+
+
 def canonical_paragraphs(text: Column, after: str | None = None) -> Column:
     """For each part of the text between blank lines, its lines in canonical form, without those that are empty then.
 
@@ -61,16 +81,22 @@ def canonical_paragraphs(text: Column, after: str | None = None) -> Column:
     other canonical line holds."""
     clause = COPYRIGHT_CLAUSE + (".*$" if after is None else rf".*?(\b(?=({after})\b)|$)")
 
-    def canonical(line: Column) -> Column:
-        out = F.regexp_replace(F.regexp_replace(line, clause, "" if after is None else "C "), APART if after is None else APART.replace("0-9", "0-9C"), " ")
-        # few lines hold any of the spellings, so one look spares most lines a pass for each
-        fixed = out
-        for old, new in SPELLINGS.items():
-            fixed = F.regexp_replace(fixed, rf"\b{old}\b", new)
-        return F.trim(F.when(out.rlike(rf"\b({'|'.join(SPELLINGS)})\b"), fixed).otherwise(out))
+    # one step after another, each over all lines, so that none is taken twice; few lines hold a copyright or any of the spellings, so a
+    # look for fixed strings spares most lines a pass of patterns
+    def without_copyright(x: Column) -> Column:
+        return F.when(_holds(x, COPYRIGHT_MARKS), F.regexp_replace(x, clause, "" if after is None else "C ")).otherwise(x)
 
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), BLANK_LINES)
-    return F.transform(parts, lambda part: F.filter(F.transform(F.split(part, r"\r?\n"), canonical), lambda x: (x != "") & (x != "C")))
+    def spelled(x: Column) -> Column:
+        fixed = reduce(lambda got, item: F.regexp_replace(got, rf"\b{item[0]}\b", item[1]), SPELLINGS.items(), x)
+        return F.trim(F.when(_holds(x, tuple(SPELLINGS)), fixed).otherwise(x))
+
+    apart = APART if after is None else APART.replace("0-9", "0-9C")
+
+    def canonical(part: Column) -> Column:
+        bare = F.transform(F.transform(F.split(part, r"\r?\n"), without_copyright), lambda x: F.regexp_replace(x, apart, " "))
+        return F.filter(F.transform(bare, spelled), lambda x: (x != "") & (x != "C"))
+
+    return F.transform(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BLANK_LINES), canonical)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -79,14 +105,20 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """digest, license, part: one row for each known text or part of one; of equal digests, the first name, texts before parts. A fixed table of a few hundred rows."""
-    rows = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text"), F.lit(part).alias("part")) for part, table in ((False, known or FULL), (True, {} if known else PARTS)) for name, texts in table.items() for text in texts]
-    table = spark.range(1).select(F.inline(F.array(*rows)))
-    table = table.select("license", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"), "part")
+    """digest, license, part, n (bytes of the canonical text, null where only its digest is known): one row for each known text or part of
+    one; of equal digests, the first name, texts before parts. A fixed table of a few hundred rows."""
+    def rows(found: list[dict], schema: str) -> DataFrame:
+        """A table of constants, as one literal."""
+        return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(found)), f"array<struct<{schema}>>")))
+
+    tables = ((False, known or FULL), (True, {} if known else PARTS))
+    texts = [{"license": name, "text": text, "part": part} for part, table in tables for name, texts in table.items() for text in texts]
+    text = F.array_join(canonical_lines(F.col("text")), " ")
+    table = rows(texts, "license:string,text:string,part:boolean").select("license", F.sha2(text, 256).alias("digest"), "part", F.octet_length(text).alias("n"))
     if not known:
-        long = [F.struct(F.lit(name).alias("license"), F.lit(x).alias("digest"), F.lit(False).alias("part")) for name, digests in LONG.items() for x in digests]
-        table = table.unionByName(spark.range(1).select(F.inline(F.array(*long))))
-    return table.groupBy("digest").agg(F.min(F.struct("part", "license")).alias("k")).select("digest", "k.license", "k.part")
+        long = [{"license": name, "digest": x, "part": False} for name, digests in LONG.items() for x in digests]
+        table = table.unionByName(rows(long, "license:string,digest:string,part:boolean,n:int"))
+    return table.groupBy("digest").agg(F.min(F.struct("part", "license")).alias("k"), F.max("n").alias("n")).select("digest", "k.license", "k.part", "n")
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", after_copyright: bool = False) -> DataFrame:
@@ -101,32 +133,54 @@ def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None, id
     Copyright lines are nothing. With ``after_copyright``, only the clause is: what follows it, from the first words of a known text
     on, is a line, and paragraphs and the entire text are taken both with such lines and without.
 
-    Digests meet the known ones in a hash join whose small side is the fixed table, so texts aren't shuffled; only hits are."""
-    keys = [h.alias(k) for h, k in zip(digest(F.col(id_col), F.col(text_col)), ("k1", "k2"), strict=True)]
-    parts = canonical_paragraphs(F.col(text_col), openings(known or FULL) if after_copyright else None)
-    d = docs.select(F.col(id_col).alias("id"), *keys, parts.alias("parts"))
+    Texts are read once. Digests meet the known ones in a hash join whose small side is the fixed table, so texts aren't shuffled; only
+    hits are, and one row for each document, which meets a row of that table too. A text without any of the ``anchors`` holds no
+    known text, so only its units are counted; a unit whose length no known text has can't be one, so only the others, and entire
+    texts, are joined and hashed."""
+    table = known_digests(docs.sparkSession, known)
+    lengths = [r["n"] for r in table.filter("n is not null").select("n").distinct().collect()] or [0]
+    tables = [known] if known else [FULL, PARTS]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    may = _holds(ascii_lower(text), (*COPYRIGHT_MARKS, *dict.fromkeys(a for t in tables for a in anchors(t))))
+    d = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"), may.alias("may"))
+    parts = F.when(F.col("may"), canonical_paragraphs(F.col("text"), openings(known or FULL) if after_copyright else None))
+    # without copyright lines, a line is a unit if it has a letter or digit
+    plain_units = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]")))
+    d = d.select("id", "row", F.when(~F.col("may"), plain_units).alias("plain_units"), F.coalesce(parts, F.array().cast("array<array<string>>")).alias("parts"))
     bare = lambda lines: F.filter(lines, lambda x: ~x.startswith("C "))
-    kept = lambda lines: F.transform(lines, lambda x: F.regexp_replace(x, "^C ", ""))
-    forms = {"with": kept, "without": bare} if after_copyright else {"with": lambda lines: lines}
+    kept = lambda lines: F.transform(lines, lambda x: F.regexp_replace(x, "^C ", "")) if after_copyright else lines
 
     def joined(form) -> Column:
         return F.filter(F.transform("parts", lambda part: F.array_join(form(part), " ")), lambda x: x != "")
 
-    u = d.select("k1", "k2", forms["with"](F.flatten("parts")).alias("lines"), *(joined(form).alias(c) for c, form in forms.items()))
+    lines = F.flatten("parts")
+    # where no line follows a copyright clause, both forms are the same, and one is enough
+    without = F.when(F.exists(lines, lambda x: x.startswith("C ")), joined(bare)).otherwise(F.array().cast("array<string>"))
+    u = d.select("id", "row", "plain_units", kept(lines).alias("lines"), joined(kept).alias("with"), *([without.alias("without")] if after_copyright else []))
+    forms = ("with", "without") if after_copyright else ("with",)
+    u = u.select("*", *(F.transform(c, F.octet_length).alias(f"{c}_bytes") for c in forms))
     unit = lambda x, entire: F.struct(F.lit(entire).alias("entire"), F.sha2(x, 256).alias("digest"))
 
     def runs(c: str, k: int) -> Column:
         starts = F.when(F.size(c) > k, F.sequence(F.lit(1), F.size(c) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: unit(F.array_join(F.slice(c, i, F.lit(k)), " "), False))
-
-    units = F.concat(*(F.array(unit(F.array_join(c, " "), True)) for c in forms), F.transform(F.array_distinct("lines"), lambda x: unit(x, False)), *(runs(c, k) for c in forms for k in range(1, RUN + 1)))
-    hits = u.select("k1", "k2", F.explode(units).alias("u")).select("k1", "k2", "u.*").filter(F.col("digest") != NOTHING).join(F.broadcast(known_digests(docs.sparkSession, known)), "digest")
-    found = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("license", "part", "digest")).alias("hits"), F.min(F.when(F.col("entire") & ~F.col("part"), F.col("license"))).alias("whole"))
+        bytes_of = lambda i: reduce(lambda a, b: a + b, (F.get(f"{c}_bytes", i - 1 + j) for j in range(k))) + (k - 1)
+        return F.transform(F.filter(starts, lambda i: bytes_of(i).isin(lengths)), lambda i: unit(F.array_join(F.slice(c, i, F.lit(k)), " "), False))
+
+    own = F.array(F.struct(F.lit(False).alias("entire"), F.lit(OWN).alias("digest")))
+    entire = [F.array(unit(F.array_join(c, " "), True)) for c in forms]
+    known_lines = F.array_distinct(F.filter("lines", lambda x: F.octet_length(x).isin(lengths)))
+    units = F.concat(own, *entire, F.transform(known_lines, lambda x: unit(x, False)), *(runs(c, k) for c in forms for k in range(1, RUN + 1)))
+    row = docs.sparkSession.range(1).select(F.lit(OWN).alias("digest"), F.lit(None).cast("string").alias("license"), F.lit(True).alias("part"))
+    table = table.drop("n").unionByName(row)
+    found = u.select("id", "row", F.coalesce("plain_units", F.size("lines")).cast("long").alias("n_units"), F.explode(units).alias("u")).select("id", "row", "n_units", "u.*")
+    found = found.filter(F.col("digest") != NOTHING).join(sized_broadcast(table), "digest")
+    hit = F.when(F.col("license").isNotNull(), F.struct("license", "part", "digest"))
+    whole = F.min(F.when(F.col("entire") & ~F.col("part"), F.col("license")))
+    found = found.groupBy("row").agg(F.first("id").alias("id"), F.max("n_units").alias("n_units"), F.collect_set(hit).alias("hits"), whole.alias("whole"))
     full = F.transform(F.filter("hits", lambda h: ~h["part"]), lambda h: h["license"])
     n_hits = F.size(F.filter("hits", lambda h: ~h["part"] | ~F.array_contains(full, h["license"])))
-    found = found.select("k1", "k2", n_hits.cast("long").alias("n_hits"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["license"]))).alias("licenses"), "whole")
-    out = d.select("id", "k1", "k2", F.size(F.flatten("parts")).cast("long").alias("n_units")).join(found, ["k1", "k2"], "left")
-    return out.select(F.col("id").alias(id_col), "n_units", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), "whole")
+    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["license"])))
+    return found.select(F.col("id").alias(id_col), "n_units", n_hits.cast("long").alias("n_hits"), names.alias("licenses"), "whole")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,16 @@ offsets, are intersected, and the rest of the window is compared at the place th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import ascii_lower, digest, scratch, sized_broadcast, stored
+from lamella.llm.common import ascii_lower, at_most, digest, scratch, sized_broadcast, stored
 
 WINDOW = 10
+#: Rows of asked terms or lists that are broadcast at once, each of at most a few hundred bytes.
+LIST_ROWS = 200_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 Temp = Callable[[DataFrame], DataFrame]
 
@@ -35,9 +37,9 @@ def positional_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def postings(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """k1, k2, terms, pos and the columns of ``asked`` (term, ...) for each place of an asked term: a list for each term. ``terms`` is the
-    document's own array, which a plan that reads it in the same stage doesn't copy."""
-    return index.select("k1", "k2", "terms", F.posexplode("terms").alias("pos", "term")).join(sized_broadcast(asked), "term")
+    """k1, k2, terms, pos and the columns of ``asked`` (term, ...; at most ``LIST_ROWS`` rows, which are broadcast) for each place of an
+    asked term: a list for each term. ``terms`` is the document's own array, which a plan that reads it in the same stage doesn't copy."""
+    return index.select("k1", "k2", "terms", F.posexplode("terms").alias("pos", "term")).join(F.broadcast(asked), "term")
 
 
 def test_windows(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -53,10 +55,13 @@ def phrase_matches(index: DataFrame, windows: DataFrame, temp: Temp) -> DataFram
 
     Corpus counts rank a window's terms; a term that is nowhere in the corpus rules its window out. Each place of the rarest term gives
     a start, which must be a start for the list of the second rarest too, and there all terms are compared. All this happens at the
-    document's own row, so nothing is shuffled but the matches. A frequent rarest term costs a look a place, not a row that is sent."""
+    document's own row, so nothing is shuffled but the matches. A frequent rarest term costs a look a place, not a row that is sent.
+    Items of more windows than may be broadcast are taken in blocks, each against the whole index."""
     windows = windows.select("win", "len", "w1", "w2").distinct()
     spots = windows.select("w1", "w2", F.posexplode("win").alias("off", "term"))
-    counts = postings(index, spots.select("term").distinct()).groupBy("term").agg(F.count("*").alias("cf"))
+    asked = spots.select("term").distinct()
+    found = postings(index, asked) if at_most(asked, LIST_ROWS) else index.select(F.explode("terms").alias("term"))
+    counts = found.groupBy("term").agg(F.count("*").alias("cf"))
     order = Window.partitionBy("w1", "w2").orderBy("cf", "off")
     ranked = spots.join(counts, "term", "left").withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
     first = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
@@ -65,8 +70,12 @@ def phrase_matches(index: DataFrame, windows: DataFrame, temp: Temp) -> DataFram
     start = F.col("pos") - F.col("off")
     second = F.col("term2").isNull() | (F.get("terms", start + F.col("off2")) == F.col("term2"))
     inside = (start >= 0) & (start + F.col("len") <= F.size("terms"))
-    found = postings(index, lists).filter(inside & second & (F.slice("terms", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")))
-    return found.select("k1", "k2", start.alias("start"), "len", "w1", "w2").distinct()
+    same = F.slice("terms", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
+    blocks = max(1, -(-lists.count() // LIST_ROWS))
+    # more lists than are broadcast at once go over the index in blocks; twice as many blocks keep each below the bound
+    deal = [F.lit(True)] if blocks == 1 else [F.pmod(F.xxhash64("w1", "w2"), F.lit(2 * blocks)) == i for i in range(2 * blocks)]
+    parts = [postings(index, lists.filter(part)).filter(inside & second & same) for part in deal]
+    return reduce(DataFrame.unionByName, (p.select("k1", "k2", start.alias("start"), "len", "w1", "w2") for p in parts)).distinct()
 
 
 def proximity_matches(docs: DataFrame, asked: list[str], within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +98,9 @@ def proximity_matches(docs: DataFrame, asked: list[str], within: int, id_col: st
     return index.select("id", "k1", "k2").join(found, ["k1", "k2"]).select(F.col("id").alias(id_col), "start", "stop")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(
+    docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+) -> DataFrame:
     """``id_col``, n_words, n_hit, items (sorted ids as strings) for each row of ``docs``; a word inside any occurrence of a window of an item is hit.
 
     Null and wordless texts have no words and no hits. Rows that share id and text get the same result. Ids may be null. An item

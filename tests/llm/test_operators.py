@@ -140,7 +140,9 @@ def test_sharding_balances(spark):
     assert len(sums) == 8 and max(sums) <= 1.05 * min(sums)
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("most", [200_000, 7])
+def test_decontamination(spark, docs, empty, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "LIST_ROWS", most)
     all_rows = rows()
     longest = max((r[1] or "" for r in all_rows), key=len).split()
     items = [(1, " ".join(longest[50:75])), (2, "ONE"), (3, None), (4, "..."), (None, " ".join(longest[300:311])), (10, "no such words here at all in the corpus, none of them"), (5, "Ab" * 300)]

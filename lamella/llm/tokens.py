@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-PIECE = 1 << 19
+PIECE = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _OLD = np.seterr(over="ignore")
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import small_batches, stored
+from lamella.llm.common import digest, sized_broadcast, small_batches, stored
 from lamella.llm.labelled import remainder, sample
 from lamella.llm.tokens import BASE, mix64, pieces, powers, split
 
@@ -168,11 +168,16 @@ def learn_lexicon(texts: list[str | None], y: np.ndarray) -> Lexicon:
     for f in forms(ones):
         part, texts_of = np.unique(np.unique(f[:, :2], axis=0)[:, 0] >> np.uint64(40), return_counts=True)
         rough[part] = np.minimum(200, rough[part] + texts_of)  # the counts are wide, so the sum is too
-    kept = [f[(rough[f[:, 0] >> np.uint64(40)] >= LEAST_DOCS) | np.isin(f[:, 0], seeds), :2] for f in forms(ones)]
-    h, d = np.concatenate([np.zeros((0, 2), np.uint64), *kept]).T
+    # a text is whole in its piece, so a piece's counts of words and of texts add up, and no list of all occurrences is held
+    found = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
+    for f in forms(ones):
+        h, words = np.unique(f[:, 0], return_counts=True)
+        texts_of = np.unique(np.unique(f[:, :2], axis=0)[:, 0], return_counts=True)[1]
+        on = (rough[h >> np.uint64(40)] >= LEAST_DOCS) | np.isin(h, seeds)
+        found.append((h[on], words[on].astype(float), texts_of[on].astype(float)))
+    h, words, texts_of = (np.concatenate(x) for x in zip(*found, strict=True))
     hashes, back = np.unique(h, return_inverse=True)
-    a = np.bincount(back, minlength=len(hashes))
-    held = np.bincount(np.unique(np.stack([back, d.astype(np.int64)], 1), axis=0)[:, 0], minlength=len(hashes)) if len(h) else a
+    a, held = (np.bincount(back, x, len(hashes)).astype(np.int64) for x in (words, texts_of))
     enough = (held >= LEAST_DOCS) | np.isin(hashes, seeds)
     hashes, a, held = hashes[enough], a[enough], held[enough]
     below = np.zeros(len(hashes), np.int64)
@@ -320,16 +325,21 @@ def _scores(model: Model, texts: pa.Array, step, start) -> np.ndarray:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
-    """The rows of ``docs`` with a score below ``threshold``, with all their columns. Only texts go to Python, only scores come back."""
+    """The rows of ``docs`` with a score below ``threshold``, with all their columns. Only texts go to Python, only the keys of
+    rejected rows come back."""
     model = learn(docs, labels, sample_rows, id_col, text_col, label)
 
-    @F.arrow_udf("double")
-    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def rejected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, start = grammar()
-        for batch in texts:
-            yield pa.array(_scores(model, batch, step, start), pa.float64())
+        for batch in batches:
+            bad = pa.array(_scores(model, batch.column("text"), step, start) >= threshold)
+            yield batch.select(["k1", "k2"]).filter(bad)
 
-    return docs.filter(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) < threshold)
+    k1, k2 = (h.alias(n) for h, n in zip(digest(F.col(id_col), F.col(text_col)), ("k1", "k2"), strict=True))
+    with small_batches(docs.sparkSession):
+        gone = stored(docs.select(k1, k2, F.col(text_col).cast("string").alias("text")).mapInArrow(rejected, "k1 long, k2 long").distinct())
+    packed = docs.select(k1, k2, F.struct(*(F.col(c) for c in docs.columns)).alias("row"))  # so that no column's name can clash
+    return packed.join(sized_broadcast(gone), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

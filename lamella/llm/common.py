@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,6 +112,24 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, ro
     return left.join(heavy, on).unionByName(left.join(heavy.select(*on), on, "left_anti").join(light, on))
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[Column], out: str = "place", rows_per_task: int = 100_000) -> DataFrame:
+    """``df`` with each row's place in its group, from 0, by ``order``; stored. Groups' columns must not be null.
+
+    Rows are dealt by ranges of (groups, order), so a group may hold any share of all rows: a task numbers its own range, and the ranges
+    before it add what they hold of its first group. Rows that are equal in all of ``order`` go to one range, so let ``order`` tell
+    repeated rows apart if there may be many. ``df`` is read twice, for a sample and for the rows: give it a stored table."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_per_task)
+    keys = [*(F.col(c) for c in groups), *order]
+    dealt = stored(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))  # the function's upper bits number the task
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range", *groups).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = stored(starts.select("_range", *groups, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start")))
+    placed = dealt.join(sized_broadcast(starts), ["_range", *groups])
+    return placed.withColumn(out, F.col("_at") + F.col("_start")).drop("_at", "_range", "_start")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for each node in ``edges`` (a, b: long); nodes without an edge are not in it.
 

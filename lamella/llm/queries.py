@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamella.llm import decontaminate, embedding_dedup, licenses, line_dedup, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity
+from lamella.llm import decontaminate, embedding_dedup, licenses, line_dedup, merkle, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op13_merkle": merkle.op13_merkle,
+}
+ORACLE_SQL = {
+    "op5_license_scan": licenses.ORACLE_SQL,
+    "op6_near_dedup": near_dedup.ORACLE_SQL,
+    "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op9_decontamination": decontaminate.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_merkle": merkle.ORACLE_SQL,
 }
-ORACLE_SQL = {"op5_license_scan": licenses.ORACLE_SQL, "op6_near_dedup": near_dedup.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}

@@ -17,6 +17,8 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 COMMON, CHAR_LIMIT, WORD_LIMIT, CHANCE, LEAST_REFERENCE = 32, 0.17, 0.17, 1.5, 2000
 #: Signs that are in no other class; what is in none of these is small Latin letters.
 CLASSES = {"upper": "A-Z", "digit": "0-9", "mark": r".,;:!?'\"()\-", "sign": r"#$%&*+/<=>@\[\\\]\^_`{|}~", "far": r"\x{80}-\x{10FFFF}"}
+#: Languages whose common words may be broadcast.
+LANGUAGES = 10_000
 SYMBOLS = "#*$%&|<>"
 KINDS = ("lower", *CLASSES, "blank")
 
@@ -32,7 +34,7 @@ def _count(text: Column, members: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{members}]+", "")).cast("long")
 
 
-def _shares_lines(text: Column) -> Column:
+def _repeated_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
@@ -47,7 +49,8 @@ def repeated_words(d: DataFrame, hashes: str, out: str) -> DataFrame:
     window = F.transform(F.slice(h, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
     d = d.withColumns({"_window": window, "_bits": F.length(F.bin(n))})
     packed = F.transform("_window", lambda x, i: F.call_function("shiftleft", x, F.col("_bits")).bitwiseOR(i.cast("long")))
-    d = d.withColumn("_packed", packed).withColumn("_sorted", F.sort_array("_packed")).withColumn("_mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
+    some = F.size(F.array_distinct("_window")) < F.size("_window")  # most texts repeat no window and need no sort
+    d = d.withColumn("_sorted", F.when(some, F.sort_array(packed)).otherwise(F.array().cast("array<long>"))).withColumn("_mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
 
     def same(x: Column, y: Column) -> Column:
         upper = F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("_bits")) == 0
@@ -57,54 +60,54 @@ def repeated_words(d: DataFrame, hashes: str, out: str) -> DataFrame:
     twice = F.filter("_sorted", lambda x, i: same(x, F.get("_sorted", i - 1)) | same(x, F.get("_sorted", i + 1)))
     d = d.withColumn("_twice", F.transform(twice, lambda x: x.bitwiseAND(F.col("_mask"))))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_twice", lambda p: F.array(p, p + 1, p + 2)))))
-    return d.withColumn(out, F.when(F.size("_twice") > 0, covered).otherwise(0).cast("long")).drop("_window", "_bits", "_packed", "_sorted", "_mask", "_twice")
+    return d.withColumn(out, F.when(F.size("_twice") > 0, covered).otherwise(0).cast("long")).drop("_window", "_bits", "_sorted", "_mask", "_twice")
 
 
 def common_words(d: DataFrame, k: int = COMMON) -> DataFrame:
-    """lang, slot, h for the ``k`` most frequent words of each language, by count over all texts, then by word; d: lang, text.
+    """lang, common (array of hashes) of the ``k`` most frequent words of each language, by count over all texts, then by word; d: lang, text.
 
     Counts are summed within tasks first; at most ``k`` words of a language leave a task for the last choice."""
     words = d.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return words.withColumn("slot", place).filter(F.col("slot") <= k).select("lang", (F.col("slot") - 1).alias("slot"), F.xxhash64("lang", "word").alias("h"))
+    top = words.withColumn("slot", place).filter(F.col("slot") <= k).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("slot", "word"))).alias("top"))
+    return top.select("lang", F.transform("top", lambda x: F.xxhash64(x["word"])).alias("common"))
 
 
 def measure(docs: DataFrame, k: int = COMMON, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, chars and words (the two histograms) for each row of
     ``docs``; stored. lang is a key: null languages are one of their own.
 
-    Texts are read twice, for the common words and for everything else, and never shuffled. A text's words become one row each only up
-    to the sums of its own task, so a long text costs its task one row."""
+    Texts are read twice, for the common words and for everything else, and never shuffled: all that a row gets are expressions over its own
+    text, whose words are hashed once. How often a common word occurs is what an array of hashes loses without it."""
     lang = F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("-")).alias("lang")
     d = docs.select(F.col(id_col).alias("id"), lang, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    common = stored(common_words(d, k).select("slot", "h"))
+    common = sized_broadcast(stored(common_words(d, k)), LANGUAGES)
     text = F.col("text")
-    base = d.select(
-        "id", "lang", F.monotonically_increasing_id().alias("row"), words_of(text).alias("w"), F.char_length(text).cast("long").alias("length"),
-        _shares_lines(text).alias("n_dup_lines"), _count(text, SYMBOLS).alias("n_symbols"), *(_count(text, x).alias(name) for name, x in CLASSES.items()),
+    base = d.join(common, "lang", "left").select(
+        "id", "lang", "common", words_of(text).alias("w"), F.char_length(text).cast("long").alias("length"), _repeated_lines(text).alias("n_dup_lines"),
+        _count(text, SYMBOLS).alias("n_symbols"), *(_count(text, x).alias(name) for name, x in CLASSES.items()),
     )
-    base = base.withColumns({"h": F.transform("w", lambda x: F.xxhash64(F.col("lang"), x)), "word_chars": F.char_length(F.array_join("w", "")).cast("long"), "n_words": F.size("w").cast("long")})
+    base = base.withColumns({"h": F.transform("w", lambda x: F.xxhash64(x)), "word_chars": F.char_length(F.array_join("w", "")).cast("long"), "n_words": F.size("w").cast("long")})
     base = repeated_words(base.drop("w"), "h", "n_repeat_words")
     blank = F.col("length") - F.col("word_chars")
     lower = F.col("word_chars") - sum((F.col(c) for c in CLASSES), F.lit(0).cast("long"))
-    base = base.withColumns({"lower": lower, "blank": blank})
-    kept = ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    each = base.select("row", *kept, *KINDS, F.explode_outer("h").alias("h")).join(sized_broadcast(common), "h", "left")
-    # what a row has goes along as its key: a hashed sum needs fixed widths besides keys
-    summed = each.groupBy("row", *kept, *KINDS).agg(*(F.count_if(F.col("slot") == i).alias(f"c{i}") for i in range(k)))
-    known = [F.col(f"c{i}") for i in range(k)]
-    rest = F.col("n_words") - sum(known, F.lit(0).cast("long"))
+    # compiled apart, beside the array of classes below: as one plain expression, Spark would make a method too long to be compiled
+    others = [F.size(F.array_remove("h", F.get("common", F.lit(i)))) for i in range(k)]
+    known = [F.col("n_words") - F.coalesce(F.when(F.size("common") > i, x), F.col("n_words")) for i, x in enumerate(others)]
+    chars = F.transform(F.array(lower, *(F.col(c) for c in CLASSES), blank), lambda x: x)
+    base = base.withColumns({"chars": chars, "known": F.array(*known)})
+    rest = F.col("n_words") - F.aggregate("known", F.lit(0).cast("long"), lambda a, v: a + v)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return stored(summed.select(*kept, F.array(*KINDS).alias("chars"), F.array(*known, rest).alias("words"), failed.alias("base_failed")))
+    kept = ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars"]
+    return stored(base.select(*kept, F.concat("known", F.array(rest)).alias("words"), failed.alias("base_failed")))
 
 
-def divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon divergence in bits of two histograms of counts (arrays of one length): the square of the distance. Null where either is empty."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+def divergence(p: Column, q: Column, drawn: Column, held: Column) -> Column:
+    """Jensen-Shannon divergence in bits of two histograms of counts (arrays of one length) whose sums are ``drawn`` and ``held``: the square of
+    the distance. Null where either is empty."""
     term = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
-    shares = lambda x: F.transform(x, lambda v: v / total(x))
-    both = F.zip_with(shares(p), shares(q), lambda x, y: (term(x, y) + term(y, x)) / 2)
-    return F.when((total(p) > 0) & (total(q) > 0), F.greatest(total(both), F.lit(0.0)))
+    both = F.zip_with(p, q, lambda x, y: term(x / drawn, y / held) + term(y / held, x / drawn))
+    return F.when((drawn > 0) & (held > 0), F.greatest(F.aggregate(both, F.lit(0.0), lambda a, v: a + v) / 2, F.lit(0.0)))
 
 
 def chance(bins: int, drawn: Column) -> Column:
@@ -113,10 +116,14 @@ def chance(bins: int, drawn: Column) -> Column:
 
 
 def _references(d: DataFrame, bins: dict[str, int]) -> DataFrame:
-    """lang, ref_<histogram> for each, ref_n (words) and weight (rows), of the rows of ``d``; sums are made within tasks first."""
-    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in bins.items() for i in range(n)]
-    summed = d.groupBy("lang").agg(F.sum("n_words").alias("ref_n"), F.count("*").alias("docs"), *sums)
-    return summed.select("lang", "ref_n", "docs", *(F.array(*(F.col(f"{c}{i}").cast("double") for i in range(n))).alias(f"ref_{c}") for c, n in bins.items()))
+    """lang, ref_<histogram> and held_<histogram>, its sum, for each histogram, of the rows of ``d``; sums are made within tasks first."""
+    out = None
+    for c, n in bins.items():
+        each = d.select("lang", F.posexplode(c).alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+        each = each.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").cast("double").alias(f"held_{c}"))
+        each = each.select("lang", F.transform("bins", lambda x: x["n"].cast("double")).alias(f"ref_{c}"), f"held_{c}")
+        out = each if out is None else out.join(each, "lang")
+    return out
 
 
 def judge(measured: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, k: int = COMMON, least_reference: int = LEAST_REFERENCE) -> DataFrame:
@@ -127,7 +134,9 @@ def judge(measured: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float
     may diverge by the limit, and by what chance alone gives its length. A language whose references hold fewer than
     ``least_reference`` words judges nothing: distances are null, and the base rules decide."""
     bins = {"chars": len(KINDS), "words": k + 1}
-    limits = {"chars": (char_limit, F.aggregate("chars", F.lit(0).cast("long"), lambda a, v: a + v)), "words": (word_limit, F.col("n_words"))}
+    limits = {"chars": (char_limit, F.col("n_chars")), "words": (word_limit, F.col("n_words"))}
+    names = measured.columns
+    measured = measured.withColumn("n_chars", F.aggregate("chars", F.lit(0).cast("long"), lambda a, v: a + v))
     with scratch(measured.sparkSession) as temp:
         rows = measured.count()
         weights = measured.groupBy("lang").agg(F.count("*").alias("weight"))
@@ -137,7 +146,7 @@ def judge(measured: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float
             refs = weights.join(_references(passed, bins), "lang", "left")
             near = sized_join(measured, temp(refs), ["lang"], "weight", rows)
             for c, (limit, drawn) in limits.items():
-                near = near.withColumn(f"{c}_far", divergence(F.col(c), F.col(f"ref_{c}")))
+                near = near.withColumn(f"{c}_far", divergence(F.col(c), F.col(f"ref_{c}"), drawn, F.col(f"held_{c}")))
                 beyond[c] = F.col(f"{c}_far") - CHANCE * chance(bins[c], drawn) - limit * limit
             if first:
                 near = temp(near.filter("not base_failed").select("lang", "n_words", *bins, *(x.alias(f"{c}_over") for c, x in beyond.items())))
@@ -145,11 +154,11 @@ def judge(measured: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float
                 near = sized_join(near, temp(mean), ["lang"], "weight", rows)
                 for c in bins:
                     near = near.filter(F.coalesce(F.col(f"{c}_over") <= F.greatest(F.lit(0.0), f"{c}_mean"), F.lit(True)))
-        judged = F.col("ref_n") >= least_reference
+        judged = F.col("held_words") >= least_reference
         within = [F.coalesce(x <= 0, F.lit(True)) for x in beyond.values()]
         distances = {f"{c[:-1]}_distance": F.when(judged, F.sqrt(f"{c}_far")) for c in bins}
         kept = ~F.col("base_failed") & (~F.coalesce(judged, F.lit(False)) | (within[0] & within[1]))
-        return stored(near.withColumns(distances).withColumn("kept", kept).select(*measured.columns, *distances, "kept"))
+        return stored(near.withColumns(distances).withColumn("kept", kept).select(*names, *distances, "kept"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamella.llm import decontaminate, divergence, embedding_dedup, licenses, line_dedup, merkle, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity
+from lamella.llm import collocations, decontaminate, divergence, embedding_dedup, licenses, line_dedup, merkle, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_collocations": collocations.op11_collocations,
     "op12_divergence": divergence.op12_divergence,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_decontamination": decontaminate.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
     "op13_merkle": merkle.ORACLE_SQL,
 }

@@ -290,26 +290,31 @@ WITH piece AS (
       unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
     FROM documents)
 ), grams AS (
-  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i : i + m - 1])) AS ws
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS phrase
   FROM piece, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m
-), counted AS (
-  SELECT lang, m, ws, count(*) AS f FROM grams GROUP BY lang, m, ws
+), counted AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase
 ), totals AS (
   SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE m = 1 GROUP BY lang
-), candidates AS (
-  SELECT * FROM counted WHERE m > 1 AND f >= 100
+), often AS MATERIALIZED (
+  SELECT lang, phrase, f FROM counted WHERE f >= 100
+), candidates AS MATERIALIZED (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, f AS a FROM counted WHERE m > 1 AND f >= 100
+), parts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 : m], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)
 ), cuts AS (
-  SELECT c.lang, c.m, c.ws, c.f AS a, k, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score
-  FROM candidates c JOIN totals t USING (lang), (SELECT unnest(range(1, 5)) AS k) ks, counted x, counted y
-  WHERE k < c.m AND x.lang = c.lang AND x.m = k AND x.ws = c.ws[1 : k] AND y.lang = c.lang AND y.m = c.m - k AND y.ws = c.ws[k + 1 : c.m]
+  SELECT p.lang, p.phrase, p.a, k, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * p.a * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN totals t USING (lang) JOIN often x ON x.lang = p.lang AND x.phrase = p.head JOIN often y ON y.lang = p.lang AND y.phrase = p.tail
 ), best AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(ws[i : i + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS size FROM candidates)) GROUP BY ALL
 ), kept AS (
-  SELECT * FROM best b WHERE NOT EXISTS (
-    SELECT 1 FROM candidates c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.f >= 100 * b.a
-      AND contains(' ' || array_to_string(c.ws, ' ') || ' ', ' ' || array_to_string(b.ws, ' ') || ' '))
+  SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * b.a
 )
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank, array_to_string(ws, ' ') AS phrase,
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
   a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM kept QUALIFY rank <= 2000
 """

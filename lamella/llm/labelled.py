@@ -9,6 +9,8 @@ from lamella.llm.common import stored
 
 #: Bytes of text that a model learns from at most.
 MOST_BYTES = 64 << 20
+#: A text of over one in so many of those bytes is a big one.
+BIG = 16
 
 
 def remainder(doc_id: Column, parts: int) -> Column:
@@ -18,7 +20,8 @@ def remainder(doc_id: Column, parts: int) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text", ones: float = 0.5, most_bytes: int = MOST_BYTES) -> DataFrame:
     """id, text, y for at most ``most`` labelled rows outside the fold ``held_out``, of which ``ones`` from label 1 as far as there are so
-    many, least hashes first; then as many of them, by hash again, as hold ``most_bytes`` bytes of text together.
+    many, least hashes first; then as many of them, by hash again, as hold ``most_bytes`` bytes of text together. Texts of over a ``BIG``th
+    of that come after all others, the smaller ones first, so that no text of any length keeps others out; an error if none fits at all.
 
     Rows without an id or with a label other than 0 and 1 aren't used; an id with both labels isn't either. Null texts have no bytes. An id
     of several documents has the least text. The ids are at most ``most``, so they are broadcast, and texts aren't shuffled but for the sample."""
@@ -28,6 +31,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out:
     positive, negative = (known.filter(F.col("y") == y).orderBy("h", "id").limit(n) for y, n in ((1, int(most * ones)), (0, most - int(most * ones))))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(positive.unionByName(negative)), "id")
     found = stored(found.groupBy("id").agg(F.min(F.struct("text", "y", "h")).alias("r")).select("id", "r.*"))
-    upto = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)  # over ``most`` rows of a few bytes
-    fits = found.select("id", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto).alias("bytes")).filter(F.col("bytes") <= most_bytes)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    big = F.when(F.col("size") * BIG > most_bytes, F.col("size")).otherwise(0)
+    upto = Window.orderBy(big, "h", "id").rowsBetween(Window.unboundedPreceding, 0)  # over ``most`` rows of a few bytes
+    fits = stored(found.select("id", "h", size.alias("size")).withColumn("bytes", F.sum("size").over(upto)).filter(F.col("bytes") <= most_bytes))
+    if fits.isEmpty() and not found.isEmpty():
+        raise ValueError(f"no labelled text has {most_bytes} bytes or fewer")
     return found.join(F.broadcast(fits.select("id")), "id").select("id", "text", "y")

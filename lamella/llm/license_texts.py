@@ -91,8 +91,6 @@ MORE = {
     "CC-BY-NC-4.0": [*_named("Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0 International"), *_spdx("CC-BY-NC-4.0")],
 }
 MORE_PARTS = {
-    "MIT-0": [MIT_0.split("\n")[0]],
-    "0BSD": [ZERO_BSD.split("\n")[0]],
     "BSD-3-Clause": [BSD_CLAUSES[2], f"3. {BSD_CLAUSES[2]}"],
     "Unlicense": [UNLICENSE.split("\n")[0]],
     "BSL-1.0": [BSL.split("\n")[0]],

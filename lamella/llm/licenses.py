@@ -33,12 +33,10 @@ FORMS = {
     "MIT": [*titled(MIT, "MIT License", "The MIT License", "The MIT License (MIT)")],
     "ISC": [x.replace("and/or", word) for word in ("and/or", "and") for x in titled(ISC, "ISC License", "The ISC License", "ISC License (ISC)")],
 }
-#: Parts that name a licence where no more of it is found as a unit, as when lines of other text follow at once.
+#: Parts that name a licence where no more of it is found as a unit, as when lines of other text follow at once. None begins another licence's text.
 PARTS = {"MIT": [MIT.split("\n")[0]], "ISC": [ISC.split("\n")[0].replace("and/or", word) for word in ("and/or", "and")]} | MORE_PARTS
 #: All known texts: those above, which the SQL has too, and those of ``license_texts``.
 FULL = {name: [x for table in (KNOWN, FORMS, MORE) for x in table.get(name, [])] for name in dict.fromkeys([*KNOWN, *MORE])}
-#: Most paragraphs that are joined to a unit.
-RUN = 8
 #: Equivalent spellings, whole words, after lower-casing.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "authorised": "authorized", "organisation": "organization", "favour": "favor", "whilst": "while", "noninfringement": "non infringement", "v2": "version 2", "v3": "version 3"}
 COPYRIGHT_LINE = r"^[^a-z0-9\x{80}-\x{10FFFF}]*(copyright\b|\(c\)|©).*$"
@@ -121,11 +119,27 @@ def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None
     return table.groupBy("digest").agg(F.min(F.struct("part", "license")).alias("k"), F.max("n").alias("n")).select("digest", "k.license", "k.part", "n")
 
 
+def _running(sizes: Column) -> Column:
+    """Where each paragraph ends when all are joined with a blank after each."""
+    last = lambda ends: F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0).cast("long"))
+    return F.aggregate(sizes, F.array().cast("array<bigint>"), lambda ends, n: F.concat(ends, F.array(last(ends) + n + 1)))
+
+
+def _with_ends(u: DataFrame, c: str) -> DataFrame:
+    """``c``_ends: as ``_running`` of ``c``_bytes, in blocks of 64, so that the work doesn't grow with the square of the number of paragraphs."""
+    size = F.col(f"{c}_bytes")
+    blocks = F.when(F.size(size) > 0, F.transform(F.sequence(F.lit(0), F.shiftright(F.size(size) - 1, 6)), lambda b: _running(F.slice(size, b * 64 + 1, F.lit(64)))))
+    u = u.withColumn("_blocks", F.coalesce(blocks, F.array().cast("array<array<bigint>>")))
+    u = u.withColumn("_starts", _running(F.transform("_blocks", lambda x: F.get(x, F.size(x) - 1) - 1)))
+    ends = F.transform("_blocks", lambda x, b: F.transform(x, lambda e: e + F.coalesce(F.get("_starts", b - 1), F.lit(0))))
+    return u.withColumn(f"{c}_ends", F.flatten(ends)).drop("_blocks", "_starts")
+
+
 def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", after_copyright: bool = False) -> DataFrame:
     """``id_col``, n_units (canonical lines that are not empty), n_hits (different units that are a known text), licenses (their names, sorted), whole
     (name of the licence that the entire text is, or null) for each row of ``docs``.
 
-    Units are the entire text, each of its lines, and each run of up to ``RUN`` paragraphs (parts between blank lines), its lines joined; each is
+    Units are the entire text, each of its lines, and each run of paragraphs (parts between blank lines), its lines joined; each is
     compared as a whole by the digest of its canonical form; an empty unit is nothing. Known parts of a text count where nothing else of that
     licence is a unit. Null texts have no units. Rows that share id and
     text get equal results. Ids may be null; other columns are ignored.
@@ -159,17 +173,26 @@ def scan_licenses(docs: DataFrame, known: dict[str, list[str]] | None = None, id
     u = d.select("id", "row", "plain_units", kept(lines).alias("lines"), joined(kept).alias("with"), *([without.alias("without")] if after_copyright else []))
     forms = ("with", "without") if after_copyright else ("with",)
     u = u.select("*", *(F.transform(c, F.octet_length).alias(f"{c}_bytes") for c in forms))
+    u = reduce(_with_ends, forms, u)
     unit = lambda x, entire: F.struct(F.lit(entire).alias("entire"), F.sha2(x, 256).alias("digest"))
 
-    def runs(c: str, k: int) -> Column:
-        starts = F.when(F.size(c) > k, F.sequence(F.lit(1), F.size(c) - k + 1)).otherwise(F.array().cast("array<int>"))
-        bytes_of = lambda i: reduce(lambda a, b: a + b, (F.get(f"{c}_bytes", i - 1 + j) for j in range(k))) + (k - 1)
-        return F.transform(F.filter(starts, lambda i: bytes_of(i).isin(lengths)), lambda i: unit(F.array_join(F.slice(c, i, F.lit(k)), " "), False))
+    def runs(c: str) -> Column:
+        """Runs of paragraphs that have, joined, as many bytes as a known text. Their number is bounded by bytes alone: no run has more of
+        them than the longest known text could be parted to, with the document's shortest paragraph."""
+        end = lambda j: F.get(f"{c}_ends", j)
+        most = F.floor(F.lit(max(lengths) + 1) / (F.array_min(f"{c}_bytes") + 1)).cast("int")
+
+        def from_place(i: Column) -> Column:
+            last = F.sequence(i, F.least(F.size(c), i + most) - 1)
+            return F.transform(F.filter(last, lambda j: (end(j) - F.coalesce(end(i - 1), F.lit(0)) - 1).isin(lengths)), lambda j: F.struct((i + 1).alias("i"), (j - i + 1).alias("n")))
+
+        found = F.when(F.size(c) > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 1), from_place)))
+        return F.transform(F.coalesce(found, F.array().cast("array<struct<i:int,n:int>>")), lambda x: unit(F.array_join(F.slice(c, x["i"], x["n"]), " "), False))
 
     own = F.array(F.struct(F.lit(False).alias("entire"), F.lit(OWN).alias("digest")))
     entire = [F.array(unit(F.array_join(c, " "), True)) for c in forms]
     known_lines = F.array_distinct(F.filter("lines", lambda x: F.octet_length(x).isin(lengths)))
-    units = F.concat(own, *entire, F.transform(known_lines, lambda x: unit(x, False)), *(runs(c, k) for c in forms for k in range(1, RUN + 1)))
+    units = F.concat(own, *entire, F.transform(known_lines, lambda x: unit(x, False)), *(runs(c) for c in forms))
     row = docs.sparkSession.range(1).select(F.lit(OWN).alias("digest"), F.lit(None).cast("string").alias("license"), F.lit(True).alias("part"))
     table = table.drop("n").unionByName(row)
     found = u.select("id", "row", F.coalesce("plain_units", F.size("lines")).cast("long").alias("n_units"), F.explode(units).alias("u")).select("id", "row", "n_units", "u.*")

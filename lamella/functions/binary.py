@@ -21,11 +21,16 @@ def tiff_kind(content: Column) -> Column:
     return out
 
 
-def spliced(tables: Column, tile: Column, photometric: Column) -> Column:
-    """A whole JPEG from shared tables and an abbreviated tile: tables without their end mark, an Adobe segment, the tile without its
-    start mark. Without tables the tile stays; a photometric other than RGB and YCbCr is an error."""
+def splice_lead(tables: Column, photometric: Column) -> Column:
+    """What stands before an abbreviated tile without its start mark: shared tables without their end mark, then an Adobe segment. Null without
+    tables; a photometric other than RGB and YCbCr is an error."""
     segment = F.when(photometric == 2, F.unhex(F.lit(ADOBE[2]))).when(photometric == 6, F.unhex(F.lit(ADOBE[6]))).otherwise(F.raise_error(F.concat(F.lit("photometric not handled: "), F.coalesce(photometric.cast("string"), F.lit("none")))).cast("binary"))
-    return F.when(tables.isNull(), tile).otherwise(F.concat(F.substring(tables, F.lit(1), F.octet_length(tables) - 2), segment, F.substring(tile, F.lit(3), F.octet_length(tile))))
+    return F.when(tables.isNotNull(), F.concat(F.substring(tables, F.lit(1), F.octet_length(tables) - 2), segment))
+
+
+def spliced(tables: Column, tile: Column, photometric: Column) -> Column:
+    """A whole JPEG from shared tables and an abbreviated tile. Without tables the tile stays."""
+    return F.when(tables.isNull(), tile).otherwise(F.concat(splice_lead(tables, photometric), F.substring(tile, F.lit(3), F.octet_length(tile))))
 
 
 def to_first_end(content: Column) -> Column:

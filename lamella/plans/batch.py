@@ -78,10 +78,13 @@ def compression_gate(compression: Column) -> tuple[Column, Column]:
 
 
 def valid_outputs(images: DataFrame, file: str, number: str, width: str, height: str) -> DataFrame:
-    """file, valid: every image has a size, and the last one is at most ``SMALLEST`` on both sides."""
-    last = F.max_by(F.struct(F.col(width).alias("w"), F.col(height).alias("h")), number)
-    sized = F.min(((F.coalesce(F.col(width), F.lit(0)) > 0) & (F.coalesce(F.col(height), F.lit(0)) > 0)).cast("int"))
-    return images.groupBy(file).agg(sized.alias("_ok"), last.alias("_l")).select(file, ((F.col("_ok") == 1) & (F.col("_l.w") <= SMALLEST) & (F.col("_l.h") <= SMALLEST)).alias("valid"))
+    """file, valid: the first image has a size, and the last one has one of at most ``SMALLEST`` on both sides. What lies between isn't looked at;
+    an unknown size isn't valid, zero is for the last one."""
+    size = F.struct(F.col(width).alias("w"), F.col(height).alias("h"))
+    ends = images.groupBy(file).agg(F.min_by(size, number).alias("_f"), F.max_by(size, number).alias("_l"))
+    first = (F.col("_f.w") != 0) & (F.col("_f.h") != 0)
+    last = (F.col("_l.w") <= SMALLEST) & (F.col("_l.h") <= SMALLEST)
+    return ends.select(file, F.coalesce(first & last, F.lit(False)).alias("valid"))
 
 
 def photometric(kind: Column, subsampling: Column, source: Column) -> tuple[Column, Column]:

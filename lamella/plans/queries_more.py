@@ -168,13 +168,14 @@ def thumbnail_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH i AS (SELECT l_orderkey, l_linenumber AS n, min(CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE l_partkey % 1500 END) AS w, min(CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_suppkey * 13 % 1300 + 1 END) AS h FROM lineitem GROUP BY ALL),
-r AS (SELECT *, n = max(n) OVER (PARTITION BY l_orderkey) AS is_last FROM i)
-SELECT l_orderkey, bool_and(coalesce(w, 0) > 0 AND coalesce(h, 0) > 0) AND coalesce(bool_and(w <= 1024 AND h <= 1024) FILTER (is_last), true) AS valid FROM r GROUP BY l_orderkey""")
+r AS (SELECT *, n = min(n) OVER (PARTITION BY l_orderkey) AS is_first, n = max(n) OVER (PARTITION BY l_orderkey) AS is_last FROM i)
+SELECT l_orderkey, bool_and(coalesce(w <> 0 AND h <> 0, false)) FILTER (is_first) AND bool_and(coalesce(w <= 1024 AND h <= 1024, false)) FILTER (is_last) AS valid
+FROM r GROUP BY l_orderkey""")
 def output_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.when(F.col("l_partkey") % 50 == 0, 0).otherwise(F.col("l_partkey") % 1500)
     h = F.when(F.col("l_suppkey") % 9 != 0, F.col("l_suppkey") * 13 % 1300 + 1)
     i = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(w).alias("w"), F.min(h).alias("h"))
-    return b.valid_outputs(i, "l_orderkey", "l_linenumber", "w", "h").select("l_orderkey", F.coalesce("valid", F.lit(False)).alias("valid"))
+    return b.valid_outputs(i, "l_orderkey", "l_linenumber", "w", "h")
 
 
 @query("SELECT o_orderkey, i % 3 AS z, i // 3 % 2 AS c, i // 6 AS t, i % 24 AS back, i // 8 % 3 AS z2, i // 4 % 2 AS c2, i % 4 AS t2 FROM (SELECT o_orderkey, o_orderkey % 24 AS i FROM orders)")

@@ -42,6 +42,16 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def plain_path(path: str) -> str:
+    """A local file's path without its scheme; other URIs as they are."""
+    return re.sub("^file:(//)?/", "/", path)
+
+
+def is_folder(path: str) -> bool:
+    store, name = _place(path)
+    return store.get_file_info(name).type == fs.FileType.Directory
+
+
 def _opened(path: str):
     """A file that can be read at any place."""
     store, name = _place(path)
@@ -184,13 +194,14 @@ def fetch(ranges: DataFrame) -> DataFrame:
     """``ranges`` (path, offset, n_bytes, ...) with the bytes there, null where the file doesn't hold them all. A task reads the ranges of
     one stretch of a file in order, so a slide of any size is read by many tasks and no range twice."""
     stretch = F.floor(F.coalesce("offset", F.lit(0)) / FETCH_BLOCK)
-    dealt = ranges.repartition(F.col("path"), stretch).sortWithinPartitions("path", "offset")
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, as rows are small and would be put together
+    dealt = ranges.repartition(tasks, F.col("path"), stretch).sortWithinPartitions("path", "offset")
     schema = ", ".join(f"`{n}` {kind}" for n, kind in ranges.dtypes)
     return dealt.mapInArrow(_fetched, f"{schema}, bytes binary")
 
 
 #: Tags whose values ``directories`` reads.
-TAGS = (254, 256, 257, 258, 259, 262, 270, 277, 278, 284, 322, 323, 324, 325, 330, 339, 347, 530, 700, 34665)
+TAGS = (254, 256, 257, 258, 259, 262, 270, 273, 277, 278, 279, 284, 322, 323, 324, 325, 330, 339, 347, 530, 700, 34665)
 
 
 def directories(found: DataFrame) -> DataFrame:
@@ -201,7 +212,7 @@ def directories(found: DataFrame) -> DataFrame:
         one(254, 0).alias("subfile_type"), one(256).alias("width"), one(257).alias("height"), one(258, 1).alias("bits"), one(259, 1).alias("compression"), one(262).alias("photometric"),
         first(270, "value_string").alias("description"), one(277, 1).alias("samples"), one(322).alias("tile_width"), one(323).alias("tile_height"), first(324, "value_long").alias("offsets"), first(325, "value_long").alias("byte_counts"),
         first(347, "value_binary").alias("tables"), first(530, "value_long").alias("subsampling"), first(700, "value_binary").alias("packet"),
-        first(330, "value_long").alias("sub_offsets"), one(34665).alias("exif_offset"), one(339, 1).alias("sample_format"), one(278).alias("rows_per_strip"), one(284, 1).alias("planar"),
+        first(273, "value_long").alias("strip_offsets"), first(279, "value_long").alias("strip_counts"), first(330, "value_long").alias("sub_offsets"), one(34665).alias("exif_offset"), one(339, 1).alias("sample_format"), one(278).alias("rows_per_strip"), one(284, 1).alias("planar"),
     )
 
 
@@ -269,15 +280,15 @@ def _listed_containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             store, name = _place(path)
             folder = re.sub(r"([^/]+)\.[^./]+$", r"_\1_", name)
             found = store.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
-            deep = (f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".ets") and f.path.count("/") == folder.count("/") + 2)
-            out += [path.removesuffix(name) + x for x in deep]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["path"])
+            deep = (f for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".ets") and f.path.count("/") == folder.count("/") + 2)
+            out += [(path.removesuffix(name) + f.path, f.size) for f in deep]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["path", "length"])
 
 
 def containers_of(slides: DataFrame) -> DataFrame:
-    """path of the tile containers in the side folders of ``slides`` (path). Spark's own listing passes over folders whose names begin
+    """path and length of the tile containers in the side folders of ``slides`` (path). Spark's own listing passes over folders whose names begin
     with a low line, as these do, so tasks list them."""
-    return slides.select("path").mapInArrow(_listed_containers, "path string")
+    return slides.select("path").mapInArrow(_listed_containers, "path string, length long")
 
 
 def pair_containers(slides: DataFrame, containers: DataFrame) -> tuple[DataFrame, DataFrame]:

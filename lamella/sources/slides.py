@@ -35,7 +35,7 @@ def _first(dirs: DataFrame) -> DataFrame:
     return dirs.select("*", (F.row_number().over(Window.partitionBy("path").orderBy("ifd_no")) - 1).alias("i"), binary.pixel_type(F.col("bits"), F.col("sample_format")).alias("pixel_type"))
 
 
-IMAGE = ("ifd_no", "width", "height", "tile_width", "tile_height", "compression", "photometric", "subsampling", "tables")
+IMAGE = ("ifd_no", "width", "height", "tile_width", "tile_height", "compression", "photometric", "subsampling", "tables", "samples", "planar")
 
 
 def svs_images(dirs: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from lamella.llm.common import components, digest, scratch, sized_join, stored
 
 #: Least cosine; width of a quantisation step; chance to find a pair just at the limit; unrelated vectors in a bucket; vectors in a block.
 COSINE, WIDTH, RECALL, CROWD, BLOCK, SEED = 0.9, 1.8, 0.97, 512, 2048, 17
+#: Vectors of a block that are compared with another block's at once.
+SLICE = 128
 
 
 def step_chance(distance: float, width: float) -> float:
@@ -72,15 +74,23 @@ def _compare(cosine: float):
         for rows, x in _unit(parts.column("vec")):
             a, b = rows[first[rows]], rows[second[rows]]
             left, right = x[first[rows]], x[second[rows]]
-            i, j = np.nonzero(left @ right.T >= cosine)
-            i, j = a[i], b[j]
-            once = (i < j) if (first[rows] & second[rows]).any() else np.ones(len(i), bool)
-            once &= ~(before[i] == before[j]).any(axis=1)  # an earlier table has had the pair
-            i, j = i[once], j[once]
-            if len(i):
-                links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-                some = np.flatnonzero(links)
-                yield node[some], links[some].astype(np.int64), node[roots(len(node), i, j)[some]]
+            within = (first[rows] & second[rows]).any()
+            links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+            for start in range(0, len(left), SLICE):  # so that even a dense block holds few pairs at a time
+                i, j = np.nonzero(left[start : start + SLICE] @ right.T >= cosine)
+                i, j = a[i + start], b[j]
+                if within:
+                    i, j = i[once := i < j], j[once]
+                for earlier in before.T:  # a pair that an earlier table has had goes
+                    i, j = i[once := earlier[i] != earlier[j]], j[once]
+                    if not len(i):
+                        break
+                else:
+                    links += np.bincount(i, copies[j], len(node)).astype(np.int64) + np.bincount(j, copies[i], len(node)).astype(np.int64)
+                    root = roots(len(node), np.concatenate([i, np.arange(len(node))]), np.concatenate([j, root]))
+            some = np.flatnonzero(links)
+            if len(some):
+                yield node[some], links[some], node[root[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, "t", "key", "low", "high"):

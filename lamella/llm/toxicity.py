@@ -27,6 +27,8 @@ THREAT_CUES = "gonna i going ich je shall we werde will yo".split()
 #: Labelled rows learned from at most; length in bytes of learned stems; evidence in nats, share of
 #: label 1 and texts of label 1 that a learned form needs. A stem's evidence is its different words in each text, a word's its texts.
 SAMPLE, STEMS, EVIDENCE, PRECISION, LEAST_DOCS = 8000, (4, 5, 6, 7), 15.0, 0.95, 3
+#: The same, less strict, for forms of texts of label 1 in which no other form is known, as in a language with few labels.
+BARE_EVIDENCE, BARE_PRECISION = 12.0, 0.85
 #: Words for which a negation holds; strength of the prior weights of patterns.
 REACH, PULL = 4, 0.05
 #: Bytes of text handled at once on the driver, in the fit.
@@ -148,7 +150,8 @@ def _stems(w, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn_lexicon(texts: list[str | None], y: np.ndarray) -> Lexicon:
-    """The fixed words, and words and stems that labelled texts show to be insults: in texts of label 1 nearly alone, beyond chance.
+    """The fixed words, and words and stems that labelled texts show to be insults: in texts of label 1 nearly alone, beyond chance. Where texts
+    of label 1 hold none of these, less strict ones count that several of them share.
 
     A fixed insult that texts of label 0 use as often loses its weight."""
     def forms(chosen: np.ndarray) -> Iterator[np.ndarray]:
@@ -191,6 +194,17 @@ def learn_lexicon(texts: list[str | None], y: np.ndarray) -> Lexicon:
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(a > 0, a * np.log(np.maximum(rate, 1e-12) / p), 0) + np.where(n > a, (n - a) * np.log(np.maximum(1 - rate, 1e-12) / (1 - p)), 0)
     new = (gain >= EVIDENCE) & (rate >= PRECISION) & (held >= LEAST_DOCS)
+    loose = (gain >= BARE_EVIDENCE) & (rate >= BARE_PRECISION) & ~new
+    if loose.any():
+        covered, bare_texts = np.zeros(len(texts), bool), np.zeros(len(hashes), np.int64)
+        strict = np.concatenate([hashes[new], seeds])
+        for f in forms(ones):
+            covered[f[np.isin(f[:, 0], strict), 1].astype(np.int64)] = True
+        for f in forms(ones[~covered[ones]]):
+            h = np.unique(f[:, :2], axis=0)[:, 0]
+            spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            bare_texts += np.bincount(spot[hashes[spot] == h], minlength=len(hashes))
+        new |= loose & (bare_texts >= LEAST_DOCS)
     entries = {word_hash(x): (kind, 1.0) for kind, words in ((CUE, THREAT_CUES), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for x in words}
     for x in map(word_hash, INSULTS):
         at = int(np.searchsorted(hashes, np.uint64(x)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def checked_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """dest, valid of the files that are below a folder of outputs, a path or a URI; there may be no such folder."""
-    if not containers.is_folder(folder):
+    """dest, valid of the files that are below a folder of outputs, or of one file; a path or a URI. There may be none."""
+    if not (containers.is_folder(folder) or containers.is_file(folder)):
         return spark.createDataFrame([], "dest string, valid boolean")
     files = listing(spark, folder, "*.tif").select("path")
     dirs = containers.directories(containers.tiff_entries(files, containers.TAGS))
@@ -46,10 +47,11 @@ def refusal(collides: Column, raw: bool = False) -> Column:
     return F.when(collides, "another slide has the same destination").when(F.col("series").isNull(), "no image found").when(~accepted, note).when(untiled, "the image has no tiles").when(odd, text)
 
 
-def chosen_images(jobs: DataFrame, images: DataFrame, raw: bool = False) -> DataFrame:
-    """``jobs`` with the columns of each slide's widest image (the first of equals; label and macro count, as width alone decides) and
-    error; an image's columns are null where a slide has none."""
+def chosen_images(jobs: DataFrame, images: DataFrame, raw: bool = False, asked: int | None = None) -> DataFrame:
+    """``jobs`` with the columns of the ``asked`` image of each slide, or of its widest (the first of equals; label and macro count, as width
+    alone decides), and error; an image's columns are null where a slide has none."""
     best = s.largest_series(images, "path", "width", "series").select("path", F.col("flat_index").alias("series"))
+    best = best if asked is None else images.filter(F.col("series") == asked).select("path", "series")
     return jobs.join(images.drop("reader").join(best, ["path", "series"]), "path", "left").withColumn("error", refusal(F.col("collides"), raw))
 
 
@@ -71,7 +73,7 @@ def first_level(chosen: DataFrame) -> DataFrame:
 
 
 def convert(spark: SparkSession, settings: batch.Parameters, lower: Lower | None = None, empty_tile: bytes | None = None, raw: bool = False) -> DataFrame:
-    """Runs a folder's conversion and returns its report: path, dest, reader, status, error, n_bytes, seconds, valid, one row a slide.
+    """Converts a folder, or one slide (see ``single_jobs``), and returns the report: path, dest, reader, status, error, n_bytes, seconds, valid, one row a slide.
 
     status is converted, failed, kept, deleted or skipped. A slide that can't be read, has an image that isn't tiled JPEG, misses a
     tile or can't be written is a failed row with its error; the others go on. Only directories and tiles are read, in ranges, so
@@ -83,15 +85,44 @@ def convert(spark: SparkSession, settings: batch.Parameters, lower: Lower | None
     once, by the task that writes them; ``lower`` reads them once more."""
     dest = containers.plain_path(settings.dest).rstrip("/")
     settings = replace(settings, src=containers.plain_path(settings.src), dest=dest)
+    how = {"lower": lower, "empty_tile": empty_tile, "raw": raw}
     files = listing(spark, settings.src)
-    jobs = batch.plan(files, checked_outputs(spark, dest), settings).withColumn("below", F.substring("dest", F.lit(len(dest) + 2), F.length("dest")))
-    jobs = fixed(jobs)  # what is there now decides, not what this run makes
+    if containers.is_file(settings.src):
+        reports = [_run(spark, files, job, target.rpartition("/")[0], target, asked=number, **how) for job, target, number in single_jobs(files, settings)]
+        return reduce(lambda a, b: a.unionByName(b), reports)
+    jobs = batch.plan(files, checked_outputs(spark, dest), settings)
+    return _run(spark, files, jobs, dest, dest, **how)
+
+
+def single_jobs(files: DataFrame, settings: batch.Parameters) -> list[tuple[DataFrame, str, int | None]]:
+    """(job, output, series or none for the widest) for a source that is one file.
+
+    A destination that is a folder, or isn't there and has no name of an output, takes a file named after the slide, or one for each of
+    ``settings.series``. One that is a file is replaced, and may have one series. A file that isn't there yet gets the widest image, whatever series are asked for."""
+    dest, asked = settings.dest, settings.series
+    row = files.select("path", batch.reader(F.col("path")).alias("reader"), F.lit(False).alias("collides"))
+    if containers.is_file(dest):
+        if len(asked) > 1:
+            raise ValueError("several series need a folder as destination")
+        targets = [(dest, asked[0] if asked else None)]
+    elif containers.is_folder(dest) or not dest.lower().endswith(".tif"):
+        named = batch.series_destinations(files.select("path"), "path", asked, dest).select("dest", "series").collect()  # one row a series
+        targets = [(r["dest"], r["series"]) for r in named]
+    else:
+        targets = [(dest, None)]
+    flags = {"delete_first": F.lit(False), "convert": F.lit(True), "validate_after": F.lit(settings.validate)}
+    return [(row.withColumns({"dest": F.lit(t), "exists": F.lit(containers.is_file(t)), **flags}), t, n) for t, n in targets]
+
+
+def _run(spark: SparkSession, files: DataFrame, jobs: DataFrame, dest: str, checked_at: str, lower: Lower | None, empty_tile: bytes | None, raw: bool, asked: int | None = None) -> DataFrame:
+    """The report of ``jobs``, whose outputs are below ``dest``; outputs are checked at ``checked_at``."""
+    jobs = fixed(jobs.withColumn("below", F.substring("dest", F.lit(len(dest) + 2), F.length("dest"))))  # what is there now decides, not what this run makes
     todo = jobs.filter("convert")
     is_slide = todo.filter("reader <> 'vsi'").select("path")
     dirs = fixed(containers.directories(containers.tiff_entries(is_slide, containers.TAGS)))  # files are walked once
     found = containers.containers_of(todo.filter("reader = 'vsi'"))
     chunks = containers.ets_chunks(found)
-    chosen = fixed(chosen_images(todo, slides.images(todo.select("path", "reader"), dirs, found, chunks), raw))
+    chosen = fixed(chosen_images(todo, slides.images(todo.select("path", "reader"), dirs, found, chunks), raw, asked))
     images = first_level(chosen)
     good = chosen.filter("error is null")
     index = slides.tiff_tiles(dirs, good.filter("reader <> 'vsi'")).unionByName(slides.vsi_tiles(chunks, good.filter("reader = 'vsi'")))
@@ -118,6 +149,6 @@ def convert(spark: SparkSession, settings: batch.Parameters, lower: Lower | None
     report = jobs.join(chosen.select("path", "error"), "path", "left").join(written, "below", "left").join(gone, "below", "left")
     report = report.withColumn("error", F.coalesce("error", "_error", F.when(F.col("convert") & F.col("n_bytes").isNull(), "nothing was written")))
     status = F.when(F.col("convert") & F.col("error").isNull(), "converted").when(F.col("convert"), "failed").when(F.col("removed"), "deleted").when(F.col("exists"), "kept").otherwise("skipped")
-    checked = checked_outputs(spark, dest).withColumnRenamed("valid", "_valid")
+    checked = checked_outputs(spark, checked_at).withColumnRenamed("valid", "_valid")
     valid = F.when(F.col("validate_after"), F.coalesce("_valid", F.lit(False))).alias("valid")
     return report.join(checked, "dest", "left").select("path", "dest", "reader", status.alias("status"), "error", "n_bytes", "seconds", valid)

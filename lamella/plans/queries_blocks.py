@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.operators import blocks, rasters
 from lamella.operators import pyramid as p
 from lamella.plans.queries import SQL, query, read
+from lamella.sources import slides
 
 IMAGES_SQL = """
 d AS (
@@ -107,3 +108,49 @@ def raster_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = each.select(F.col("slide").alias("raster"), (F.col("tile_x") * 2 + F.col("i") % 2).alias("x"), (F.col("tile_y") * 2 + F.floor(F.col("i") / 2)).alias("y"), "value", "level")
     inside = F.when(F.col("level") == 1, 4).when(F.col("level") == 2, 2).otherwise(1)
     return each.filter((F.col("x") < inside) & (F.col("y") < inside))
+
+
+@query("""
+WITH d AS (
+  SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS i,
+    CASE WHEN l_orderkey % 3 = 0 THEN 9 ELSE 5 + l_linenumber % 2 END AS w, l_orderkey % 5 = 0 AND l_linenumber % 4 = 3 AS reduced FROM lineitem
+), kept AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS no FROM (SELECT *, count(*) OVER (PARTITION BY k) AS listed FROM d) WHERE NOT reduced OR listed = 1
+), ruled AS (
+  SELECT *, count(DISTINCT w) OVER (PARTITION BY k) > 1 AS apart FROM kept
+)
+SELECT k::VARCHAR AS path, CASE WHEN apart THEN no ELSE 0 END AS series, CASE WHEN apart THEN 0 ELSE no END AS plane, CAST(i AS INT) AS ifd_no FROM ruled""")
+def tiff_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes and series of files with a directory for each line of an order: equal ones are planes of one series, others series each."""
+    of = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    width = F.when(F.col("l_orderkey") % 3 == 0, 9).otherwise(5 + F.col("l_linenumber") % 2)
+    reduced = (F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") % 4 == 3)
+    d = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("path"), (F.row_number().over(of) - 1).alias("ifd_no"), width.cast("long").alias("width"), F.lit(7).cast("long").alias("height"),
+        reduced.cast("long").alias("subfile_type"), F.lit(8).cast("long").alias("bits"), F.lit(1).cast("long").alias("sample_format"),
+    )
+    return slides.tiff_planes(d)
+
+
+@query("""
+WITH d AS (
+  SELECT 'p' || p_partkey AS path, 4 + p_size AS w, p_partkey % 5 + 1 AS planes, p_partkey % 3 + 1 AS slices, p_partkey % 7 AS spare FROM part WHERE p_partkey % 4 <> 0
+), n AS (
+  SELECT *, unnest(range(0, planes)) AS plane FROM d
+), z AS (
+  SELECT *, CASE WHEN plane = 0 THEN 100 ELSE 100 + plane * 6 * w END AS base FROM n
+)
+SELECT path, plane, [base, base + 4 * w] AS offsets, [4 * w, 2 * w] AS byte_counts,
+  CASE WHEN slices * 2 = planes OR slices = planes THEN slices ELSE planes END AS size_z, CASE WHEN slices * 2 = planes THEN 2 ELSE 1 END AS size_c, 1 AS size_t
+FROM z""")
+def imagej_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes that no directory tells of; files that are compressed have none."""
+    k = F.col("p_partkey")
+    w = (4 + F.col("p_size")).cast("long")
+    comment = F.concat(F.lit("ImageJ=1.5\nimages=9\nchannels=2\nslices="), (k % 3 + 1).cast("string"))
+    d = read(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), k.cast("string")).alias("path"), w.alias("width"), F.lit(6).cast("long").alias("height"), F.lit(8).cast("long").alias("bits"), F.lit(1).cast("long").alias("samples"),
+        F.when(k % 4 == 0, 5).otherwise(1).cast("long").alias("compression"), comment.alias("description"), F.array(F.lit(100).cast("long"), 100 + 4 * w).alias("strip_offsets"), F.array(4 * w, 2 * w).alias("strip_counts"),
+        (100 + 6 * w * (k % 5 + 1) + F.least(k % 7, 6 * w - 1)).alias("length"),
+    )
+    return slides.imagej_planes(d.drop("length"), d.select("path", "length"))

@@ -497,15 +497,25 @@ def slide_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_replace("path", "^/", "").alias("path"), "reader", "series", "kind", "width", "height", "um_per_pixel")
 
 
-@query("SELECT p_partkey::VARCHAR AS path, x AS key, CASE x WHEN '65001' THEN 'note ' || p_size WHEN 'Gain' THEN p_size::VARCHAR ELSE p_brand END AS value FROM part, (SELECT unnest(['65001', 'Gain', 'Stain']) AS x)")
+@query("""
+SELECT p_partkey::VARCHAR AS path, x AS key, CASE x WHEN '65001' THEN 'note ' || p_size WHEN '65003' THEN 'bytes ' || p_brand WHEN 'Gain' THEN p_size::VARCHAR ELSE p_brand END AS value
+FROM part, (SELECT unnest(['65001', '65003', 'Gain', 'Stain']) AS x)""")
 def private_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What private tags hold, plain text and XML, as keys and values."""
+    """What private tags hold, plain text and XML, as keys and values; BYTE values of one member hold nothing."""
     p = read(spark, sf_dir, "part")
     size = F.col("p_size").cast("string")
     xml = F.concat(F.lit("<?xml version='1.0'?><a><Gain unit='x'>"), size, F.lit("</Gain><Stain>"), "p_brand", F.lit("</Stain></a>"))
-    one = lambda no, tag, value: F.struct(F.lit(no).alias("entry_no"), F.lit(tag).alias("tag"), F.encode(value, "UTF-8").alias("value_binary"))
-    e = p.select(F.col("p_partkey").cast("string").alias("path"), F.inline(F.array(one(0, 65001, F.concat(F.lit("note "), size)), one(1, 65002, xml), one(2, 300, F.lit("not private")))))
-    e = e.withColumns({"ifd_no": F.lit(0), "type": F.lit(7), "count": F.octet_length("value_binary").cast("long"), "value_long": F.lit(None).cast("array<long>")})
+
+    def one(no: int, tag: int, value: Column, kind: int = 1) -> Column:
+        codes = F.transform(F.split(value, ""), lambda x: F.ascii(x).cast("long"))
+        held = F.encode(value, "UTF-8") if kind == 7 else F.lit(None).cast("binary")
+        return F.struct(
+            F.lit(no).alias("entry_no"), F.lit(tag).alias("tag"), F.lit(kind).alias("type"), F.octet_length(value).cast("long").alias("count"),
+            (codes if kind == 1 else F.lit(None).cast("array<long>")).alias("value_long"), held.alias("value_binary"),
+        )
+
+    tags_ = [one(0, 65001, F.concat(F.lit("note "), size)), one(1, 65002, xml), one(2, 300, F.lit("not private")), one(3, 65003, F.concat(F.lit("bytes "), "p_brand"), 7), one(4, 65004, F.lit("x"))]
+    e = p.select(F.col("p_partkey").cast("string").alias("path"), F.inline(F.array(*tags_))).withColumn("ifd_no", F.lit(0))
     return sl.private_text(e)
 
 

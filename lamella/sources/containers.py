@@ -52,6 +52,11 @@ def is_folder(path: str) -> bool:
     return store.get_file_info(name).type == fs.FileType.Directory
 
 
+def is_file(path: str) -> bool:
+    store, name = _place(path)
+    return store.get_file_info(name).type == fs.FileType.File
+
+
 def _opened(path: str):
     """A file that can be read at any place."""
     store, name = _place(path)

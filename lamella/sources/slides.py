@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lamella.functions import binary, metadata, tags
 from lamella.functions.geometry import ets_level_size
 from lamella.operators import series as s
+from lamella.operators.directories import split_series
 from lamella.sources import containers
 
 # Tag from which private tags begin that may hold text, and the start of an Aperio description.
@@ -32,6 +33,7 @@ def compression_name(code: Column) -> Column:
 
 
 def _first(dirs: DataFrame) -> DataFrame:
+    dirs = dirs if "planar" in dirs.columns else dirs.withColumn("planar", F.lit(1).cast("long"))
     return dirs.select("*", (F.row_number().over(Window.partitionBy("path").orderBy("ifd_no")) - 1).alias("i"), binary.pixel_type(F.col("bits"), F.col("sample_format")).alias("pixel_type"))
 
 
@@ -68,17 +70,66 @@ def svs_images(dirs: DataFrame) -> DataFrame:
     return found.drop("at").join(said, "path", "left").withColumn("reader", F.lit("svs"))
 
 
-def tiff_images(dirs: DataFrame) -> DataFrame:
-    """Images of plain TIFF files: directories with a width, without reduced ones unless there is nothing else, one series each."""
+def _tiff_planes(dirs: DataFrame) -> DataFrame:
+    """Directories of plain TIFF files that hold planes, with series, plane, planes (of the series) and n (of the file): those with a width, without
+    reduced ones unless there is nothing else. If all are of one size and pixel type, they are planes of one series, else each is a series."""
     images = s.thumbnails(_first(containers.main_directories(dirs)), "path", "subfile_type").filter(~F.col("is_thumbnail"))
-    number = (F.row_number().over(Window.partitionBy("path").orderBy("ifd_no")) - 1).cast("long").alias("series")
-    fields = metadata.imagej_fields(F.col("description"), F.count("*").over(Window.partitionBy("path")), F.col("samples") > 1, F.col("samples"))
-    flat = images.select("path", number, F.lit("level").alias("kind"), "pixel_type", *IMAGE, F.lit(1).cast("long").alias("z_size"), fields.alias("imagej"), F.col("description").alias("comment"))
+    images = images.join(split_series(images, "path"), "path")
+    number = (F.row_number().over(Window.partitionBy("path").orderBy("ifd_no")) - 1).cast("long")
+    images = images.withColumns({"_no": number, "n": F.count("*").over(Window.partitionBy("path"))})
+    of = lambda apart, whole: F.when(F.col("separate"), apart).otherwise(whole).cast("long")
+    return images.withColumns({"series": of(F.col("_no"), F.lit(0)), "plane": of(F.lit(0), F.col("_no")), "planes": of(F.lit(1), F.col("n"))}).drop("_no")
+
+
+def tiff_planes(dirs: DataFrame) -> DataFrame:
+    """path, series, plane, ifd_no: the directory of each plane of plain TIFF files."""
+    return _tiff_planes(dirs).select("path", "series", "plane", "ifd_no")
+
+
+def tiff_images(dirs: DataFrame) -> DataFrame:
+    """Images of plain TIFF files: a row for each series, with the directory of its first plane and the number of planes. An ImageJ comment is
+    that of the first directory, or else of the last."""
+    images = _tiff_planes(dirs)
+    of = Window.partitionBy("path")
+    said = lambda at: F.min_by("description", F.struct(at, "ifd_no")).over(of)
+    is_imagej = lambda c: F.coalesce(c.startswith("ImageJ="), F.lit(False))
+    images = images.withColumns({"_first": said(F.col("ifd_no")), "_last": said(-F.col("ifd_no"))})
+    comment = F.when(~is_imagej(F.col("_first")) & is_imagej(F.col("_last")), F.col("_last")).otherwise(F.col("_first"))
+    fields = metadata.imagej_fields(comment, F.col("n"), F.col("samples") > 1, F.col("samples"))
+    one = F.lit(1).cast("long")
+    flat = images.filter("plane = 0").select("path", "series", F.lit("level").alias("kind"), "pixel_type", *IMAGE, one.alias("z_size"), "planes", fields.alias("imagej"), F.col("description").alias("comment"))
     return flat.withColumn("reader", F.lit("tiff"))
 
 
+def imagej_planes(dirs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """path, plane, offsets, byte_counts (of strips), size_z, size_c, size_t of all planes of files whose ImageJ comment tells of more images
+    than there are directories, as where a file of over 4 GB lost those after the first. ``lengths``: path, length of the files.
+
+    Such a file has one directory, isn't compressed, and holds its planes one after another behind the first; as many as its length has
+    room for are there. All offsets follow from the first plane's, so nothing is read and nothing shuffled but the lengths."""
+    c = F.col
+    only = dirs.join(dirs.groupBy("path").agg(F.count("*").alias("_n")).filter("_n = 1").drop("_n"), "path").filter(F.coalesce("compression", F.lit(1)) == 1)
+    fields = metadata.imagej_fields(c("description"), F.lit(1), F.lit(False), F.lit(1))
+    d = only.select("*", fields.alias("_f")).join(lengths.select("path", "length"), "path").filter((c("_f.images") > 1) & (F.size("strip_offsets") > 0) & (F.size("strip_counts") > 0))
+    plane_bytes = c("width") * c("height") * c("samples") * F.ceil(c("bits") / 8)
+    total = F.aggregate("strip_counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    end = F.element_at("strip_offsets", -1) + F.element_at("strip_counts", -1)
+    planes = F.floor((c("length") - end) / plane_bytes) + 1
+    d = d.filter(plane_bytes > 0).withColumns({"_end": end, "_total": total, "_planes": planes}).filter("_planes > 0")
+    before = F.transform("strip_counts", lambda n, j: F.aggregate(F.slice("strip_counts", 1, j), F.lit(0).cast("long"), lambda a, x: a + x))
+    sizes = {n: F.coalesce(c(f"_f.{m}").cast("long"), F.lit(1).cast("long")) for n, m in (("z", "slices"), ("t", "frames"), ("c", "channels"))}
+    d = d.withColumns({"_before": before, **{f"_{n}": x for n, x in sizes.items()}})
+    whole, flat = c("_z") * c("_c") * c("_t") == c("_planes"), c("_z") * c("_t") == c("_planes")
+    axes = [F.when(whole | flat, c("_z")).otherwise(c("_planes")).alias("size_z"), F.when(whole, c("_c")).otherwise(c("samples")).alias("size_c"), F.when(whole | flat, c("_t")).otherwise(1).cast("long").alias("size_t")]
+    each = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), c("_planes") - 1)).alias("plane"))
+    at = F.when(c("plane") == 0, c("strip_offsets")).otherwise(F.transform("_before", lambda x: c("_end") + (c("plane") - 1) * c("_total") + x))
+    return each.select("path", "plane", at.alias("offsets"), F.col("strip_counts").alias("byte_counts"), *axes)
+
+
 def private_text(entries: DataFrame) -> DataFrame:
-    """path, key, value of what private tags of the first directory say: leaf elements of XML by name, other text by the tag's number."""
+    """path, key, value of what private tags of the first directory say: leaf elements of XML by name, other text by the tag's number.
+
+    Text is in values of type BYTE with several members, a character each. Values of type UNDEFINED are taken too, which other readers leave."""
     text = F.decode(F.concat(*(F.coalesce("value_binary", F.lit(b"")),)), "UTF-8")
     shorts = F.array_join(F.transform("value_long", lambda x: F.char(x.bitwiseAND(255))), "")
     found = entries.filter((F.col("ifd_no") == 0) & (F.col("tag") >= PRIVATE_TEXT) & (F.col("count") > 1) & F.col("type").isin(1, 7))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lamella.operators import blocks, rasters
 from lamella.plans import batch, convert
-from lamella.sources import bigtiff, containers
+from lamella.sources import bigtiff, containers, slides
 from tests.test_convert import NAMES, image, jpeg, outputs, slide
 from tests.test_sources import tiff
 
 
-def striped(pixels, rows, planar=1, order="<", cut=0, reverse=True):
+def striped(pixels, rows, planar=1, order="<", cut=0, reverse=True, comment=None):
     """A classic TIFF of an array (height, width, samples) in strips of ``rows`` rows, the last strip first in the file."""
     h, w, samples = pixels.shape
     planes = [pixels] if planar == 1 else [pixels[:, :, [k]] for k in range(samples)]
@@ -28,6 +28,7 @@ def striped(pixels, rows, planar=1, order="<", cut=0, reverse=True):
         offsets, counts = offsets[: len(offsets) - cut], [len(s) for s in strips]
         n = len(offsets)
         tags = [(256, 4, p("I", w), 1), (257, 4, p("I", h), 1), (258, 3, p(f"{samples}H", *[8 * pixels.itemsize] * samples), samples), (259, 3, p("H", 1), 1), (273, 4, p(f"{n}I", *offsets), n), (277, 3, p("H", samples), 1), (278, 4, p("I", rows), 1), (279, 4, p(f"{len(counts)}I", *counts), len(counts)), (284, 3, p("H", planar), 1)]
+        tags += [(270, 2, comment, len(comment))] if comment else []
         return tiff(order, False, [tags]), data
 
     head, _ = built(0)
@@ -174,3 +175,48 @@ def test_validity_looks_at_both_ends(spark):
     rows = [("a", 0, 5, 5), ("a", 1, 0, 0), ("a", 2, 9, 9), ("b", 0, 0, 5), ("b", 1, 5, 5), ("c", 0, 5, 5), ("c", 1, 2000, 5), ("d", 0, 5, None), ("e", 0, 5000, 5000), ("e", 1, 0, 0)]
     got = batch.valid_outputs(spark.createDataFrame(rows, "f string, n int, w int, h int"), "f", "n", "w", "h")
     assert {r.f: r.valid for r in got.select("f", F.col("valid")).collect()} == {"a": True, "b": False, "c": False, "d": False, "e": True}
+
+
+def test_planes_without_directories(spark, tmp_path):
+    """The second and later planes of a file that tells of one are read by offsets that follow from the first one's."""
+    pixels = np.random.default_rng(4).integers(0, 250, (4, 6, 5, 1)).astype(np.uint8)
+    data = striped(pixels[0], 4, reverse=False, comment=b"ImageJ=1.5\nimages=4\nslices=2\nframes=2\n\0") + pixels[1:].tobytes() + b"spare"
+    (tmp_path / "j.tif").write_bytes(data)
+    (tmp_path / "one.tif").write_bytes(striped(pixels[0], 4, reverse=False))
+    files = convert.listing(spark, str(tmp_path))
+    dirs = containers.directories(containers.tiff_entries(files, containers.TAGS))
+    planes = slides.imagej_planes(dirs, files)
+    assert [(r.plane, r.size_z, r.size_c, r.size_t) for r in planes.orderBy("plane").collect()] == [(i, 2, 1, 2) for i in range(4)]
+    told = planes.select("path", F.col("plane").cast("int").alias("ifd_no"), F.col("offsets").alias("strip_offsets"), F.col("byte_counts").alias("strip_counts"))
+    each = dirs.drop("ifd_no", "strip_offsets", "strip_counts").join(told, "path")
+    rows = {(r.ifd_no, r.row): bytes(r.bytes) for r in blocks.region(each, 1, 1, 3, 5, containers.fetch).collect()}
+    assert rows == {(p, y): pixels[p, y + 1, 1:4].tobytes() for p in range(4) for y in range(5)}
+
+
+def test_equal_directories_are_planes(spark):
+    data = [("a", i, 5, 6, 8, 0, f"ImageJ=1\nslices={n}" if i == last else "x") for i, last, n in ((0, 2, 3), (1, 2, 3), (2, 2, 3))] + [("b", 0, 5, 6, 8, 0, None), ("b", 1, 5, 6, 16, 0, None), ("b", 2, 1, 1, 8, 1, None)]
+    d = spark.createDataFrame(data, "path string, ifd_no int, width long, height long, bits long, subfile_type long, description string")
+    d = d.withColumns({n: F.lit(v).cast("long") for n, v in {"sample_format": 1, "samples": 1, "compression": 1, "photometric": 1, "tile_width": 4, "tile_height": 4}.items()} | {"subsampling": F.lit(None).cast("array<long>"), "tables": F.lit(None).cast("binary")})
+    got = {(r.path, r.series): (r.ifd_no, r.planes, r.imagej.size_z if r.imagej else None) for r in slides.tiff_images(d).collect()}
+    assert got == {("a", 0): (0, 3, 3), ("b", 0): (0, 1, None), ("b", 1): (1, 1, None)}
+
+
+def test_one_slide(spark, tmp_path):
+    """A file as source: to a folder, by series or the widest, to a new name, and over a file."""
+    src, out = tmp_path / "s.svs", tmp_path / "out"
+    src.write_bytes(slide([(image(100, 60, 64, "Aperio Image"), [jpeg("a"), jpeg("b")]), (image(60, 60, 64, "Aperio Image", reduced=True), [jpeg("thumb")]), (image(64, 30, 64, "label"), [jpeg("l")])]))
+
+    def run(dest, *series):
+        report = convert.convert(spark, batch.Parameters(str(src), str(dest), series=series, validate=True)).collect()
+        return {os.path.relpath(r.dest, tmp_path): (r.status, r.valid) for r in report}
+
+    good = ("converted", True)
+    assert run(out, 0, 2) == {"out/s-series-0.tif": good, "out/s-series-2.tif": good}
+    assert run(out, 9) == {"out/s-series-9.tif": ("failed", False)}
+    assert run(out) == {"out/s.tif": good} and run(tmp_path / "new.tif", 1, 2) == {"new.tif": good}
+    tiles, _ = outputs(spark, out)
+    assert tiles == {("s-series-0.tif", 0): [jpeg("a"), jpeg("b")], ("s-series-2.tif", 0): [jpeg("l")], ("s.tif", 0): [jpeg("a"), jpeg("b")]}
+    (tmp_path / "over.tif").write_bytes(b"old")
+    assert run(tmp_path / "over.tif", 2) == {"over.tif": good} and outputs(spark, tmp_path)[0]["over.tif", 0] == [jpeg("l")]
+    with pytest.raises(ValueError, match="folder"):
+        run(tmp_path / "over.tif", 0, 2)

@@ -174,3 +174,63 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_judged(rows: str, refs: str) -> str:
+    """For each row, kind of histogram and the kind's limits: divergence from the language's references, and how far that is beyond what is allowed."""
+    term = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+    p, q = "(h.n / h.drawn)", "(r.n / r.held)"
+    return f"""
+  SELECT row, lang, failed, kind, held, far - {CHANCE!r} * (bins - 1) / (8 * ln(2)) / drawn - {CHAR_LIMIT!r} * {CHAR_LIMIT!r} AS beyond
+  FROM (SELECT h.row, h.lang, h.failed, h.kind, any_value(h.drawn) AS drawn, any_value(r.held) AS held, count(*) AS bins,
+    greatest(sum({term.format(p, q)} + {term.format(q, p)}) / 2, 0) AS far
+    FROM {rows} h JOIN {refs} r ON r.lang = h.lang AND r.kind = h.kind AND r.bin = h.bin WHERE h.drawn > 0 AND r.held > 0 GROUP BY h.row, h.lang, h.failed, h.kind)"""
+
+
+_SQL_REFS = "SELECT *, sum(n) OVER (PARTITION BY lang, kind) AS held FROM (SELECT lang, kind, bin, sum(n)::DOUBLE AS n FROM {0} GROUP BY lang, kind, bin)"
+_SQL_CLASSES = ",\n    ".join("length(regexp_replace(text, '[^{}]+', '', 'g')) AS {}".format(x.replace("'", "''"), name) for name, x in CLASSES.items())
+#: Both limits are one number, which the SQL uses for both.
+ORACLE_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS row, coalesce('=' || lang, '-') AS lang, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT row, i, [ws[i], ws[i + 1], ws[i + 2]] AS w FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) > 2)
+), repeated AS (
+  SELECT row, count(DISTINCT j) AS n_repeat_words FROM (
+    SELECT row, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY row, w) AS n FROM windows) WHERE n > 1) GROUP BY row
+), base AS MATERIALIZED (
+  SELECT doc_id, row, lang, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(array_to_string(ws, '')) AS blank,
+    length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, len(ws) < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEATED} * len(ws) AS failed,
+    {_SQL_CLASSES}
+  FROM d LEFT JOIN repeated USING (row)
+), counted AS (
+  SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(ws) AS w FROM d) GROUP BY lang, w
+), common AS (
+  SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS bin FROM counted QUALIFY bin <= {COMMON}
+), held AS (
+  SELECT b.row, c.bin, count(*) AS n FROM (SELECT row, lang, unnest(ws) AS w FROM base) b JOIN common c USING (lang, w) GROUP BY b.row, c.bin
+), word_bins AS (
+  SELECT b.row, b.lang, b.failed, n_words, x.bin, coalesce(h.n, 0) AS n FROM base b, (SELECT unnest(range(1, {COMMON + 1})) AS bin) x LEFT JOIN held h ON h.row = b.row AND h.bin = x.bin
+), chars AS (
+  SELECT row, lang, failed, word_chars + blank AS drawn, unnest([word_chars - {" - ".join(CLASSES)}, {", ".join(CLASSES)}, blank]) AS n, unnest(range(0, {len(KINDS)})) AS bin FROM base
+), hists AS MATERIALIZED (
+  SELECT row, lang, failed, 'words' AS kind, bin, n::DOUBLE AS n, n_words::DOUBLE AS drawn FROM word_bins
+  UNION ALL SELECT row, lang, failed, 'words', 0, any_value(n_words) - sum(n), any_value(n_words) FROM word_bins GROUP BY row, lang, failed
+  UNION ALL SELECT row, lang, failed, 'chars', bin, n, drawn FROM chars
+), first_refs AS ({_SQL_REFS.format("(SELECT * FROM hists WHERE NOT failed)")}
+), first_judged AS ({_sql_judged("hists", "first_refs")}
+), far AS (
+  SELECT row FROM (SELECT row, beyond > greatest(0, avg(beyond) OVER (PARTITION BY lang, kind)) AS out FROM first_judged WHERE NOT failed) WHERE out
+), refs AS ({_SQL_REFS.format("(SELECT * FROM hists WHERE NOT failed AND row NOT IN (SELECT row FROM far))")}
+), judged AS ({_sql_judged("hists", "refs")}
+), verdict AS (
+  SELECT row, max(held) FILTER (kind = 'words') AS held, bool_and(beyond <= 0) AS within FROM judged GROUP BY row
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND (coalesce(held, 0) < {LEAST_REFERENCE} OR coalesce(within, true)) AS kept
+FROM base LEFT JOIN verdict USING (row)
+"""

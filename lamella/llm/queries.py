@@ -26,5 +26,6 @@ ORACLE_SQL = {
     "op9_decontamination": decontaminate.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op12_divergence": divergence.ORACLE_SQL,
     "op13_merkle": merkle.ORACLE_SQL,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,3 +91,31 @@ def lower(tiles: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = made.join(wide, ["slide", "level"]).filter((F.col("tile_x") < F.col("_across")) & (F.col("tile_y") < F.col("_down")))
     made = made.select("slide", "level", (F.col("tile_y") * F.col("_across") + F.col("tile_x")).cast("long").alias("tile_no"), F.col("raster").alias("bytes"))
     return made, below.drop("_depth", "_level", "_w", "_h")
+
+
+def _stepped(raw: bytes | None, width: int, samples: int, size: int, little: bool, forward: bool) -> bytes | None:
+    if raw is None:
+        return None
+    kind = np.dtype(f"u{size}").newbyteorder("<" if little else ">")
+    n = len(raw) // size
+    held = np.zeros(-(-n // (width * samples)) * width * samples, kind.newbyteorder("="))
+    held[:n] = np.frombuffer(raw, kind, n)
+    rows = held.reshape(-1, width, samples)
+    if forward:
+        rows[:, 1:] -= rows[:, :-1].copy()
+    else:
+        rows = np.cumsum(rows, axis=1, dtype=rows.dtype)
+    return rows.ravel()[:n].astype(kind).tobytes() + raw[n * size :]
+
+
+def predicted(raster: Column, width: int, samples: int = 1, size: int = 1, little: bool = True, forward: bool = False) -> Column:
+    """A raster's bytes with the horizontal predictor undone or, with ``forward``, applied: each sample is told by its difference from the same
+    sample of the pixel to its left, modulo the sample's range. ``samples`` is 1 for separate planes; samples have ``size`` bytes (1, 2, 4 or 8).
+
+    A last row may be cut short, and bytes behind the last whole sample stay. Null stays null. Whole rasters go by Arrow, a row each."""
+
+    @F.pandas_udf("binary")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda raw: _stepped(raw, width, samples, size, little, forward), na_action=None)
+
+    return run(raster)

@@ -154,3 +154,19 @@ def imagej_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (100 + 6 * w * (k % 5 + 1) + F.least(k % 7, 6 * w - 1)).alias("length"),
     )
     return slides.imagej_planes(d.drop("length"), d.select("path", "length"))
+
+
+@query("""
+WITH t AS (
+  SELECT p_partkey, p_name || p_type || p_brand AS s FROM part
+), v AS (
+  SELECT p_partkey, i, ascii(substr(s, CAST(2 * i + 1 AS INT), 1)) * 256 + ascii(substr(s, CAST(2 * i + 2 AS INT), 1)) AS v FROM (SELECT *, unnest(range(0, length(s) // 2)) AS i FROM t)
+)
+SELECT p_partkey, i, v AS restored, CAST(sum(v) OVER (PARTITION BY p_partkey, i // 15, i % 3 ORDER BY i) % 65536 AS BIGINT) AS decoded FROM v""")
+def predictor_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictor undone over rows of five pixels of three samples of 16 bits, high bytes first, and applied again."""
+    raw = F.encode(F.concat("p_name", "p_type", "p_brand"), "UTF-8")
+    d = read(spark, sf_dir, "part").select("p_partkey", rasters.predicted(raw, 5, 3, 2, little=False).alias("decoded"))
+    d = d.withColumn("restored", rasters.predicted(F.col("decoded"), 5, 3, 2, little=False, forward=True))
+    value = lambda c: F.conv(F.hex(F.substring(c, F.col("i").cast("int") * 2 + 1, F.lit(2))), 16, 10).cast("long").alias(c)
+    return d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.octet_length("decoded") / 2).cast("long") - 1)).alias("i")).select("p_partkey", "i", value("restored"), value("decoded"))

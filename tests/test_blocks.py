@@ -220,3 +220,17 @@ def test_one_slide(spark, tmp_path):
     assert run(tmp_path / "over.tif", 2) == {"over.tif": good} and outputs(spark, tmp_path)[0]["over.tif", 0] == [jpeg("l")]
     with pytest.raises(ValueError, match="folder"):
         run(tmp_path / "over.tif", 0, 2)
+
+
+@pytest.mark.parametrize(("size", "samples", "little"), [(1, 1, True), (1, 3, True), (2, 3, False), (2, 1, True), (4, 2, False)])
+def test_predictor(spark, size, samples, little):
+    """As a walk over the bytes has it, with a last row that is cut short and a byte over; and back."""
+    width, raw = 5, np.random.default_rng(size * samples).integers(0, 256, 5 * samples * size * 3 + 2 * samples * size + (size > 1)).astype(np.uint8).tobytes()
+    order, step, want = "little" if little else "big", samples * size, bytearray(raw)
+    for b in range(0, len(raw) - size + 1, size):
+        if b // step % width:
+            value = int.from_bytes(want[b : b + size], order) + int.from_bytes(want[b - step : b - step + size], order)
+            want[b : b + size] = (value % (1 << 8 * size)).to_bytes(size, order)
+    df = spark.createDataFrame([(bytearray(raw),), (None,), (bytearray(b""),)], "r binary").select(rasters.predicted(F.col("r"), width, samples, size, little).alias("d"))
+    got = [None if r.d is None else (bytes(r.d), bytes(r.b)) for r in df.withColumn("b", rasters.predicted(F.col("d"), width, samples, size, little, True)).collect()]
+    assert got == [(bytes(want), raw), None, (b"", b"")]

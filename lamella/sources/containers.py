@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -133,31 +133,37 @@ def _value(kind: int, count: int, raw: bytes, order: str) -> dict:
     return {"value_double": found} if code in "fd" else {"value_long": [x - (1 << 64) if x >= 1 << 63 else x for x in found]}
 
 
-def _tiff_rows(tags: frozenset[int] | None):
-    """One record batch for each batch of files: entries go to columns, not to rows."""
+def entry_batch(walks: Iterable[tuple[str, Iterator[tuple]]]) -> pa.RecordBatch:
+    """One record batch of (path, walk) of files: entries go to columns, not to rows."""
     names = ("path", "ifd_no", "offset", "entry_no", "tag", "type", "count", *_VALUES)
     kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *_TYPES)
-
-    def rows_of(path: str, found: Iterator[tuple], out: dict[str, list]) -> None:
+    out: dict[str, list] = {n: [] for n in names}
+    for path, found in walks:
         for number, at, k, tag, kind, count, raw, order in found:
             value = {} if raw is None else _value(kind, count, raw, order)
             for name, x in zip(names, (path, number, at, k, tag, kind, count), strict=False):
                 out[name].append(x)
             for name in _VALUES:
                 out[name].append(value.get(name))
+    return pa.RecordBatch.from_arrays([pa.array(out[n], kind) for n, kind in zip(names, kinds, strict=True)], list(names))
+
+
+def _tiff_rows(tags: frozenset[int] | None):
+    """One record batch for each batch of files."""
+
+    def walked(path: str, at: list[int] | None) -> Iterator[tuple]:
+        with _opened(path) as file:
+            yield from walk(lambda spot, n: file.read_at(n, spot), file.size(), at, tags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
             starts = batch.column("starts").to_pylist() if "starts" in batch.schema.names else [None] * batch.num_rows
-            contents = batch.column("content") if "content" in batch.schema.names else [None] * batch.num_rows
-            for path, content, at in zip(batch.column("path").to_pylist(), contents, starts, strict=True):
-                if "content" in batch.schema.names:
-                    rows_of(path, entries(content.as_py() or b"", starts=at, tags=tags), out)
-                else:
-                    with _opened(path) as file:
-                        rows_of(path, walk(lambda spot, n: file.read_at(n, spot), file.size(), at, tags), out)  # noqa: B023
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], kind) for n, kind in zip(names, kinds, strict=True)], list(names))
+            paths = batch.column("path").to_pylist()
+            if "content" in batch.schema.names:
+                walks = ((p, entries(c.as_py() or b"", starts=at, tags=tags)) for p, c, at in zip(paths, batch.column("content"), starts, strict=True))
+            else:
+                walks = ((p, walked(p, at)) for p, at in zip(paths, starts, strict=True))
+            yield entry_batch(walks)
 
     return run
 

@@ -27,7 +27,8 @@ def grid(slides: DataFrame, slide: str, width: str, height: str, tile: int) -> D
 
 
 def look_up(tiles: DataFrame, index: DataFrame, on: list[str], values: list[str], order: str, default: dict[str, object]) -> DataFrame:
-    """``tiles`` with the values of the first index entry at the same coordinates, or defaults (a black tile) and is_filler."""
+    """``tiles`` with the values of the first index entry at the same coordinates, or defaults and is_filler. A default is a constant (a black tile) or a
+    column of ``tiles`` (its container's background)."""
     first = index.groupBy(*on).agg(F.lit(False).alias("is_filler"), *(F.min_by(v, order).alias(f"_{v}") for v in values))
     out = tiles.join(first, on, "left")
     return out.select(*tiles.columns, F.coalesce("is_filler", F.lit(True)).alias("is_filler"), *(F.coalesce(f"_{v}", F.lit(default[v])).alias(v) for v in values))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamella.functions.binary import little_bytes
 from lamella.operators import blocks, rasters
 from lamella.operators import pyramid as p
 from lamella.plans.queries import SQL, query, read
-from lamella.sources import slides
+from lamella.sources import containers, slides
 
 IMAGES_SQL = """
 d AS (
@@ -170,3 +171,21 @@ def predictor_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("restored", rasters.predicted(F.col("decoded"), 5, 3, 2, little=False, forward=True))
     value = lambda c: F.conv(F.hex(F.substring(c, F.col("i").cast("int") * 2 + 1, F.lit(2))), 16, 10).cast("long").alias(c)
     return d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.octet_length("decoded") / 2).cast("long") - 1)).alias("i")).select("p_partkey", "i", value("restored"), value("decoded"))
+
+
+@query("""
+WITH p AS (
+  SELECT p_partkey, p_partkey % 4 AS kind, p_partkey % 3 + 1 AS channels, p_size % 3 + 1 AS tx, p_partkey % 2 + 1 AS ty FROM part
+), c AS (
+  SELECT *, substr(repeat(format('{:02X}', p_partkey % 251) || '0A', 20), 1, CAST(2 * channels * (1 << kind) AS INT)) AS color FROM p
+)
+SELECT p_partkey, repeat(color, CAST(tx * ty AS INT)) AS raster FROM c""")
+def container_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles in the background colours of containers' second headers, of one to eight bytes a sample."""
+    k, number = F.col("p_partkey"), lambda c: little_bytes(c.cast("long"), 4)
+    kind = F.element_at(F.array(*map(F.lit, (2, 4, 6, 10))), (k % 4 + 1).cast("int"))
+    color = F.unhex(F.repeat(F.concat(F.lpad(F.hex(k % 251), 2, "0"), F.lit("0A")), F.lit(20)))
+    zeros = lambda n: F.unhex(F.lit("00" * n))
+    head = F.concat(F.unhex(F.lit("45545300")), zeros(4), number(kind), number(k % 3 + 1), zeros(12), number(F.col("p_size") % 3 + 1), number(k % 2 + 1), zeros(72), color, zeros(8))
+    d = read(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in containers.ets_extra(head, F.lit(0)).items()))
+    return d.select("p_partkey", F.hex(containers.background_raster(F.col("background"), F.col("tile_x"), F.col("tile_y"))).alias("raster"))

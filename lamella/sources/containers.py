@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,6 +21,8 @@ ENTRY_SCHEMA = "path string, ifd_no int, offset long, entry_no int, tag int, typ
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "s"), 8: (2, "h"), 9: (4, "i"), 10: (8, "II"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 #: Values that aren't read unless asked for: colour maps, and those of private tags (from the second number on) with so many members.
 COLOR_MAP, PRIVATE, LARGE = 320, 32768, 10 * 1024 * 1024
+#: Bytes of a sample by a container's pixel types; 64-bit integers aren't handled.
+PIXEL_BYTES = {1: (1, 2), 2: (3, 4), 4: (5, 6, 9), 8: (10,)}
 #: Bytes of a file whose ranges one task reads.
 FETCH_BLOCK = 64 << 20
 Read = Callable[[int, int], bytes]
@@ -250,10 +253,24 @@ def _ets_head(head: Column) -> dict[str, Column]:
     return {"dimensions": little(head, F.lit(12), 4).cast("int"), "extra": little(head, F.lit(16), 8), "table": little(head, F.lit(32), 8), "n_chunks": little(head, F.lit(40), 4).cast("int")}
 
 
-def _ets_extra(content: Column, at: Column) -> dict[str, Column]:
+def ets_extra(content: Column, at: Column) -> dict[str, Column]:
     """Fields of the second header, which begins at ``at``."""
     places = {"pixel_type": 8, "channels": 12, "compression": 20, "tile_x": 28, "tile_y": 32}
-    return {n: little(content, at + k, 4).cast("int") for n, k in places.items()} | {"pyramid": little(content, at + 152, 4) != 0}
+    fields = {n: little(content, at + k, 4).cast("int") for n, k in places.items()}
+    size = reduce(lambda out, item: F.when(fields["pixel_type"].isin(*item[1]), item[0]).otherwise(out), PIXEL_BYTES.items(), F.lit(None).cast("int"))
+    # of the 40 bytes kept for it, the colour takes one pixel's
+    color = F.substring(content, (at + 109).cast("int"), F.least(F.lit(40), fields["channels"] * size))
+    return fields | {"pyramid": little(content, at + 152, 4) != 0, "background": color}
+
+
+def background_raster(color: Column, tile_x: Column, tile_y: Column) -> Column:
+    """A tile of raw samples in one colour, a pixel's bytes over and over. Null without a colour."""
+    return F.when(F.octet_length(color) > 0, F.unhex(F.repeat(F.hex(color), tile_x * tile_y)))
+
+
+def background_tiles(files: DataFrame) -> DataFrame:
+    """path, raster: what stands for a tile that a container doesn't hold, in the container's own background colour."""
+    return ets_headers(files).select("path", background_raster(F.col("background"), F.col("tile_x"), F.col("tile_y")).alias("raster"))
 
 
 def ets_headers(files: DataFrame) -> DataFrame:
@@ -262,7 +279,7 @@ def ets_headers(files: DataFrame) -> DataFrame:
     is_ets = lambda c: F.hex(F.substring(c, 1, 4)) == "53495300"
     if "content" in files.columns:
         out = files.filter(is_ets("content")).select("path", "content", *(c.alias(n) for n, c in _ets_head(F.col("content")).items()))
-        out = out.select("*", *(c.alias(n) for n, c in _ets_extra(F.col("content"), F.col("extra")).items()))
+        out = out.select("*", *(c.alias(n) for n, c in ets_extra(F.col("content"), F.col("extra")).items()))
         table = F.substring(F.col("content"), (F.col("table") + 1).cast("int"), F.col("n_chunks") * (F.col("dimensions") * 4 + 20))
         return out.select("*", table.alias("_table")).drop("content", "extra")
 
@@ -270,7 +287,7 @@ def ets_headers(files: DataFrame) -> DataFrame:
         return fetch(df.withColumns({"offset": at.cast("long"), "n_bytes": n.cast("long")})).withColumnRenamed("bytes", out).drop("offset", "n_bytes")
 
     out = read(files.select("path"), F.lit(0), F.lit(64), "_head").filter(is_ets("_head")).select("path", *(c.alias(n) for n, c in _ets_head(F.col("_head")).items()))
-    out = read(out, F.col("extra"), F.lit(156), "_more").select("*", *(c.alias(n) for n, c in _ets_extra(F.col("_more"), F.lit(0)).items())).drop("_more", "extra")
+    out = read(out, F.col("extra"), F.lit(156), "_more").select("*", *(c.alias(n) for n, c in ets_extra(F.col("_more"), F.lit(0)).items())).drop("_more", "extra")
     return read(out, F.col("table"), F.col("n_chunks") * (F.col("dimensions") * 4 + 20), "_table")
 
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lamella.functions import binary as b
+from lamella.operators import tiles
 from lamella.sources import bigtiff, containers
 
 
@@ -83,6 +84,20 @@ def test_tile_container(spark):
     assert [(r.slide, r.container, r.number) for r in found.collect()] == [("/s/a.vsi", "/s/_a_/stack1/frame_t.ets", 0)] and [r.slide for r in missing.collect()] == ["/s/c.vsi"]
 
 
+def test_background_of_missing_tiles(spark, tmp_path):
+    """Each container's own colour fills the tiles that it doesn't hold, read from contents and by ranges."""
+    made = {"a": ets([((0, 0, 0, 0, 0, 0), 900, 4)]).replace(b"\7" * 40, bytes(range(40))), "b": ets([])}
+    for name, data in made.items():
+        (tmp_path / f"{name}.ets").write_bytes(data)
+    for files in (spark.createDataFrame([(k, bytearray(v)) for k, v in made.items()], "path string, content binary"), spark.createDataFrame([(str(tmp_path / f"{k}.ets"),) for k in made], "path string")):
+        got = {os.path.basename(r.path)[0]: bytes(r.raster) for r in containers.background_tiles(files).collect()}
+        assert got == {"a": bytes([0, 1, 2]) * 512 * 256, "b": b"\7\7\7" * 512 * 256}
+    cells = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "path string, x int").join(containers.background_tiles(spark.createDataFrame([(k, bytearray(v)) for k, v in made.items()], "path string, content binary")), "path")
+    index = spark.createDataFrame([("a", 0, 0, bytearray(b"held"))], "path string, x int, k int, bytes binary")
+    found = tiles.look_up(cells, index, ["path", "x"], ["bytes"], "k", {"bytes": F.col("raster")}).collect()
+    assert {(r.path, r.x): (r.is_filler, bytes(r.bytes)[:3]) for r in found} == {("a", 0): (False, b"hel"), ("a", 1): (True, bytes([0, 1, 2])), ("b", 0): (True, b"\7\7\7")}
+
+
 def test_written_file_reads_back(spark, tmp_path):
     payload = lambda s, lv, n: bytearray(f"{s}-{lv}-{n}".encode() * (n + 1))
     tiles = [(s, lv, n, payload(s, lv, n)) for s in ("a.tif", "sub/b.tif") for lv, count in ((0, 6), (1, 2), (2, 1)) for n in range(count)]

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.geometry import ceil_div, depth, ets_level_size, level_size, overlaps
+from lamella.sources.steps import tasks_for
+
+#: Tiles of one task.
+TASK_TILES = 500_000
 
 
 def levels(slides: DataFrame, slide: str, width: str, height: str, tile: int) -> DataFrame:
@@ -19,6 +23,12 @@ def levels(slides: DataFrame, slide: str, width: str, height: str, tile: int) ->
     return out.withColumn("n_tiles", F.col("tiles_x") * F.col("tiles_y"))
 
 
+def tile_tasks(slides: DataFrame, width: str, height: str, tile: int) -> int:
+    """Number of tasks that make about ``TASK_TILES`` tiles each. Slides dealt to them by key need no shuffle of tiles for what is then grouped or
+    ordered within a slide."""
+    return tasks_for(slides, TASK_TILES, ceil_div(F.col(width).cast("long"), tile) * ceil_div(F.col(height).cast("long"), tile))
+
+
 def grid(slides: DataFrame, slide: str, width: str, height: str, tile: int) -> DataFrame:
     """slide, tile_no, tile_x, tile_y, x, y, w, h of every full-size tile, rows first; edge tiles' w and h are what lies in the image."""
     out = slides.select(F.col(slide).alias("slide"), F.col(width).cast("long").alias("_w"), F.col(height).cast("long").alias("_h"))
@@ -26,11 +36,14 @@ def grid(slides: DataFrame, slide: str, width: str, height: str, tile: int) -> D
     return out.select("slide", (F.col("tile_y") * ceil_div(F.col("_w"), tile) + F.col("tile_x")).alias("tile_no"), "tile_x", "tile_y", (F.col("tile_x") * tile).alias("x"), (F.col("tile_y") * tile).alias("y"), F.least(F.lit(tile), F.col("_w") - F.col("tile_x") * tile).cast("long").alias("w"), F.least(F.lit(tile), F.col("_h") - F.col("tile_y") * tile).cast("long").alias("h"))
 
 
-def look_up(tiles: DataFrame, index: DataFrame, on: list[str], values: list[str], order: str, default: dict[str, object]) -> DataFrame:
+def look_up(tiles: DataFrame, index: DataFrame, on: list[str], values: list[str], order: str, default: dict[str, object], tasks: int | None = None) -> DataFrame:
     """``tiles`` with the values of the first index entry at the same coordinates, or defaults and is_filler. A default is a constant (a black tile) or a
-    column of ``tiles`` (its container's background)."""
+    column of ``tiles`` (its container's background).
+
+    The index may be as large as the tiles, whatever the plan takes its size for, so it is never broadcast; both are dealt to ``tasks`` if told."""
+    dealt = lambda df: df.repartition(tasks, *on) if tasks else df
     first = index.groupBy(*on).agg(F.lit(False).alias("is_filler"), *(F.min_by(v, order).alias(f"_{v}") for v in values))
-    out = tiles.join(first, on, "left")
+    out = dealt(tiles).join(dealt(first).hint("merge"), on, "left")
     return out.select(*tiles.columns, F.coalesce("is_filler", F.lit(True)).alias("is_filler"), *(F.coalesce(f"_{v}", F.lit(default[v])).alias(v) for v in values))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -17,3 +18,17 @@ def fixed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def tasks_for(df: DataFrame, most: int, weight: Column | None = None) -> int:
+    """Number of tasks that share ``df`` so that the rows of each weigh about ``most`` together (a row weighs 1, or ``weight``)."""
+    total = df.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return max(1, -(-int(total) // most))
+
+
+def spread(df: DataFrame, most: int, *keys: str, weight: Column | None = None) -> DataFrame:
+    """``df`` dealt by ``keys``, or in turn without any, to ``tasks_for`` it.
+
+    For tables of few bytes whose rows become many or cost much: Spark reads them as one split, so one task would do it all. The
+    number of tasks grows with the table, a task's share doesn't."""
+    return df.repartition(tasks_for(df, most, weight), *keys)

@@ -32,39 +32,54 @@ def _blocks(dirs: DataFrame) -> DataFrame:
 def block_errors(dirs: DataFrame) -> DataFrame:
     """path, ifd_no, error of directories whose blocks can't be read: none are told, a block has no size, or fewer offsets or byte counts
     than strips. (Tiles may be missing.)"""
+    return _told(dirs).select("path", "ifd_no", "error").filter("error is not null")
+
+
+def _told(dirs: DataFrame) -> DataFrame:
+    """``_blocks`` with error, null where they can be read."""
     d = _blocks(dirs)
     strips = F.col("_down") * F.col("_planes")
     short = lambda name, col: F.when(F.col("_strips") & (F.size(col) < strips), F.concat(F.lit(f"{name}: "), F.size(col).cast("string"), F.lit(" of "), strips.cast("string"), F.lit(" strips")))
     sized = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("_w") > 0) & (F.col("_rows") > 0)
     error = F.when(~F.coalesce(sized, F.lit(False)), "a block has no size").when(F.col("_at").isNull(), "no offsets").otherwise(F.coalesce(short("offsets", "_at"), short("byte counts", "_counts")))
-    return d.select("path", "ifd_no", error.alias("error")).filter("error is not null")
+    return d.withColumn("error", error)
 
 
-def block_index(dirs: DataFrame) -> DataFrame:
-    """path, ifd_no, plane, block_no, x, y, w, h (what of the block lies in the image), block_w (samples in a stored row), offset, n_bytes of each
-    block, tile or strip, of ``directories``; images whose blocks can't be read have none (``block_errors`` tells why).
-
-    Separate planes follow one another in the arrays. Every place has a closed form, so nothing is shuffled but the errors' few rows."""
+def _index(dirs: DataFrame, *also: str) -> DataFrame:
+    """``block_index`` with the columns ``also`` of ``dirs``."""
     c = F.col
-    d = _blocks(dirs.join(block_errors(dirs).select("path", "ifd_no"), ["path", "ifd_no"], "left_anti"))
-    each = d.select("path", "ifd_no", "width", "height", "_w", "_rows", "_across", "_down", "_at", "_counts", F.explode(F.sequence(F.lit(0).cast("long"), c("_across") * c("_down") * c("_planes") - 1)).alias("block_no"))
+    d = _told(dirs).filter("error is null")
+    each = d.select("path", "ifd_no", *also, "width", "height", "_w", "_rows", "_across", "_down", "_at", "_counts", F.explode(F.sequence(F.lit(0).cast("long"), c("_across") * c("_down") * c("_planes") - 1)).alias("block_no"))
     plane, within = F.floor(c("block_no") / (c("_across") * c("_down"))), c("block_no") % (c("_across") * c("_down"))
     each = each.withColumns({"plane": plane.cast("long"), "x": within % c("_across") * c("_w"), "y": F.floor(within / c("_across")) * c("_rows")})
     at = c("block_no").cast("int")
     return each.select(
-        "path", "ifd_no", "plane", "block_no", "x", "y", F.least(c("_w"), c("width") - c("x")).cast("long").alias("w"), F.least(c("_rows"), c("height") - c("y")).cast("long").alias("h"), c("_w").alias("block_w"),
+        "path", "ifd_no", *also, "plane", "block_no", "x", "y", F.least(c("_w"), c("width") - c("x")).cast("long").alias("w"), F.least(c("_rows"), c("height") - c("y")).cast("long").alias("h"), c("_w").alias("block_w"),
         F.get("_at", at).alias("offset"), F.get("_counts", at).alias("n_bytes"),
     )
 
 
+def block_index(dirs: DataFrame) -> DataFrame:
+    """path, ifd_no, plane, block_no, x, y, w, h (what of the block lies in the image), block_w (samples in a stored row), offset, n_bytes of each
+    block, tile or strip, of ``directories``; images whose blocks can't be read have none (``block_errors`` tells why).
+
+    Separate planes follow one another in the arrays. Every place has a closed form, so nothing is shuffled."""
+    return _index(dirs)
+
+
 def region_ranges(index: DataFrame, images: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
     """path, ifd_no, plane, row (of the region), left (in the region), offset, n_bytes: where in the file the samples of a region lie, a row for each row of each
     block that it meets; ``images`` (path, ifd_no) that aren't compressed, with bits, samples and planar.
 
     Only what the region needs is asked for. Rows beyond what the file has of a block are left out."""
+    return _ranges(index.join(images.select("path", "ifd_no", "bits", "samples", "planar"), ["path", "ifd_no"]), x, y, w, h)
+
+
+def _ranges(index: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
+    """``region_ranges`` of blocks that have bits, samples and planar of their images."""
     c = F.col
     sample = ceil_div(c("bits"), 8) * F.when(c("planar") == 2, 1).otherwise(c("samples"))
-    met = index.filter(overlaps(c("x"), c("y"), c("w"), c("h"), x, y, w, h)).join(images.select("path", "ifd_no", sample.cast("long").alias("_b")), ["path", "ifd_no"])
+    met = index.filter(overlaps(c("x"), c("y"), c("w"), c("h"), x, y, w, h)).withColumn("_b", sample.cast("long"))
     top, bottom = F.greatest(c("y"), F.lit(y)), F.least(c("y") + c("h"), F.lit(y + h))
     left, right = F.greatest(c("x"), F.lit(x)), F.least(c("x") + c("w"), F.lit(x + w))
     rows = met.select("*", F.explode(F.sequence(top, bottom - 1)).alias("_y"), left.alias("_l"), right.alias("_r"))
@@ -80,6 +95,7 @@ def region_rows(parts: DataFrame, value: str = "bytes") -> DataFrame:
 
 
 def region(dirs: DataFrame, x: int, y: int, w: int, h: int, fetch) -> DataFrame:
-    """``region_rows`` of a region of all images of ``dirs`` that aren't compressed; ``fetch`` reads ranges of files (``containers.fetch``)."""
+    """``region_rows`` of a region of all images of ``dirs`` that aren't compressed; ``fetch`` reads ranges of files (``containers.fetch``). Blocks
+    carry what their images have, so no table of images is joined."""
     plain = dirs.filter(F.coalesce("compression", F.lit(1)) == 1)
-    return region_rows(fetch(region_ranges(block_index(plain), plain, x, y, w, h)))
+    return region_rows(fetch(_ranges(_index(plain, "bits", "samples", "planar"), x, y, w, h)))

@@ -10,6 +10,7 @@ from lamella.operators import blocks, rasters
 from lamella.operators import pyramid as p
 from lamella.plans.queries import SQL, query, read
 from lamella.sources import containers, slides
+from lamella.sources.steps import spread
 
 IMAGES_SQL = """
 d AS (
@@ -80,8 +81,9 @@ SELECT path, CAST(y - 1 AS BIGINT) AS row, substr(content, CAST(spot + 1 AS INT)
 def strip_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region of images whose strips lie in the file in reverse order, cut from the file's bytes by ranges."""
     k = F.col("p_partkey")
-    text = F.repeat(F.concat("p_name", k.cast("string"), F.lit(".")), F.lit(300))
-    d = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("path"), F.lit(0).alias("ifd_no"), (k % 4 + 1).alias("rows_per_strip"), (8 + F.col("p_size") % 9).cast("long").alias("width"), (3 + k % 9).alias("height"), text.alias("content"))
+    word = F.concat("p_name", k.cast("string"), F.lit("."))
+    d = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("path"), F.lit(0).alias("ifd_no"), (k % 4 + 1).alias("rows_per_strip"), (8 + F.col("p_size") % 9).cast("long").alias("width"), (3 + k % 9).alias("height"), word.alias("word"))
+    d = spread(d, 50_000, "path")
     strips = F.ceil(F.col("height") / F.col("rows_per_strip"))
     size = F.col("width") * F.col("rows_per_strip")
     none = F.lit(None).cast("array<bigint>")
@@ -90,10 +92,12 @@ def strip_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumns({"strip_offsets": F.transform(F.sequence(F.lit(1).cast("long"), strips), lambda i: (strips - i) * size), "strip_counts": F.transform(F.sequence(F.lit(1).cast("long"), strips), lambda i: size)})
 
     def cut(ranges: DataFrame) -> DataFrame:
-        held = ranges.join(d.select("path", "content"), "path")
-        return held.withColumn("bytes", F.encode(F.substring("content", (F.col("offset") + 1).cast("int"), F.col("n_bytes").cast("int")), "UTF-8")).drop("content")
+        """A file's bytes are made only where a range of it is cut, so no table of files is broadcast or shuffled."""
+        held = ranges.join(d.select("path", "word").hint("merge"), "path")
+        content = F.repeat("word", F.lit(300))
+        return held.withColumn("bytes", F.encode(F.substring(content, (F.col("offset") + 1).cast("int"), F.col("n_bytes").cast("int")), "UTF-8")).drop("word")
 
-    return blocks.region(d.drop("content"), 2, 1, 7, 6, cut).select("path", "row", F.decode("bytes", "UTF-8").alias("pixels"))
+    return blocks.region(d.drop("word"), 2, 1, 7, 6, cut).select("path", "row", F.decode("bytes", "UTF-8").alias("pixels"))
 
 
 @query(f"SELECT * FROM ({SQL['pyramid_levels']}) WHERE level > 0")

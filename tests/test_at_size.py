@@ -22,3 +22,9 @@ def test_an_index_as_large_as_its_tiles_is_not_broadcast(spark):
         found = tiles.look_up(few, index, ["path", "x"], ["at"], "k", {"at": -1}, tasks)
         assert "Broadcast" not in plan_of(found)
         assert sorted(map(tuple, found.collect())) == [("a", 0, True, -1), ("a", 1, False, 71), ("b", 0, True, -1)]
+
+
+def test_regions_are_cut_without_broadcasting_files(spark):
+    plan = plan_of(QUERIES["strip_region"](spark, SF))
+    assert "Broadcast" not in plan and plan.count("Join") == 1
+    assert "Join" not in plan_of(QUERIES["block_index"](spark, SF))

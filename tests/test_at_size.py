@@ -28,3 +28,15 @@ def test_regions_are_cut_without_broadcasting_files(spark):
     plan = plan_of(QUERIES["strip_region"](spark, SF))
     assert "Broadcast" not in plan and plan.count("Join") == 1
     assert "Join" not in plan_of(QUERIES["block_index"](spark, SF))
+
+
+def test_slides_with_one_destination_have_rows_of_their_own(spark, tmp_path):
+    """Four pages of one URL: three go to one place and each has its own output or none, one is no slide."""
+    urls = [(0, "http://a.org/x"), (1, "http://a.org/x"), (4, "http://a.org/x"), (7, "http://a.org/x")]
+    spark.createDataFrame([(i, u, "") for i, u in urls], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.path[-4:], r.collides, r.exists, r.delete_first, r.convert) for r in QUERIES["convert_plan"](spark, str(tmp_path)).collect())
+    assert got == [(".VSI", True, True, False, False), (".svs", True, False, False, True), (".svs", True, True, False, False)]
+    files = spark.createDataFrame([("/s/a.svs",)], "path string")
+    there = spark.createDataFrame([("/o/a.tif", True), ("/o/a.tif", False)], "dest string, valid boolean")
+    rows = batch.plan(files, there, batch.Parameters("/s", "/o", retry=True)).collect()
+    assert [(r.exists, r.delete_first) for r in rows] == [(True, True)]

@@ -40,3 +40,14 @@ def test_slides_with_one_destination_have_rows_of_their_own(spark, tmp_path):
     there = spark.createDataFrame([("/o/a.tif", True), ("/o/a.tif", False)], "dest string, valid boolean")
     rows = batch.plan(files, there, batch.Parameters("/s", "/o", retry=True)).collect()
     assert [(r.exists, r.delete_first) for r in rows] == [(True, True)]
+
+
+def test_tiles_are_made_by_many_tasks_and_grouped_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TASK_TILES", 2_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("quadrant_merge", "file_offsets"):
+            df = QUERIES[name](spark, SF)
+            assert plan_of(df).count("Exchange hashpartitioning") == 1 and df.rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

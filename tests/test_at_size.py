@@ -46,7 +46,7 @@ def test_tiles_are_made_by_many_tasks_and_grouped_without_a_shuffle(spark, monke
     monkeypatch.setattr(tiles, "TASK_TILES", 2_000)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for name in ("quadrant_merge", "file_offsets"):
+        for name in ("quadrant_merge", "file_offsets", "tile_grid"):
             df = QUERIES[name](spark, SF)
             assert plan_of(df).count("Exchange hashpartitioning") == 1 and df.rdd.getNumPartitions() > 10
     finally:

@@ -120,8 +120,8 @@ def sub_resolutions(levels: Column, width: Column, height: Column) -> Column:
 
 def little_bytes(value: Column, size: int) -> Column:
     """A whole number as ``size`` little-endian bytes."""
-    digits = F.right(F.lpad(F.hex(value.cast("long")), F.lit(16), F.lit("0")), F.lit(2 * size))
-    return F.unhex(F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))), ""))
+    digits = F.lpad(F.hex(value.cast("long")), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 15 - 2 * i, 2) for i in range(size))))
 
 
 def narrow_float(bits: Column, size: int) -> Column:

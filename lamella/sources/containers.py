@@ -244,8 +244,9 @@ def tile_index(dirs: DataFrame) -> DataFrame:
 
 def little(content: Column, at: Column, size: int) -> Column:
     """An unsigned little-endian number of ``size`` bytes at a zero-based place."""
-    raw = F.reverse(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.hex(F.substring(content, at.cast("int") + i, F.lit(1)))))
-    return F.conv(F.array_join(raw, ""), 16, 10).cast("decimal(20,0)").cast("long")
+    digits = F.hex(F.substring(content, at.cast("int") + 1, F.lit(size)))
+    number = F.conv(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size)))), 16, 10)
+    return number.cast("long") if size < 8 else number.cast("decimal(20,0)").cast("long")
 
 
 def _ets_head(head: Column) -> dict[str, Column]:

@@ -30,5 +30,6 @@ def spread(df: DataFrame, most: int, *keys: str, weight: Column | None = None) -
     """``df`` dealt by ``keys``, or in turn without any, to ``tasks_for`` it.
 
     For tables of few bytes whose rows become many or cost much: Spark reads them as one split, so one task would do it all. The
-    number of tasks grows with the table, a task's share doesn't."""
-    return df.repartition(tasks_for(df, most, weight), *keys)
+    number of tasks grows with the table, a task's share doesn't. The filter holds for all rows; as its value is the task's, later
+    filters and the costly columns in them stay behind it and aren't moved before the dealing."""
+    return df.repartition(tasks_for(df, most, weight), *keys).filter(F.spark_partition_id() >= 0)

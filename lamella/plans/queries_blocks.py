@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamella.functions.binary import little_bytes
 from lamella.operators import blocks, rasters
 from lamella.operators import pyramid as p
-from lamella.plans.queries import SQL, query, read
+from lamella.plans.queries import SQL, TASK_ROWS, query, read
 from lamella.sources import containers, slides
 from lamella.sources.steps import spread
 
@@ -191,5 +191,5 @@ def container_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     color = F.unhex(F.repeat(F.concat(F.lpad(F.hex(k % 251), 2, "0"), F.lit("0A")), F.lit(20)))
     zeros = lambda n: F.unhex(F.lit("00" * n))
     head = F.concat(F.unhex(F.lit("45545300")), zeros(4), number(kind), number(k % 3 + 1), zeros(12), number(F.col("p_size") % 3 + 1), number(k % 2 + 1), zeros(72), color, zeros(8))
-    d = read(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in containers.ets_extra(head, F.lit(0)).items()))
+    d = spread(read(spark, sf_dir, "part"), TASK_ROWS).select("p_partkey", *(c.alias(n) for n, c in containers.ets_extra(head, F.lit(0)).items()))
     return d.select("p_partkey", F.hex(containers.background_raster(F.col("background"), F.col("tile_x"), F.col("tile_y"))).alias("raster"))

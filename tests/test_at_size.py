@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from lamella.functions import binary
 from lamella.operators import tiles
-from lamella.plans import batch, queries_blocks, queries_more  # noqa: F401
+from lamella.plans import batch, queries, queries_blocks, queries_more
 from lamella.plans.queries import QUERIES
+from lamella.sources import containers
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,17 @@ def test_tiles_are_made_by_many_tasks_and_grouped_without_a_shuffle(spark, monke
             assert plan_of(df).count("Exchange hashpartitioning") == 1 and df.rdd.getNumPartitions() > 10
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_costly_rows_are_dealt_before_they_are_made(spark, monkeypatch):
+    for module in (queries, queries_blocks, queries_more):
+        monkeypatch.setattr(module, "TASK_ROWS", 50)
+    for name in ("ets_chunks", "container_background", "imagej_comment", "meta_hygiene"):
+        above, below = plan_of(QUERIES[name](spark, SF)).split("Exchange RoundRobinPartitioning(4)")
+        assert not any(x in below for x in ("Filter (", "hex", "regexp", "concat")), name
+
+
+def test_little_endian_columns_need_no_lambda(spark):
+    row = spark.range(1).select(*(containers.little(F.unhex(F.lit("FF0102030405060780")), F.lit(k), n).alias(f"x{k}_{n}") for k, n in ((0, 4), (0, 8), (5, 4), (7, 4))), binary.little_bytes(F.lit(-2), 4).alias("b"))
+    assert tuple(row.first()) == (0x030201FF, 0x07060504030201FF, 0x80070605, 0x8007, bytearray(b"\xfe\xff\xff\xff"))
+    assert "lambda" not in row._jdf.queryExecution().analyzed().toString()

@@ -12,6 +12,9 @@ from lamella.plans.queries import SQL, TASK_ROWS, query, read
 from lamella.sources import containers, slides
 from lamella.sources.steps import spread
 
+#: Directories whose files are ruled by one task.
+TASK_LINES = 250_000
+
 IMAGES_SQL = """
 d AS (
   SELECT 'p' || p_partkey AS path, p_partkey AS k, 20 + p_size AS width, 10 + p_partkey % 30 AS height, CASE WHEN p_partkey % 6 = 1 THEN 16 ELSE 8 END AS bits,
@@ -127,11 +130,12 @@ WITH d AS (
 SELECT k::VARCHAR AS path, CASE WHEN apart THEN no ELSE 0 END AS series, CASE WHEN apart THEN 0 ELSE no END AS plane, CAST(i AS INT) AS ifd_no FROM ruled""")
 def tiff_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes and series of files with a directory for each line of an order: equal ones are planes of one series, others series each."""
-    of = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    of = Window.partitionBy("path").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     width = F.when(F.col("l_orderkey") % 3 == 0, 9).otherwise(5 + F.col("l_linenumber") % 2)
     reduced = (F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") % 4 == 3)
-    d = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("path"), (F.row_number().over(of) - 1).alias("ifd_no"), width.cast("long").alias("width"), F.lit(7).cast("long").alias("height"),
+    lines = spread(read(spark, sf_dir, "lineitem").withColumn("path", F.col("l_orderkey").cast("string")), TASK_LINES, "path")
+    d = lines.select(
+        "path", (F.row_number().over(of) - 1).alias("ifd_no"), width.cast("long").alias("width"), F.lit(7).cast("long").alias("height"),
         reduced.cast("long").alias("subfile_type"), F.lit(8).cast("long").alias("bits"), F.lit(1).cast("long").alias("sample_format"),
     )
     return slides.tiff_planes(d)

@@ -74,7 +74,7 @@ def _tiff_planes(dirs: DataFrame) -> DataFrame:
     """Directories of plain TIFF files that hold planes, with series, plane, planes (of the series) and n (of the file): those with a width, without
     reduced ones unless there is nothing else. If all are of one size and pixel type, they are planes of one series, else each is a series."""
     images = s.thumbnails(_first(containers.main_directories(dirs)), "path", "subfile_type").filter(~F.col("is_thumbnail"))
-    images = images.join(split_series(images, "path"), "path")
+    images = images.join(split_series(images, "path").hint("merge"), "path")  # a row for each file, too many to broadcast
     number = (F.row_number().over(Window.partitionBy("path").orderBy("ifd_no")) - 1).cast("long")
     images = images.withColumns({"_no": number, "n": F.count("*").over(Window.partitionBy("path"))})
     of = lambda apart, whole: F.when(F.col("separate"), apart).otherwise(whole).cast("long")

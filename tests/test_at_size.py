@@ -1,5 +1,7 @@
 """What plans of queries over large tables must not do, and results on rows that small tables don't have."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from lamella.functions import binary
@@ -67,3 +69,9 @@ def test_little_endian_columns_need_no_lambda(spark):
     row = spark.range(1).select(*(containers.little(F.unhex(F.lit("FF0102030405060780")), F.lit(k), n).alias(f"x{k}_{n}") for k, n in ((0, 4), (0, 8), (5, 4), (7, 4))), binary.little_bytes(F.lit(-2), 4).alias("b"))
     assert tuple(row.first()) == (0x030201FF, 0x07060504030201FF, 0x80070605, 0x8007, bytearray(b"\xfe\xff\xff\xff"))
     assert "lambda" not in row._jdf.queryExecution().analyzed().toString()
+
+
+def test_series_are_ruled_in_one_dealing_of_files(spark, monkeypatch):
+    monkeypatch.setattr(queries_blocks, "TASK_LINES", 500)
+    plan = plan_of(QUERIES["tiff_series"](spark, SF))
+    assert "Broadcast" not in plan and set(re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", plan)) == {"path"} and "ENSURE_REQUIREMENTS" not in plan

@@ -140,6 +140,19 @@ def test_op_queries_give_digests(spark, tmp_path):
     assert got[10].n_dropped == 0 and got[5].n_dropped == 1
 
 
+def test_passage_of_over_50_words_goes_from_400_bytes_on(spark, tmp_path):
+    """Bytes count, not words: 55 shared words in 399 bytes stay, in 400 they go. A passage repeated within one text goes too."""
+    rnd = random.Random(12)
+    passage = lambda last: " ".join([*("".join(rnd.choice("abcd") for _ in range(6)) for _ in range(54)), "é" * (last // 2) + "z" * (last % 2)])
+    short, even, own = passage(21), passage(22), passage(22)
+    assert [len(x.split()) for x in (short, even, own)] == [55] * 3 and [len(x.encode()) for x in (short, even, own)] == [399, 400, 400]
+    texts = [f"A{short}B", f"C{short}D", f"1{even}2", f"3{even}4", f"5{own}6 7{own}8"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    left = [(0, 0, texts[0]), (0, 0, texts[1]), (400, 1, "12"), (400, 1, "34"), (800, 2, "56 78")]
+    assert got == {k: (n, spans, hashlib.sha256(t.encode()).hexdigest()) for k, (n, spans, t) in enumerate(left)}
+
+
 def test_line_in_many_places_of_a_long_text(spark):
     line = "A line of forty code points and some more, which repeats."
     data = [(i, line) for i in range(5)] + [(3, "\n".join(f"{line}\n{k}" for k in range(30_000)))]

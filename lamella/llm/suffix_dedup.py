@@ -9,17 +9,19 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.blocks import groups
 from lamella.llm.common import digest, scratch, sized_broadcast, small_batches, stored
-from lamella.llm.tokens import mix64, pieces
+from lamella.llm.tokens import mix64, pieces, split
 
 #: Bytes of a repeat; bytes of a seed; slices in a group above which its range is divided; rows of 8 or 16-byte keys that may be broadcast.
 LENGTH, SEED_BYTES, CROWD, KEY_ROWS = 400, 32, 512, 1_000_000
 #: Bytes of slices that are merged at once in a task.
 BATCH = 6 << 20
+#: Words of a passage; bytes that stand for a word (7 bits each).
+PASSAGE, CODE = 51, 6
 SPOTS = "k1 long, k2 long, pos int, most short, least short, s1 long, s2 long, near long, far long"
 
 
@@ -64,7 +66,13 @@ def _anchors(data: np.ndarray, offs: np.ndarray, length: int, width: int) -> Ite
     yield text[new], place[new], start[new], start[np.concatenate([new[1:], [len(start)]]) - 1]
 
 
-def _find_anchors(length: int, width: int):
+def _as_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts with ``CODE`` ASCII characters for each word."""
+    words = split(data, offs)
+    return (words.hash[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(7)) & np.uint64(127)).astype(np.uint8).ravel(), words.first * CODE
+
+
+def _find_anchors(length: int, width: int, coded: bool):
     half = length // 2
 
     def keys(raw: bytes, spans: Iterator[tuple[int, int]], used: np.ndarray, seed: int) -> np.ndarray:
@@ -75,6 +83,7 @@ def _find_anchors(length: int, width: int):
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for at, data, offs in pieces(batch.column("text")):
+                data, offs = _as_codes(data, offs) if coded else (data, offs)
                 raw, s128 = data.tobytes(), xxhash.xxh3_128_digest
                 for text, place, first, last in _anchors(data, offs, length, width):
                     most, least, spot = place - first, place - last, place.tolist()
@@ -167,7 +176,7 @@ _SQL = {pa.int64(): "long", pa.int16(): "short", pa.binary(): "binary"}
 SLICES, PARTS = (", ".join(f"{name} {_SQL[kind]}" for name, kind in table.items()) for table in (SLICE, PART))
 
 
-def _cut(length: int):
+def _cut(length: int, coded: bool):
     """Text and the list of its asked places in, one row a place with the bytes of its windows out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +184,7 @@ def _cut(length: int):
             texts, asked = batch.column("text"), batch.column("asked")
             for k in range(batch.num_rows):
                 raw = (texts[k].as_py() or "").encode()
+                raw = _as_codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes() if coded else raw
                 rows = [r | {"slice": raw[r["pos"] - r["most"] : r["pos"] - r["least"] + length]} for r in asked[k].as_py()]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema(list(SLICE.items())))
 
@@ -261,8 +271,9 @@ def _settle(slices: DataFrame, temp: Callable[[DataFrame], DataFrame], length: i
     return told
 
 
-def repeated_intervals(docs: DataFrame, length: int = LENGTH, width: int = SEED_BYTES, crowd: int = CROWD) -> DataFrame:
+def repeated_intervals(docs: DataFrame, length: int = LENGTH, width: int = SEED_BYTES, crowd: int = CROWD, coded: bool = False) -> DataFrame:
     """k1, k2, spots (a stored table): for each key of ``docs`` (k1, k2, text) with repeats, intervals (start, stop) of bytes under a ``length``-byte string that starts elsewhere too.
+    With ``coded``, ``CODE`` bytes stand for each word of the texts, and bytes are those.
 
     1. Every window of ``length`` bytes belongs to the place of its least seed, which its own bytes decide; so windows can only be
        equal if they belong to places with equal bytes around. Places give two keys: the bytes shared by all windows that lie mostly
@@ -273,10 +284,10 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, width: int = SEED_
     4. A group of over ``crowd`` slices isn't merged in one task. Its range of windows is divided by longer shared bytes; a part
        whose own bytes repeat whole is settled by a count, a part with a key of its own is settled too, and the rest is merged or
        divided again, down to single windows."""
-    d = docs.select("k1", "k2", "text").filter(F.octet_length("text") >= length)
+    d = docs.select("k1", "k2", "text").filter(F.octet_length("text") >= (length // CODE * 2 - 1 if coded else length))
     half = length // 2
     with scratch(docs.sparkSession) as temp, small_batches(docs.sparkSession):
-        places = temp(d.mapInArrow(_find_anchors(length, width), SPOTS))
+        places = temp(d.mapInArrow(_find_anchors(length, width, coded), SPOTS))
         keys = places.select(F.explode(F.array("near", "far")).alias("key")).filter("key <> 0").groupBy("key").count().filter("count > 1")
         known = sized_broadcast(temp(keys.select("key")), KEY_ROWS)
         near, far = known.withColumnRenamed("key", "_near"), known.withColumnRenamed("key", "_far")
@@ -295,7 +306,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, width: int = SEED_
         place = F.struct("s1", "s2", "copies", "pos", "most", "least", "key", "low", "high", "crowd")
         asked = temp(nodes.join(sized_broadcast(crowds, KEY_ROWS), "key").groupBy("k1", "k2").agg(F.collect_list(place).alias("asked")))
         texts = d.join(sized_broadcast(asked.select("k1", "k2"), KEY_ROWS), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-        slices = temp(texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(_cut(length), SLICES))
+        slices = temp(texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(_cut(length, coded), SLICES))
         found = whole.filter("copies > 1").select("s1", "s2", F.col("least").alias("down"), F.col("most").alias("up"))
         for more in _settle(slices, temp, length, crowd):
             found = found.unionByName(more)
@@ -305,6 +316,21 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, width: int = SEED_
         return stored(spots.groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots")))
 
 
+def passage_words(docs: DataFrame, words: int = PASSAGE, width: int = SEED_BYTES, crowd: int = CROWD) -> DataFrame:
+    """k1, k2, n_passage_words (a stored table): for each key of ``docs`` (k1, k2, text) that has some, the words inside a run of
+    ``words`` words that starts at another place too, in the same text or another. Words are `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased.
+
+    The same merge as of bytes, over texts in which a code of fixed width stands for each word: a window of ``words`` codes repeats where
+    the words do. Windows that begin inside a code count whole words only, so they add none to those that begin with one."""
+    spots = repeated_intervals(docs, words * CODE, width, crowd, coded=True)
+    first, end = F.ceil(F.col("spot.start") / CODE), F.floor(F.col("spot.stop") / CODE)
+    runs = spots.select("k1", "k2", F.explode("spots").alias("spot")).select("k1", "k2", first.alias("first"), end.alias("end"))
+    before = F.max("end").over(Window.partitionBy("k1", "k2").orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest("first", F.coalesce(before, F.lit(0))))
+    counted = runs.select("k1", "k2", new.alias("n")).groupBy("k1", "k2").agg(F.sum("n").alias("n_passage_words"))
+    return stored(counted)
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, spots = batch.column("text"), batch.column("spots")
@@ -323,11 +349,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, v in zip(out, (len(raw), len(raw) - len(left), spans, left), strict=True):
                 out[c].append(v)
         found = [pa.array(v, pa.binary() if c == "kept" else pa.int64()) for c, v in out.items()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *found], ["id", *out])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *found, batch.column("n_passage_words")], ["id", *out, "n_passage_words"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = SEED_BYTES, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) for each row of ``docs``.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = SEED_BYTES, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+    """``id_col``, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) for each row of ``docs``; with ``words``, also
+    n_passage_words, as ``passage_words`` counts them: they are told, and go only where the bytes do.
 
     A byte goes if a string of ``length`` bytes over it starts at another place too, in the same text or another; overlaps count,
     and the input decides, not what is left. Matches don't cross texts. Null is empty; shorter texts stay whole. Repeated rows are
@@ -337,14 +364,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = SEED_BYTE
     d = docs.select(*keys, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     spots = repeated_intervals(d, length, width, crowd)
     own = sized_broadcast(spots.select("k1", "k2"), KEY_ROWS)
-    cut = d.join(own, ["k1", "k2"], "left_semi").join(spots, ["k1", "k2"]).select("id", "text", "spots")
-    cut = cut.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    runs = sized_broadcast(passage_words(d, words, width, crowd), KEY_ROWS) if words else None
+    told = F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words")
+    d = d.join(runs, ["k1", "k2"], "left").select(*d.columns, told) if words else d.withColumn("n_passage_words", F.lit(0).cast("long"))
+    cut = d.join(own, ["k1", "k2"], "left_semi").join(spots, ["k1", "k2"]).select("id", "text", "spots", "n_passage_words")
+    cut = cut.mapInArrow(_remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
     raw, none = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(0).cast("long")
     intact = d.join(own, ["k1", "k2"], "left_anti")
-    intact = intact.select("id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), raw.alias("kept"))
-    return cut.unionByName(intact).withColumnRenamed("id", id_col)
+    intact = intact.select("id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), raw.alias("kept"), "n_passage_words")
+    out = cut.unionByName(intact)
+    return (out if words else out.drop("n_passage_words")).withColumnRenamed("id", id_col)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")

@@ -153,6 +153,36 @@ def test_passage_of_over_50_words_goes_from_400_bytes_on(spark, tmp_path):
     assert got == {k: (n, spans, hashlib.sha256(t.encode()).hexdigest()) for k, (n, spans, t) in enumerate(left)}
 
 
+def test_passages_of_51_words_are_told_below_400_bytes(spark, tmp_path):
+    """Bytes that the contract keeps: 51 shared words in 304 bytes stay, but they are counted; 50 aren't."""
+    rnd = random.Random(13)
+    passage = lambda n: " ".join("".join(rnd.choice("abcd") for _ in range(5)) for _ in range(n))
+    told, short, own = passage(51), passage(50), passage(52)
+    texts = [f"one {told} two", f"{told.upper()}\nthree", f"four {short} five", f"six {short} seven", f"{own} x {own}", None, "", passage(60)]
+    assert len(told) < 400
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_passage_words, r.n_removed) for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([(51, 0), (51, 0), (0, 0), (0, 0), (104, 0), (0, 0), (0, 0), (0, 0)]))
+
+
+@pytest.mark.parametrize("crowd", [512, 2])
+def test_passage_words_like_brute_force(spark, crowd):
+    n, rnd = 9, random.Random(14)
+    pool = [[rnd.choice(["a", "B", "cé", "ddd", "\x00"]) for _ in range(40)] for _ in range(6)]
+    blank = lambda: rnd.choice([" ", "\n", "\t  "])
+    data = [(None, None), (1, ""), (2, "a " * 30), (2, "a " * 30), (3, "a " * 8), (4, "A b " * 20)]
+    for i in range(120):
+        words = [w for _ in range(3) for p in [rnd.choice(pool)] for k in [rnd.randrange(30)] for w in [*p[k : k + rnd.randint(2, 16)], f"w{rnd.randrange(9)}"]]
+        data.append((10 + i, "".join(w + blank() for w in words)))
+    split_up = [[w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for _, t in data]
+    seen = Counter(tuple(w[k : k + n]) for w in split_up for k in range(len(w) - n + 1))
+    want = [(str(i), len({p for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for p in range(k, k + n)})) for (i, _), w in zip(data, split_up, strict=True)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df, 40, 8, crowd, words=n).collect()
+    assert sorted((str(r.doc_id), r.n_passage_words) for r in got) == sorted(want) and sum(x > 0 for _, x in want) > 20
+    assert suffix_dedup.remove_repeats(df.limit(0), words=n).count() == 0
+
+
 def test_line_in_many_places_of_a_long_text(spark):
     line = "A line of forty code points and some more, which repeats."
     data = [(i, line) for i in range(5)] + [(3, "\n".join(f"{line}\n{k}" for k in range(30_000)))]
